@@ -155,9 +155,11 @@ def temporal_split(
     """
     times = cut(pair_times(edges), "times")
     label = band_label(times, test, val, test_times, val_times)
-    slices = F.array(
-        *[F.struct(F.lit(s).alias("set"), F.filter("timestamps", lambda x, s=s: label(x) == s).alias("timestamps")) for s in SETS]
-    )
+
+    def slice_of(name: str) -> Column:
+        return F.struct(F.lit(name).alias("set"), F.filter("timestamps", lambda x: label(x) == F.lit(name)).alias("timestamps"))
+
+    slices = F.array(*[slice_of(s) for s in SETS])
     kept = F.filter(slices, lambda x: F.size(x["timestamps"]) > 0)
     if new_pairs_only:
         kept = F.slice(kept, 1, 1)
