@@ -1 +1,350 @@
+"""Queries on link prediction: sampling, features, metrics, selection."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.hashing import unit_hash
+from ..operators import linkpred as lp
+from ..operators import predicted as pr
+from ..operators.embeddings import embed
+from ..operators.splits import execute_split, temporal_split
+from ..plans import prediction as plan
+from ..sources.snapshots import SnapshotStore
+from .base import CHOSEN_SQL, SCORED_SQL, SERIES_SQL, Graphs, future_sql, graph_sql, h60, register, times_sql, u60, with_graph
+from .splits import bands_sql
+
 CATALOG: dict = {}
+
+
+def _draws_sql(g: str, k: int | str, seed: str, swap: bool, factor: str) -> str:
+    """CTE ``d``: distinct index pairs with their first draw; ``factor`` is the number of draws."""
+    a, b = (h60(f"'{seed}'", "i", f"'{x}'") + " % n" for x in "ab")
+    keep = "a <> b" if swap else "a < b"
+    return f"""c as (select count(*) as n from {g}_nodes),
+    d0 as (select i, {a} as a, {b} as b from c, (select unnest(generate_series(0, ({factor})::BIGINT - 1)) as i)),
+    d as (select least(a, b) as a, greatest(a, b) as b, min(i) as draw from d0 where {keep} group by 1, 2)"""
+
+
+_IDS = """ids as (select case when x.id < y.id then x.id else y.id end as s, case when x.id < y.id then y.id else x.id end as t, draw
+    from d join {g}_nodes x on x.nid = a join {g}_nodes y on y.nid = b)"""
+
+
+@register(
+    CATALOG, "l1_sample_negatives",
+    with_graph("trade") + ", " + _draws_sql("trade", 5000, "42", False, "15000") + ", " + _IDS.format(g="trade") + """
+    select s, t from ids where not exists (select 1 from trade e where e.src = s and e.dst = t and e.first_ts <= 23975)
+    order by draw limit 5000""",
+)
+def sample_negatives(g: Graphs) -> DataFrame:
+    return lp.sample_negatives(g.nodes("trade"), g.edges("trade"), 5000, 23975.0).select("s", "t")
+
+
+@register(
+    CATALOG, "l2_sample_negatives_embedded",
+    with_graph("trade") + ", " + _draws_sql("trade", 5000, "42", True, "15000") + ", " + _IDS.format(g="trade") + """
+    select s, t from ids where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 5000""",
+)
+def sample_negatives_embedded(g: Graphs) -> DataFrame:
+    return lp.sample_negatives(g.nodes("trade"), g.edges("trade"), 5000, swap=True).select("s", "t")
+
+
+@register(
+    CATALOG, "l3_snapshot_cutoff",
+    with_graph("trade") + bands_sql("trade", 0.1, 0.1) + """ select set, max(o.first_ts) as cutoff from split
+    join trade o using (src, dst) group by set""",
+)
+def snapshot_cutoff(g: Graphs) -> DataFrame:
+    split = temporal_split(g.edges("trade"), 0.1, 0.1)
+    rows = [(s, lp.snapshot_cutoff(plan.pairs_of(split, s), g.edges("trade"))) for s in ("train", "val", "test")]
+    return g.spark.createDataFrame(rows, "set string, cutoff double")
+
+
+def _table_vectors(g: Graphs) -> DataFrame:
+    """Vectors of the embeddings table on the nodes of ``handoff`` with the same number."""
+    v = g.table("embeddings").select(F.col("vec_id").alias("nid"), F.col("embedding").cast("array<double>").alias("vec"))
+    return g.nodes("handoff").join(v, "nid").select(F.col("id").alias("node"), "vec")
+
+
+_VECTORS = """, v as (select id as node, [x::DOUBLE for x in embedding] as vec from handoff_nodes join embeddings on vec_id = nid)"""
+
+
+@register(
+    CATALOG, "l4_hadamard",
+    with_graph("handoff") + _VECTORS + """ select distinct h.src as s, h.dst as t, round(list_dot_product(a.vec, b.vec), 5) as total,
+    round(a.vec[1] * b.vec[1], 6) as first from handoff h join v a on a.node = src join v b on b.node = dst""",
+)
+def hadamard(g: Graphs) -> DataFrame:
+    rows = lp.hadamard(g.pairs("handoff"), _table_vectors(g))
+    total = F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x)
+    return rows.select("s", "t", F.round(total, 5).alias("total"), F.round(F.get("features", F.lit(0)), 6).alias("first"))
+
+
+@register(
+    CATALOG, "l5_training_set",
+    with_graph("handoff") + _VECTORS + ", p as (select distinct src as s, dst as t from handoff where src in (select node from v) and dst in (select node from v)), k as (select ceil(count(*) * 0.5)::BIGINT as k from p), "
+    + _draws_sql("handoff", 0, "42", False, "select greatest(3 * k, 50) from k") + """,
+    ids as (select case when x.id::BIGINT < y.id::BIGINT then x.id else y.id end as s, case when x.id::BIGINT < y.id::BIGINT then y.id else x.id end as t, draw
+    from d join handoff_nodes x on x.nid = a join handoff_nodes y on y.nid = b),
+    neg as (select s, t, row_number() over (order by draw) as r from ids where not exists (select 1 from handoff e where e.src = s and e.dst = t))
+    select 1.0::DOUBLE as label, count(*) as rows from p union all
+    select 0.0, count(*) from neg, k where r <= k and s in (select node from v) and t in (select node from v)""",
+)
+def training_set(g: Graphs) -> DataFrame:
+    rows = lp.training_set(g.pairs("handoff"), _table_vectors(g), g.nodes("handoff"), g.edges("handoff"), 0.5)
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register(CATALOG, "l6_fit_logistic")
+def fit_logistic(g: Graphs) -> DataFrame:
+    rows = lp.training_set(g.pairs("handoff"), _table_vectors(g), g.nodes("handoff"), g.edges("handoff"))
+    model = lp.fit_logistic(rows)
+    weights = [(i, round(float(w), 5)) for i, w in enumerate(model.coefficients)] + [(-1, round(model.intercept, 5))]
+    return g.spark.createDataFrame(weights, "entry int, weight double")
+
+
+@register(CATALOG, "l7_score")
+def score(g: Graphs) -> DataFrame:
+    rows = lp.training_set(g.pairs("handoff"), _table_vectors(g), g.nodes("handoff"), g.edges("handoff"))
+    model = lp.fit_logistic(rows)
+    scored = lp.score(lp.hadamard(g.pairs("handoff"), _table_vectors(g)), model)
+    return scored.select("s", "t", F.round("probability", 4).alias("probability"))
+
+
+@register(
+    CATALOG, "l8_binary_metrics",
+    with_graph("trade") + ", " + SCORED_SQL + """, h as (select probability as p, count(case when label = 1 then 1 end) as pos,
+    count(case when label = 0 then 1 end) as neg from scored group by 1),
+    r as (select *, sum(pos) over (order by p desc) as cp, sum(neg) over (order by p desc) as cn from h),
+    m as (select sum(pos) as np, sum(neg) as nn, sum(neg * (cp - pos) + neg * pos / 2.0)::DOUBLE as w, sum(pos * cp / (cp + cn)::DOUBLE) as st,
+    sum(case when p >= 0.5 then pos else 0 end) as tp, sum(case when p >= 0.5 then neg else 0 end) as fp from r)
+    select np::BIGINT as count_pos, nn::BIGINT as count_neg, round(w / (np::DOUBLE * nn), 8) as auc, round(st / np, 8) as ap,
+    round((tp + nn - fp) / (np + nn)::DOUBLE, 8) as accuracy, round(tp / (tp + fp)::DOUBLE, 8) as precision,
+    round(tp / np::DOUBLE, 8) as recall, round(2.0 * tp / (2 * tp + fp + np - tp)::DOUBLE, 8) as f1 from m""",
+)
+def binary_metrics(g: Graphs) -> DataFrame:
+    m = lp.binary_metrics(g.scored())
+    return m.select("count_pos", "count_neg", *[F.round(c, 8).alias(c) for c in m.columns[2:]])
+
+
+
+@register(
+    CATALOG, "l9_candidate_pool",
+    with_graph("trade") + ", " + _draws_sql("trade", 0, "pool|1", True, "2 * 18000") + ", " + _IDS.format(g="trade") + """,
+    raw as (select * from ids order by draw limit 18000)
+    select s, t, draw as pool_pos from raw where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 6000""",
+)
+def candidate_pool(g: Graphs) -> DataFrame:
+    return lp.candidate_pool(g.nodes("trade"), g.edges("trade"), 6000)
+
+
+@register(
+    CATALOG, "l10_family_pool",
+    with_graph("trade") + ", " + _draws_sql("trade", 0, "pool|1", True, "2 * 18000") + ", " + _IDS.format(g="trade") + f""",
+    raw as (select * from ids order by draw limit 18000),
+    pool as (select s, t, draw from raw where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 6000)
+    select s, t, draw as pool_pos from pool where {u60("'used'", "s", "t")} >= 0.3""",
+)
+def family_pool(g: Graphs) -> DataFrame:
+    pool = lp.candidate_pool(g.nodes("trade"), g.edges("trade"), 6000)
+    used = pool.filter(unit_hash("used", F.col("s"), F.col("t")) < 0.3)
+    return lp.family_pool(g.nodes("trade"), g.edges("trade"), used, 2000)
+
+
+_SCORED = with_graph("trade") + ", " + SCORED_SQL
+
+
+@register(
+    CATALOG, "l11_select_threshold_first",
+    _SCORED + """ select s, t, probability from scored order by (probability >= 0.9) desc,
+    case when probability >= 0.9 then pool_pos end, probability desc, s, t limit 6000""",
+)
+def select_threshold_first(g: Graphs) -> DataFrame:
+    return lp.select_threshold_first(g.scored(), 6000, 0.9).select("s", "t", "probability")
+
+
+@register(
+    CATALOG, "l11_select_above_only",
+    _SCORED + " select s, t, probability from scored where probability >= 0.9 order by pool_pos limit 6000",
+)
+def select_above_only(g: Graphs) -> DataFrame:
+    return lp.select_threshold_first(g.scored(), 6000, 0.9, fill_below=False).select("s", "t", "probability")
+
+
+@register(
+    CATALOG, "l12_select_top_k",
+    _SCORED + """ select s, t, probability, (select count(*) from scored) as total_scored,
+    (select count(*) from scored where probability >= 0.5) as above_threshold from scored order by probability desc, s, t limit 1000""",
+)
+def select_top_k(g: Graphs) -> DataFrame:
+    report = lp.selection_report(g.scored(), 0.5).first()
+    top = lp.select_top_k(g.scored(), 1000, 0.5).select("s", "t", "probability")
+    return top.withColumns({c: F.lit(report[c]) for c in ("total_scored", "above_threshold")})
+
+
+@register(
+    CATALOG, "l13_select_test_first",
+    _SCORED + """, r as (select 0 as stage, * from scored where label = 1 and probability >= 0.8 union all
+    select 1, * from scored where label = 0)
+    select stage, s, t, probability from r order by stage, (probability >= 0.8 or stage = 0) desc,
+    case when probability >= 0.8 or stage = 0 then pool_pos end, probability desc, s, t limit 20000""",
+)
+def select_test_first(g: Graphs) -> DataFrame:
+    rows = g.scored()
+    test, pool = rows.filter(F.col("label") == 1), rows.filter(F.col("label") == 0)
+    return lp.select_test_first(test, pool, 20000, 0.8).select("stage", "s", "t", "probability")
+
+
+@register(
+    CATALOG, "l14_select_at_least_k",
+    _SCORED + """ select s, t, probability from scored where label = 0 order by (probability >= 0.95) desc,
+    case when probability >= 0.95 then pool_pos end, probability desc, s, t limit 3000""",
+)
+def select_at_least_k(g: Graphs) -> DataFrame:
+    rows, seen = g.scored(), g.scored().filter(F.col("label") == 1)
+    return lp.select_at_least_k(rows.unionByName(rows), 3000, 0.95, seen).select("s", "t", "probability")
+
+
+@register(
+    CATALOG, "l15_recognized_test_pairs", _SCORED + " select s, t, probability from scored where label = 1 and probability >= 0.7"
+)
+def recognized(g: Graphs) -> DataFrame:
+    return lp.recognized_test_pairs(g.scored().filter(F.col("label") == 1), 0.7).select("s", "t", "probability")
+
+
+@register(
+    CATALOG, "l16_avoid_set",
+    "with " + graph_sql("trade", "supply") + ", " + SERIES_SQL + ", " + CHOSEN_SQL
+    + " select s, t from chosen union select src, dst from trade",
+)
+def avoid_set(g: Graphs) -> DataFrame:
+    return lp.avoid_set(g.chosen(), g.pairs("trade"), g.pairs("trade"))
+
+
+@register(
+    CATALOG, "l17_remember_predicted",
+    "with " + graph_sql("supply") + ", " + SERIES_SQL + """ select distinct family, s, t from series where predicted_timestep = 1
+    union select 'TGN', s, t from series where predicted_timestep = 2""",
+)
+def remember_predicted(g: Graphs) -> DataFrame:
+    rows = g.series()
+    known = rows.filter("predicted_timestep = 1").select("family", "s", "t").distinct()
+    return pr.remember_predicted(known, rows.filter("predicted_timestep = 2"), "TGN")
+
+
+@register(CATALOG, "l18_max_timestamp", future_sql() + " select max(last_ts) as max_ts from future")
+def max_timestamp(g: Graphs) -> DataFrame:
+    top = pr.max_timestamp(g.future())
+    return g.future().agg(F.max(F.lit(top)).alias("max_ts"))
+
+
+@register(
+    CATALOG, "l19_project_predicted",
+    "with " + ", ".join([graph_sql("trade", "supply"), SERIES_SQL, CHOSEN_SQL]) + f""", o as (select src, dst, type, timestamps, first_ts,
+    last_ts, interaction_count, 0 as predicted, 1.0::DOUBLE as probability from trade where first_ts <= 23990
+    union all select s, t, 'PREDICTED', [24100.0], 24100, 24100, 1, 1, probability from chosen)
+    select src, dst, type, {times_sql("timestamps")} as times, first_ts, last_ts, interaction_count, predicted, probability from o
+    union all select dst, src, type, {times_sql("timestamps")}, first_ts, last_ts, interaction_count, predicted, probability from o""",
+)
+def project_predicted(g: Graphs) -> DataFrame:
+    rows = pr.project_predicted(g.edges("trade"), g.chosen(), 23990.0, 24100.0)
+    return _edge_out(rows)
+
+
+def _edge_out(rows: DataFrame) -> DataFrame:
+    from .base import list_text
+
+    return rows.select(
+        "src", "dst", "type", list_text("timestamps").alias("times"), "first_ts", "last_ts", "interaction_count", "predicted",
+        "probability",
+    )
+
+
+@register(
+    CATALOG, "l20_materialize_predicted",
+    future_sql() + f""" select src, dst, type, {times_sql("timestamps")} as times, first_ts, last_ts, interaction_count,
+    case when type = 'PREDICTED' then 1 else 0 end as predicted, probability from future""",
+)
+def materialize(g: Graphs) -> DataFrame:
+    from ..functions.scratch import scratch_path
+
+    s = SnapshotStore(g.spark, scratch_path(g.spark, "store"))
+    nodes, rows = pr.snapshot_rows(g.edges("trade"), g.both_nodes(), g.chosen())
+    run = plan.PredictionRun(None, None, g.chosen(), nodes, rows, None)
+    return _edge_out(s.edges(plan.materialize_predicted(s, "trade", "FastRP", run)))
+
+
+@register(
+    CATALOG, "l20_predicted_nodes", future_sql() + " select src as id from future union select dst from future"
+)
+def predicted_nodes(g: Graphs) -> DataFrame:
+    return pr.snapshot_rows(g.edges("trade"), g.both_nodes(), g.chosen())[0].select("id")
+
+
+@register(CATALOG, "l21_predicted_pairs", future_sql() + " select distinct src as s, dst as t from future where predicted > 0")
+def predicted_pairs(g: Graphs) -> DataFrame:
+    return pr.predicted_pairs(g.future())
+
+
+@register(
+    CATALOG, "l22_predicted_series",
+    future_sql() + """ select src as s, dst as t, probability, last_ts::BIGINT as timestamp, predicted::BIGINT as predicted_timestep
+    from future where type = 'PREDICTED'""",
+)
+def predicted_series(g: Graphs) -> DataFrame:
+    return pr.predicted_series(g.future())
+
+
+@register(
+    CATALOG, "l23_round_counters",
+    future_sql() + " select max(predicted)::BIGINT as max_round, max(last_ts)::BIGINT as max_ts from future",
+)
+def round_counters(g: Graphs) -> DataFrame:
+    return pr.round_counters(g.future())
+
+
+@register(
+    CATALOG, "l24_test_pairs",
+    with_graph("trade") + bands_sql("trade", 0.1, 0.1) + " select distinct src as s, dst as t from split where set = 'test'",
+)
+def test_pairs(g: Graphs) -> DataFrame:
+    split = execute_split(g.edges("trade"), g.nodes("trade"), "temporal", 0.1, 0.1)
+    return plan.pairs_of(split.edges, "test")
+
+
+@register(
+    CATALOG, "l25_confusion",
+    _SCORED + """, x as (select distinct s, t from scored where label = 1), tr as (select s, t from scored where label = 0 and probability < 0.8),
+    pr as (select s, t from scored where probability >= 0.6),
+    n as (select (select count(*) from pr semi join x using (s, t)) as tp,
+    (select count(*) from pr anti join x using (s, t) where (s, t) not in (select (s, t) from tr)) as fp,
+    (select count(*) from x anti join pr using (s, t)) as fn)
+    select tp, fp, fn, round(tp / (tp + fp)::DOUBLE, 8) as precision, round(tp / (tp + fn)::DOUBLE, 8) as recall,
+    round(2.0 * tp / (2 * tp + fp + fn)::DOUBLE, 8) as f1 from n""",
+)
+def confusion(g: Graphs) -> DataFrame:
+    rows = g.scored()
+    out = pr.confusion(rows, rows.filter("label = 1"), rows.filter("label = 0 and probability < 0.8"), 0.6)
+    return out.select("tp", "fp", "fn", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register(
+    CATALOG, "l26_top_predicted",
+    _SCORED + " select t as node, probability as score from scored where s = 'c7' order by 2 desc, 1 limit 50",
+)
+def top_predicted(g: Graphs) -> DataFrame:
+    return pr.top_predicted(g.scored(), "c7")
+
+
+@register(CATALOG, "l27_run_link_prediction")
+def run_link_prediction(g: Graphs) -> DataFrame:
+    nodes, edges = g.nodes("handoff"), g.edges("handoff")
+    split = execute_split(edges, nodes, "temporal", 0.1, 0.1)
+    emb = embed("FastRP", nodes, split.part("train"), 16)
+    run = plan.run_link_prediction(nodes, edges, split, emb, k=100)
+    added = run.edges.filter(F.col("predicted") > 0).count()
+    rounded = [F.round(c, 3).alias(c) for c in ("auc", "ap", "accuracy", "precision", "recall", "f1")]
+    return run.metrics.select("set", "count_pos", "count_neg", *rounded).withColumn("predicted_edges", F.lit(added))
+
+

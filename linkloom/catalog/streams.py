@@ -1 +1,49 @@
+"""Streaming queries: the event log as a stream, result after all its rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scratch import scratch_path
+from ..streaming import collapse, memory
+from .base import Graphs, list_text, register
+
 CATALOG: dict = {}
+
+
+def _hops(g: Graphs, folder: str) -> DataFrame:
+    """Interactions as a stream of files, in time order over a few micro-batches."""
+    raw = g.handoff_raw().filter("src is not null").select("src", "dst", "ts", F.col("rel_type").alias("type"))
+    for number, (lo, hi) in enumerate([(0, 19733), (19733, 19743), (19743, 10**6)]):
+        raw.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(f"{folder}/p={number}")
+    return (
+        g.spark.readStream.schema("src string, dst string, ts double, type string")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{folder}/p=*")
+    )
+
+
+@register(
+    CATALOG, "w2_streaming_collapse",
+    """with r as (select least(a, b)::VARCHAR as src, greatest(a, b)::VARCHAR as dst, ts, type from (
+    select lag(user_id) over (order by ts, event_id) as a, user_id as b, event_type as type,
+    date_diff('day', DATE '1970-01-01', ts::DATE) as ts from events) where a is not null and a <> b)
+    select src, dst, type, array_to_string([x::VARCHAR for x in list_sort(list(distinct ts))], ',') as times, count(distinct ts) as interaction_count
+    from r group by src, dst, type""",
+)
+def streaming_collapse(g: Graphs) -> DataFrame:
+    path, check = scratch_path(g.spark, "stream"), scratch_path(g.spark, "check")
+    collapse.stream_edges(_hops(g, scratch_path(g.spark, "in")), path, check).awaitTermination()
+    return collapse.current_edges(g.spark, path).select(
+        "src", "dst", "type", list_text("timestamps").alias("times"), "interaction_count"
+    )
+
+
+@register(CATALOG, "w1_streaming_memory")
+def streaming_memory(g: Graphs) -> DataFrame:
+    path, check = scratch_path(g.spark, "stream"), scratch_path(g.spark, "check")
+    hops = _hops(g, scratch_path(g.spark, "in")).filter("src <> dst")
+    memory.stream_memory(hops, path, check, dim=8, time_dim=4).awaitTermination()
+    rows = memory.current_memory(g.spark, path, g.nodes("handoff"), 8, 4)
+    return rows.select("node", F.posexplode("vec").alias("j", "x")).select("node", "j", F.round("x", 5).alias("x"))

@@ -79,5 +79,5 @@ def family_column(name: Column) -> Column:
         if family == "HashGNN":
             hit = hit | (low.contains("hash") & low.contains("gnn"))
         out = F.when(hit, family) if out is None else out.when(hit, family)
-    plain = F.trim(F.lit("_"), F.regexp_replace(name, r"[^A-Za-z0-9]+", "_"))
+    plain = F.trim(F.regexp_replace(name, r"[^A-Za-z0-9]+", "_"), F.lit("_"))
     return out.otherwise(F.coalesce(F.nullif(plain, F.lit("")), F.lit("Embedding")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scratch import list_dirs, remove_path
-from ..operators.clean import canonicalize_direction, drop_null_endpoints, drop_self_loops, with_type
+from ..operators.clean import canonicalize_direction, drop_null_endpoints, drop_self_loops, timestamp_rollup, with_type
 
 
 def batch_delta(batch: DataFrame) -> DataFrame:
@@ -37,8 +37,6 @@ def stream_edges(interactions: DataFrame, path: str, checkpoint: str) -> Streami
 
 def current_edges(spark: SparkSession, path: str) -> DataFrame:
     """Merged edges with their sorted distinct times."""
-    from ..operators.clean import timestamp_rollup
-
     return timestamp_rollup(spark.read.parquet(path).select("src", "dst", "type", "ts"))
 
 

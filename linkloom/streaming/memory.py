@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ordering import previous_row
 from ..functions.scratch import cut, list_dirs
+from ..functions.skew import find_hot, salted_join
 from ..operators.embeddings.temporal import apply_projection, blend_neighbors, last_k_neighbors, memory_sums
 from ..operators.graph import mirror
 
@@ -37,7 +38,8 @@ def merge_batch(
     events = cut(mirror(batch.select("src", "dst", "ts").distinct()).select("ts", "src", "dst"), "events")
     timed = previous_row(events, ["src"], [F.col("ts").asc(), F.col("dst").asc()], {"before": "ts"})
     if old is not None:
-        timed = timed.join(old.select(F.col("node").alias("src"), F.col("last_ts").alias("stored")), "src", "left")
+        stored = old.select(F.col("node").alias("src"), F.col("last_ts").alias("stored"))
+        timed = salted_join(timed, stored, ["src"], find_hot(events, "src"), "left")
         before = F.coalesce("before", "stored")
     else:
         before = F.col("before")
