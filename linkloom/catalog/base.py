@@ -113,6 +113,12 @@ class Graphs:
 
     # -- scored pairs and a predicted snapshot --------------------------------------
     def scored(self) -> DataFrame:
+        return self.stored("scored", self._scored)
+
+    def series(self) -> DataFrame:
+        return self.stored("series", self._series)
+
+    def _scored(self) -> DataFrame:
         """Pairs of ``trade`` with a hashed score and pool position; label: seen after month 23975."""
         e = self.edges("trade")
         s, t = F.col("src"), F.col("dst")
@@ -122,7 +128,7 @@ class Graphs:
             F.when(F.col("last_ts") >= 23975, 1.0).otherwise(0.0).alias("label"),
         )
 
-    def series(self) -> DataFrame:
+    def _series(self) -> DataFrame:
         """Predicted series of five families: every family holds the pairs below its hashed limit."""
         fam = F.explode(F.array(*[F.lit(f) for f in FAMILY_NAMES])).alias("family")
         p = self.pairs("supply").select("s", "t", fam)
@@ -132,7 +138,7 @@ class Graphs:
         return rows.filter(F.col("probability") >= 0.4).withColumn("timestamp", F.lit(24020) + F.col("predicted_timestep"))
 
     def chosen(self) -> DataFrame:
-        """Pairs of ``supply`` that ``reads`` as predicted edges next to ``trade``."""
+        """Pairs of ``supply`` taken as predicted edges next to ``trade``."""
         return self.series().filter((F.col("family") == "FastRP") & (F.col("probability") >= 0.9)).select("s", "t", "probability")
 
     def both_nodes(self) -> DataFrame:

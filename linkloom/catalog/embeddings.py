@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
-from ..operators.embeddings import embed, store, temporal
+from ..operators.embeddings import store, temporal
+from ..operators.embeddings.families import embed
 from ..operators.embeddings.fastrp import fastrp
 from ..operators.embeddings.hashgnn import hashgnn
 from ..operators.embeddings.node2vec import random_walks

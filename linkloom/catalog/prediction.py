@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import unit_hash
 from ..operators import linkpred as lp
 from ..operators import predicted as pr
-from ..operators.embeddings import embed
+from ..operators.embeddings.families import embed
 from ..operators.splits import execute_split, temporal_split
 from ..plans import prediction as plan
 from ..sources.snapshots import SnapshotStore

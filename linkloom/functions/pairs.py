@@ -15,38 +15,48 @@ def as_number(col: Column) -> Column:
     return F.when(text.rlike(NUMERIC_TEXT), F.trim(text).try_cast("double"))
 
 
-def _both_numeric(a: Column, b: Column) -> Column:
-    return as_number(a).isNotNull() & as_number(b).isNotNull()
+# Column types that compare as numbers without looking at text.
+NUMBER_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
-def same_endpoint(a: Column, b: Column) -> Column:
-    """Numeric equality if both ids are numbers (``1`` is ``1.0``), else text equality."""
-    return F.when(_both_numeric(a, b), as_number(a) == as_number(b)).otherwise(
-        a.cast("string") == b.cast("string")
-    )
+def _with_sign(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds ``__sign``: order of the two ends (-1, 0, 1), each text parsed once per row.
 
+    Two ends that are numbers compare by value (``1`` is ``1.0``), all others as text.
+    """
+    types = dict(df.dtypes)
+    if types[a] in NUMBER_TYPES and types[b] in NUMBER_TYPES:
+        return df.withColumn("__sign", _sign(F.col(a), F.col(b)))
+    parsed = df.withColumns({"__x": as_number(F.col(a)), "__y": as_number(F.col(b))})
+    numeric = F.col("__x").isNotNull() & F.col("__y").isNotNull()
+    by_text = _sign(F.col(a).cast("string"), F.col(b).cast("string"))
+    return parsed.withColumn("__sign", F.when(numeric, _sign(F.col("__x"), F.col("__y"))).otherwise(by_text)).drop("__x", "__y")
 
-def out_of_order(a: Column, b: Column) -> Column:
-    """True where ``a`` comes after ``b``: numeric order for two numbers, else text order."""
-    return F.when(_both_numeric(a, b), as_number(a) > as_number(b)).otherwise(
-        a.cast("string") > b.cast("string")
-    )
 
+def _sign(x: Column, y: Column) -> Column:
+    return F.when(x > y, 1).when(x < y, -1).otherwise(0)
 
-# Column types that compare as numbers without looking at text.
-NUMBER_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+
+def _swapped(df: DataFrame, a: str, b: str) -> DataFrame:
+    swap = F.col("__sign") > 0
+    return df.withColumns(
+        {a: F.when(swap, F.col(b)).otherwise(F.col(a)), b: F.when(swap, F.col(a)).otherwise(F.col(b))}
+    ).drop("__sign")
 
 
 def canonical(df: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Swap the two endpoint columns wherever they are out of order."""
-    types = dict(df.dtypes)
-    if types[a] in NUMBER_TYPES and types[b] in NUMBER_TYPES:
-        swap = F.col(a) > F.col(b)
-    else:
-        swap = out_of_order(F.col(a), F.col(b))
-    return df.withColumns(
-        {a: F.when(swap, F.col(b)).otherwise(F.col(a)), b: F.when(swap, F.col(a)).otherwise(F.col(b))}
-    )
+    return _swapped(_with_sign(df, a, b), a, b)
+
+
+def distinct_ends(df: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """Rows whose two ends are not the same id."""
+    return _with_sign(df, a, b).filter("__sign <> 0").drop("__sign")
+
+
+def canonical_distinct(df: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """Both rules in one pass over the ends."""
+    return _swapped(_with_sign(df, a, b).filter("__sign <> 0"), a, b)
 
 
 def pair_key(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot from this many rows on; hot keys share this many salts.
-HOT_ROWS = 50_000
+HOT_ROWS = 1_000_000
 SALTS = 64
 # Fixed value: most rows of a lookup side that may be sent to every executor.
 BROADCAST_ROWS = 50_000

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index
-from ..functions.pairs import as_number, canonical, id_order, same_endpoint
+from ..functions.pairs import as_number, canonical, canonical_distinct, distinct_ends, id_order
 from ..functions.skew import keep_ends
 from .graph import component_sizes, connected_components
 
@@ -51,7 +51,7 @@ def drop_null_endpoints(df: DataFrame) -> DataFrame:
 
 
 def drop_self_loops(df: DataFrame) -> DataFrame:
-    return df.filter(~same_endpoint(F.col("src"), F.col("dst")))
+    return distinct_ends(df, "src", "dst")
 
 
 def canonicalize_direction(df: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def collapse_edges(df: DataFrame, order: list[str] | None = None) -> DataFrame:
 def timestamp_rollup(df: DataFrame) -> DataFrame:
     """Sorted distinct times per (src, dst, type) with first, last and count; ``ts`` is the last."""
     single = df.select("src", "dst", "type", "ts").distinct()
-    return _with_bounds(single.groupBy("src", "dst", "type").agg(F.array_sort(F.collect_list("ts")).alias("timestamps")))
+    return _with_bounds(single.groupBy("src", "dst", "type").agg(F.sort_array(F.collect_list("ts")).alias("timestamps")))
 
 
 def _with_bounds(df: DataFrame) -> DataFrame:
@@ -144,5 +144,5 @@ def clean_edges(
 ) -> DataFrame:
     """The whole cleaning chain; everything before the collapse is one narrow stage."""
     df = drop_null_endpoints(resolve_timestamp(with_type(raw, type_column), time_column, temporal))
-    edges = collapse_edges(canonicalize_direction(drop_self_loops(df)), order).withColumn("predicted", F.lit(0))
+    edges = collapse_edges(canonical_distinct(df, "src", "dst"), order).withColumn("predicted", F.lit(0))
     return largest_component(edges) if keep_largest else edges

@@ -1,41 +1 @@
-"""The five embedding families behind one call."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-
-from ..features import binary_columns, degree_feature, discover
-from .fastrp import fastrp
-from .graphsage import graphsage
-from .hashgnn import hashgnn
-from .node2vec import node2vec
-from .temporal import temporal_memory
-
-
-def embed(family: str, nodes: DataFrame, edges: DataFrame, dim: int = 128, seed: int = 42, later_round: bool = False, **options) -> DataFrame:
-    """``(node, vec)`` for ``nodes`` (``id``, ``nid``, features) over ``edges``.
-
-    Features are found as in the fallback rules: none numeric means topology only for
-    FastRP, the degree for GraphSAGE, random bits for HashGNN.  In later rounds FastRP
-    ignores features and GraphSAGE trains five epochs.
-    """
-    extra = [c for c in nodes.columns if c not in ("id", "nid", "labels")]
-    only = nodes.select("id", *extra)
-    if family == "FastRP":
-        ratio = 0.0 if later_round else options.pop("property_ratio", 0.0)
-        used = discover(only, "numeric") if ratio > 0 and extra else []
-        return fastrp(nodes, edges, dim, ratio, used, seed=seed, **options)
-    if family == "Node2Vec":
-        return node2vec(nodes, edges, dim, seed=seed, **options)
-    if family == "HashGNN":
-        used = binary_columns(only) if extra else []
-        return hashgnn(nodes, edges, dim, features=used, seed=seed, **options)
-    if family == "GraphSAGE":
-        used = discover(only, "numeric") if extra else []
-        if not used:
-            table, used = degree_feature(nodes, edges, used)
-            nodes = nodes.select("id", "nid").join(table, "id", "left")
-        return graphsage(nodes, edges, used, dim, seed=seed, **options)
-    if family == "TGN":
-        return temporal_memory(nodes, edges, dim, seed=seed, **options)
-    raise ValueError(f"unknown embedding family '{family}'")
+"""Node embedding families."""

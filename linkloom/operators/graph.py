@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import first_rows
@@ -85,8 +85,9 @@ def component_sizes(components: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64, target=None) -> DataFrame:
     """``(node, parent, depth)`` from all ``sources`` (one column) level by level.
 
-    The parent is the smallest neighbour one level up.  Each level is one table in a
-    shared folder, so the plan stays flat however deep the search goes.
+    The parent is the smallest neighbour one level up.  A neighbour of level d is in level
+    d-1, d or d+1, so new nodes are checked against two levels only.  Each level is one
+    table in a shared folder, so the plan stays flat however deep the search goes.
     """
     spark = edges.sparkSession
     (name,) = sources.columns
@@ -94,23 +95,25 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64, target=None)
     hubs = find_hot(steps, "src")
     root = scratch_path(spark, "bfs")
     node_type = dict(steps.dtypes)["src"]
+    schema = f"node {node_type}, parent {node_type}"
+
+    def level(depth: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{root}/depth={depth}")
+
     start = sources.select(F.col(name).cast(node_type).alias("node"), F.lit(None).cast(node_type).alias("parent"))
     start.distinct().write.parquet(f"{root}/depth=0")
     for depth in range(1, max_depth + 1):
-        seen = _levels(spark, root, node_type)
-        frontier = spark.read.schema(f"node {node_type}, parent {node_type}").parquet(f"{root}/depth={depth - 1}")
+        frontier = level(depth - 1)
+        near = frontier.select("node") if depth == 1 else frontier.select("node").union(level(depth - 2).select("node"))
         reach = salted_join(steps, frontier.select(F.col("node").alias("src")), ["src"], hubs)
         found = reach.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        found.join(seen.select("node"), "node", "left_anti").write.parquet(f"{root}/depth={depth}")
-        level = spark.read.schema(f"node {node_type}, parent {node_type}").parquet(f"{root}/depth={depth}")
-        if level.isEmpty() or (target is not None and not level.filter(F.col("node") == F.lit(target)).isEmpty()):
+        found.join(near, "node", "left_anti").write.parquet(f"{root}/depth={depth}")
+        done = level(depth).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("node") == F.lit(target)).alias("hit")
+        ).first()
+        if not done["n"] or done["hit"]:
             break
-    return _levels(spark, root, node_type)
-
-
-def _levels(spark: SparkSession, root: str, node_type: str) -> DataFrame:
-    schema = f"node {node_type}, parent {node_type}, depth int"
-    return spark.read.schema(schema).parquet(root)
+    return spark.read.schema(f"{schema}, depth int").parquet(root)
 
 
 def neighborhood(edges: DataFrame, node, limit: int | None = None) -> DataFrame:

@@ -150,7 +150,7 @@ def training_set(
     """``(s, t, label, features)``: usable positives and as many sampled non-edges per positive."""
     pos = cut(hadamard(positives.select("s", "t"), emb), "pos")
     want = negative_count(pos.count(), ratio)
-    neg = hadamard(sample_negatives(nodes, edges, want, as_of, seed, swap).select("s", "t"), emb)
+    neg = hadamard(cut(sample_negatives(nodes, edges, want, as_of, seed, swap).select("s", "t"), "neg"), emb)
     label = lambda df, v: df.select("s", "t", F.lit(v).alias("label"), "features")
     return label(pos, 1.0).unionByName(label(neg, 0.0))
 
@@ -175,18 +175,30 @@ def score(pairs: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     return out.select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 
 
-def binary_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row: counts, AUC, average precision, accuracy, precision, recall, F1.
+def binary_metrics(scored: DataFrame, threshold: float = 0.5, by: str | None = None) -> DataFrame:
+    """One row (per value of ``by``): counts, AUC, average precision, accuracy, precision, recall, F1.
 
     Exact: rows are first counted per distinct score, then running counts in score order
     give the rank sums; no binning.  Null where a class is missing, 0 on a zero division.
     """
     is_pos = F.col("label") == 1
-    counts = scored.groupBy("probability").agg(F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg"))
-    steps = running_sums(counts, [F.col("probability").desc()], {"cum_pos": "pos", "cum_neg": "neg"})
+    group = F.lit("all") if by is None else F.col(by)
+    counts = scored.groupBy(group.alias("__by"), "probability").agg(
+        F.count_if(is_pos).alias("pos"), F.count_if(~is_pos).alias("neg")
+    )
+    order = [F.col("__by").asc(), F.col("probability").desc()]
+    steps = running_sums(counts, order, {"cum_pos": "pos", "cum_neg": "neg"})
+    # one row per group: what the groups before it have summed up
+    before = steps.groupBy("__by").agg(
+        F.min(F.col("cum_pos") - F.col("pos")).alias("from_pos"), F.min(F.col("cum_neg") - F.col("neg")).alias("from_neg")
+    )
+    steps = steps.join(before, "__by").withColumns(
+        {"cum_pos": F.col("cum_pos") - F.col("from_pos"), "cum_neg": F.col("cum_neg") - F.col("from_neg")}
+    )
     high = F.col("probability") >= F.lit(float(threshold))
     pos, neg, cum = F.col("pos").cast("double"), F.col("neg").cast("double"), F.col("cum_pos").cast("double")
-    sums = steps.agg(
+    grouped = steps.groupBy("__by") if by is not None else steps
+    sums = grouped.agg(
         F.sum("pos").alias("count_pos"),
         F.sum("neg").alias("count_neg"),
         F.sum(neg * (cum - pos) + neg * pos / 2).alias("__rank"),
@@ -197,7 +209,7 @@ def binary_metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     total = F.col("count_pos") + F.col("count_neg")
     out = sums.select(
-        "count_pos", "count_neg",
+        *([F.col("__by").alias(by)] if by is not None else []), "count_pos", "count_neg",
         F.when((F.col("count_pos") > 0) & (F.col("count_neg") > 0), F.col("__rank") / (F.col("count_pos") * F.col("count_neg"))).alias("auc"),
         F.when(F.col("count_pos") > 0, F.col("__step") / F.col("count_pos")).alias("ap"),
         F.when(total > 0, (F.col("tp") + F.col("count_neg") - F.col("fp")) / total).alias("accuracy"),

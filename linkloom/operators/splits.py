@@ -85,7 +85,7 @@ def pair_times(edges: DataFrame) -> DataFrame:
     """
     fallback = F.array(F.coalesce("last_ts", "first_ts", "ts", F.lit(0.0)))
     times = F.when(F.size("timestamps") > 0, F.col("timestamps")).otherwise(fallback)
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list(times))))
+    merged = F.sort_array(F.array_distinct(F.flatten(F.collect_list(times))))
     return edges.groupBy("src", "dst").agg(merged.alias("timestamps"))
 
 
@@ -229,7 +229,7 @@ def execute_split(
     elif mode in ("random", "connected"):
         pairs = (random_split if mode == "random" else connected_split)(edges, test, val, seed)
         info = edges.groupBy("src", "dst").agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("timestamps")))).alias("timestamps"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("timestamps")))).alias("timestamps"),
             F.min("first_ts").alias("first_ts"),
             F.max("last_ts").alias("last_ts"),
         )

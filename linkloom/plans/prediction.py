@@ -12,7 +12,7 @@ from ..functions.scratch import cut
 from ..operators import linkpred as lp
 from ..operators import predicted as pr
 from ..operators.clean import assign_nid
-from ..operators.embeddings import embed
+from ..operators.embeddings.families import embed
 from ..operators.embeddings.store import infer_dim
 from ..operators.splits import Split, execute_split
 from ..sources.snapshots import FAMILIES, SnapshotStore
@@ -33,13 +33,15 @@ def pairs_of(split: DataFrame, name: str) -> DataFrame:
     return split.filter(F.col("set") == name).select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct()
 
 
-def evaluate(train: DataFrame, sets: dict[str, DataFrame], model) -> DataFrame:
-    """Metrics per set as rows; an empty set has null metrics."""
-    out = None
-    for name, rows in {"train": train, **sets}.items():
-        m = lp.binary_metrics(lp.score(rows, model).select("label", "probability")).select(F.lit(name).alias("set"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+def evaluate(sets: dict[str, DataFrame], model) -> DataFrame:
+    """Metrics per set as rows, from one pass over all sets; an empty set has null metrics."""
+    rows = None
+    for name, part in sets.items():
+        tagged = part.select(F.lit(name).alias("set"), "label", "features")
+        rows = tagged if rows is None else rows.unionByName(tagged)
+    names = rows.sparkSession.createDataFrame([(n,) for n in sets], "set string")
+    metrics = lp.binary_metrics(lp.score(rows, model), by="set")
+    return names.join(metrics, "set", "left").na.fill(0, ["count_pos", "count_neg"])
 
 
 def run_link_prediction(
@@ -68,7 +70,7 @@ def run_link_prediction(
         at = lp.snapshot_cutoff(pos[name], edges)
         sets[name] = cut(lp.training_set(pos[name], emb, nodes, edges, ratio, at, f"{seed}|{name}"), "set")
     model = lp.fit_logistic(sets["train"])
-    metrics = cut(evaluate(sets["train"], {"validation": sets["val"], "test": sets["test"]}, model), "metrics")
+    metrics = cut(evaluate({"train": sets["train"], "validation": sets["val"], "test": sets["test"]}, model), "metrics")
     recognized = lp.recognized_test_pairs(lp.score(lp.hadamard(pos["test"], emb), model), evaluation_threshold)
     spark = nodes.sparkSession
     id_type = dict(nodes.dtypes)["id"]
