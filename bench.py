@@ -16,7 +16,7 @@ from linkloom.catalog.base import Graphs
 from linkloom.session import local_session
 
 HEADLINE = [
-    "e7_whole_cleaning", "e6_collapse_edges", "e8_largest_component", "e11_assign_nid",
+    "held_out_support", "e7_whole_cleaning", "e6_collapse_edges", "e8_largest_component", "e11_assign_nid",
     "f2_one_hot", "f11_join_features", "f1_classify_columns",
     "p2_random_split", "p3_connected_split", "p6_temporal_split", "p9_split_nodes",
     "g1_degree", "g2_connected_components", "g3_bfs", "g5_shortest_path", "g6_common_neighbor_counts",

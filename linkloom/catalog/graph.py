@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..operators.splits import temporal_split
+from ..plans.flagship import held_out_support
 from .base import Graphs, register, with_graph
 from .cleaning import COMPONENTS_SQL
 from .splits import bands_sql
@@ -87,3 +88,16 @@ def common_neighbors_of_two(g: Graphs) -> DataFrame:
 )
 def one_hop_paths(g: Graphs) -> DataFrame:
     return gr.one_hop_paths(g.edges("trade").select("src", "dst", "type"))
+
+
+@register(
+    CATALOG, "held_out_support",
+    with_graph("handoff") + bands_sql("handoff", 0.1, 0.1) + """, tr as (select distinct src, dst from split where set = 'train'),
+    bw as (select src as a, dst as b from tr union select dst, src from tr),
+    c as (select p.src, p.dst, count(*) as common from (select distinct src, dst from split) p join bw x on x.a = p.src
+    join bw y on y.a = p.dst and y.b = x.b group by p.src, p.dst)
+    select set, count(*) as pairs, sum(interaction_count)::BIGINT as interactions, count(common) as supported_pairs,
+    coalesce(sum(common), 0)::BIGINT as shared_neighbors from split left join c using (src, dst) group by set""",
+)
+def flagship(g: Graphs) -> DataFrame:
+    return held_out_support(g.edges("handoff"))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 # A key is hot from this many rows on; hot keys share this many salts.
 HOT_ROWS = 1_000_000
 SALTS = 64
-# Fixed value: most rows of a lookup side that may be sent to every executor.
-BROADCAST_ROWS = 50_000
 
 
 def hot_limit(total_rows: int) -> int:
@@ -52,13 +50,6 @@ def find_hot(big: DataFrame, key: str, total_rows: int | None = None) -> list:
     return [r[0] for r in hot_keys(big, key, total).collect()]
 
 
-def small_or_shuffled(df: DataFrame) -> DataFrame:
-    """Broadcast hint only after counting at most ``BROADCAST_ROWS`` rows."""
-    if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
-
-
 def keep_ends(edges: DataFrame, ids: DataFrame, ends: tuple[str, ...] = ("src", "dst")) -> DataFrame:
     """Edges whose ends are all in ``ids`` (one column); hubs are salted."""
     (name,) = ids.columns

@@ -93,8 +93,10 @@ def probability_distribution(series: DataFrame) -> DataFrame:
     place by an equi-join on the unique index, so no group is gathered in one task.
     """
     keys = ["family", "timestamp"]
-    rows = series.select(*keys, "probability")
-    placed = global_index(rows, [F.col("family"), F.col("timestamp"), F.col("probability")], "place")
+    # the pair breaks ties, so equal probabilities do not gather in one range
+    rows = series.select(*keys, "probability", F.xxhash64("s", "t").alias("tie"))
+    order = [F.col("family"), F.col("timestamp"), F.col("probability"), F.col("tie")]
+    placed = global_index(rows, order, "place")
     p = F.col("probability")
     bins = F.least(F.floor(p * 10), F.lit(9))
     groups = placed.groupBy(*keys).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import first_rows
+from ..functions.ordering import first_rows, global_index
 from ..functions.scratch import cut, drop_cut, scratch_path
 from ..functions.skew import HOT_ROWS, find_hot, salted_join
 
@@ -50,12 +50,35 @@ def _star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
     return moved.filter(F.col("node") != F.col("nb")).distinct()
 
 
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges between dense numbers, and ``(node, n)`` in node order.
+
+    Loops over text ids would sort for every minimum and shuffle the texts in every
+    round; numbers are aggregated by hash.
+    """
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ids = cut(global_index(nodes, [F.col("node").asc()], "n"), "ids")
+    pairs = undirected_pairs(edges)
+    for end in ("src", "dst"):
+        by_end = ids.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"))
+        pairs = salted_join(pairs, by_end, [end], find_hot(edges, end)).drop(end)
+    return cut(pairs.select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst")), "numbered"), ids
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` with the smallest node as component id.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): the number of
     rounds grows with the logarithm of the diameter, and the rows never exceed the edges.
     """
+    if dict(edges.dtypes)["src"] == "string":
+        pairs, ids = numbered(edges)
+        found = connected_components(pairs, max_rounds).withColumnRenamed("node", "n")
+        named = ids.select(F.col("n").alias("component"), F.col("node").alias("name"))
+        # the largest component may hold most nodes: its rows are spread over salts
+        labelled = ids.join(found, "n").select("node", "component")
+        labelled = salted_join(labelled, named, ["component"], find_hot(found, "component"))
+        return labelled.select("node", F.col("name").alias("component"))
     pairs = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
     state = cut(pairs.select(F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("nb")), "cc")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -91,6 +114,8 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64, target=None)
     """
     spark = edges.sparkSession
     (name,) = sources.columns
+    if dict(edges.dtypes)["src"] == "string":
+        return _bfs_by_number(edges, sources.withColumnRenamed(name, "node"), max_depth, target)
     steps = cut(mirror(undirected_pairs(edges)), "adj")
     hubs = find_hot(steps, "src")
     root = scratch_path(spark, "bfs")
@@ -116,6 +141,21 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64, target=None)
     return spark.read.schema(f"{schema}, depth int").parquet(root)
 
 
+def _bfs_by_number(edges: DataFrame, sources: DataFrame, max_depth: int, target) -> DataFrame:
+    pairs, ids = numbered(edges)
+    start = ids.join(sources.select("node").distinct(), "node").select("n")
+    goal = None
+    if target is not None:
+        hit = ids.filter(F.col("node") == F.lit(target)).first()
+        goal = hit["n"] if hit is not None else None
+    tree = bfs(pairs, start, max_depth, goal).withColumnRenamed("node", "n")
+    parents = ids.select(F.col("n").alias("parent"), F.col("node").alias("name"))
+    named = salted_join(tree.join(ids, "n"), parents, ["parent"], find_hot(tree, "parent"), "left")
+    lone = sources.select("node").distinct().join(ids, "node", "left_anti")
+    rows = named.select("node", F.col("name").alias("parent"), "depth")
+    return rows.unionByName(lone.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")))
+
+
 def neighborhood(edges: DataFrame, node, limit: int | None = None) -> DataFrame:
     """Distinct 1-hop neighbours of ``node``; the filter reaches the scan on both sides."""
     out = (

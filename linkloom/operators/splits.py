@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash60
 from ..functions.ordering import global_index
 from ..functions.scratch import cut
-from .graph import bfs, component_sizes, connected_components, mirror, undirected_pairs
+from ..functions.skew import find_hot, salted_join
+from .graph import bfs, component_sizes, connected_components, mirror, numbered, undirected_pairs
 
 SETS = ("train", "val", "test")
 
@@ -44,7 +45,14 @@ def random_split(edges: DataFrame, test: float, val: float | None = None, seed:
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """BFS tree edges of every component from its smallest node, in canonical direction."""
-    pairs = cut(undirected_pairs(edges), "pairs")
+    if dict(edges.dtypes)["src"] == "string":
+        numbers, ids = numbered(edges)
+        forest = spanning_forest(numbers)
+        for end in ("src", "dst"):
+            by_end = ids.select(F.col("n").alias(end), F.col("node").alias(f"name_{end}"))
+            forest = salted_join(forest, by_end, [end], find_hot(numbers, end)).drop(end)
+        return forest.select(F.col("name_src").alias("src"), F.col("name_dst").alias("dst"))
+    pairs = undirected_pairs(edges)
     roots = connected_components(pairs).select(F.col("component").alias("node")).distinct()
     tree = bfs(pairs, roots, max_depth=1_000_000).filter(F.col("parent").isNotNull())
     ends = mirror(tree.select(F.col("node").alias("src"), F.col("parent").alias("dst")))
