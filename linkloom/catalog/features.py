@@ -171,7 +171,7 @@ def normalize_existing(g: Graphs) -> DataFrame:
         F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").alias("balance"),
         F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"),
     )
-    return ft.normalize_existing(nodes)
+    return ft.normalize_existing(nodes, 100)
 
 
 @register(

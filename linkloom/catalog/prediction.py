@@ -31,6 +31,13 @@ _IDS = """ids as (select case when x.id < y.id then x.id else y.id end as s, cas
     from d join {g}_nodes x on x.nid = a join {g}_nodes y on y.nid = b)"""
 
 
+# a graph with few pairs is listed by pair number, a larger one is drawn from
+_POOL_DRAWS = _draws_sql("trade", 0, "pool|1", True, "2 * 18000").replace("d as (select least", "d1 as (select least") + f""",
+    d as (select d1.* from d1, c where n * (n - 1) // 2 > 72000 union all
+    select x.nid, y.nid, {h60("'pool|1'", "y.nid * (y.nid - 1) // 2 + x.nid")} from trade_nodes x join trade_nodes y on x.nid < y.nid, c
+    where n * (n - 1) // 2 <= 72000)"""
+
+
 @register(
     CATALOG, "l1_sample_negatives",
     with_graph("trade") + ", " + _draws_sql("trade", 5000, "42", False, "15000") + ", " + _IDS.format(g="trade") + """
@@ -89,7 +96,7 @@ def hadamard(g: Graphs) -> DataFrame:
     from d join handoff_nodes x on x.nid = a join handoff_nodes y on y.nid = b),
     neg as (select s, t, row_number() over (order by draw) as r from ids where not exists (select 1 from handoff e where e.src = s and e.dst = t))
     select 1.0::DOUBLE as label, count(*) as rows from p union all
-    select 0.0, count(*) from neg, k where r <= k and s in (select node from v) and t in (select node from v)""",
+    select 0.0, count(*) from neg, k where r <= k and s in (select node from v) and t in (select node from v) having count(*) > 0""",
 )
 def training_set(g: Graphs) -> DataFrame:
     rows = lp.training_set(g.pairs("handoff"), _table_vectors(g), g.nodes("handoff"), g.edges("handoff"), 0.5)
@@ -131,8 +138,8 @@ def binary_metrics(g: Graphs) -> DataFrame:
 
 @register(
     CATALOG, "l9_candidate_pool",
-    with_graph("trade") + ", " + _draws_sql("trade", 0, "pool|1", True, "2 * 18000") + ", " + _IDS.format(g="trade") + """,
-    raw as (select * from ids order by draw limit 18000)
+    with_graph("trade") + ", " + _POOL_DRAWS + ", " + _IDS.format(g="trade") + """,
+    raw as (select * from ids order by draw limit (select case when n * (n - 1) // 2 > 72000 then 18000 else 72000 end from c))
     select s, t, draw as pool_pos from raw where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 6000""",
 )
 def candidate_pool(g: Graphs) -> DataFrame:
@@ -141,8 +148,8 @@ def candidate_pool(g: Graphs) -> DataFrame:
 
 @register(
     CATALOG, "l10_family_pool",
-    with_graph("trade") + ", " + _draws_sql("trade", 0, "pool|1", True, "2 * 18000") + ", " + _IDS.format(g="trade") + f""",
-    raw as (select * from ids order by draw limit 18000),
+    with_graph("trade") + ", " + _POOL_DRAWS + ", " + _IDS.format(g="trade") + f""",
+    raw as (select * from ids order by draw limit (select case when n * (n - 1) // 2 > 72000 then 18000 else 72000 end from c)),
     pool as (select s, t, draw from raw where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 6000)
     select s, t, draw as pool_pos from pool where {u60("'used'", "s", "t")} >= 0.3""",
 )

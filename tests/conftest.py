@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from linkloom.session import local_session
 
-    session = local_session("4", partitions=4, memory="6g")
+    session = local_session("8", partitions=4, memory="6g")
     yield session
     session.stop()
 
