@@ -7,7 +7,6 @@ batch replaces itself; readers merge the deltas, and ``compact`` folds them into
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scratch import list_dirs, remove_path
