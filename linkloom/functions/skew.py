@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 # A key is hot from this many rows on; hot keys share this many salts.
 HOT_ROWS = 1_000_000
 SALTS = 64
+# Fixed value: no more than this many keys can be hot.
+HOT_KEYS = 16_384
 
 
 def hot_limit(total_rows: int) -> int:
-    """Rows from which a key is hot; at most 4096 keys can pass it, whatever the data."""
-    return max(HOT_ROWS, total_rows // 4096)
+    """Rows from which a key is hot; at most ``HOT_KEYS`` keys can pass it, whatever the data.
+
+    Keys below it are left to the ordinary shuffle and to adaptive skew handling.
+    """
+    return max(HOT_ROWS, total_rows // HOT_KEYS)
 
 
 def hot_keys(big: DataFrame, key: str, total_rows: int | None = None) -> DataFrame:
@@ -27,8 +32,8 @@ def salted_join(
 ) -> DataFrame:
     """Join on ``on``; rows of ``big`` under a hot value of the first key are spread over salts.
 
-    ``hot`` holds the hot key values (see :func:`find_hot`), a list of at most a few
-    thousand by construction.  Rows of ``other`` under a hot key are repeated once per
+    ``hot`` holds the hot key values (see :func:`find_hot`), a list of at most
+    ``HOT_KEYS`` by construction.  Rows of ``other`` under a hot key are repeated once per
     salt; everything else is an ordinary join, and no row is dropped.
     """
     if not hot:
@@ -43,7 +48,7 @@ def salted_join(
 
 
 def find_hot(big: DataFrame, key: str, total_rows: int | None = None) -> list:
-    """Hot key values of ``big``; at most ``total / hot_limit`` (≤ 4096) of them."""
+    """Hot key values of ``big``; at most ``total / hot_limit`` (≤ ``HOT_KEYS``) of them."""
     total = total_rows if total_rows is not None else big.count()
     if total < HOT_ROWS:
         return []
