@@ -6,16 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
-from .common import documents
+from . import packing, quality_rules, secrets, warc_zip
+from .common import documents, table
 
 
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_pack(documents(spark, folder))
 
 
+def op6_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_zip.round_trip(spark, table(spark, folder, "pages")).drop("payload", "url")
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    rules = quality_rules.learn_rules(quality_rules.labelled_sample(docs, table(spark, folder, "labels")))
+    return quality_rules.judge(docs, rules)
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(documents(spark, folder)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_warc_zip": op6_warc_zip,
+    "op9_quality_rules": op9_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc_zip": """
+        with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+        d as (select page_id, octet_length(body) as payload_bytes, sha1(body) as payload_digest from p),
+        m as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as latest from d)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 1000 and page_id < latest then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id < latest then latest end as refers_to
+        from m""",
+}
