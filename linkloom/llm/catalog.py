@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality_rules, secrets, warc_zip
+from . import decontam, packing, pii, quality_rules, secrets, warc_zip
 from .common import documents, table
 
 
+def op2_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found_values(documents(spark, folder)).select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"), "spans")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contamination(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_pack(documents(spark, folder))
 
@@ -29,6 +38,8 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_warc_zip": op6_warc_zip,
     "op9_quality_rules": op9_quality_rules,

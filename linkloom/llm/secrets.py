@@ -93,7 +93,7 @@ def entropy_spans(candidate: Column, alphabet: str, threshold: float, window: in
 def added_spans(body: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """Entropy spans of a text as ``SPAN``, not yet held against the base spans."""
     benign = lambda m: F.lit(False) if not allowed else m.rlike("|".join(f"(?:{a})" for a in allowed))
-    found = F.filter(match_spans(body, CANDIDATE), lambda x: ~benign(x["m"]))
+    found = F.filter(match_spans(body, CANDIDATE, "[0-9]"), lambda x: ~benign(x["m"]))
 
     def of_class(x: Column, k: int) -> Column:
         kind, alphabet, threshold = CLASSES[k]
@@ -110,8 +110,8 @@ def added_spans(body: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
 def base_spans(body: Column) -> Column:
     mark = lambda spans, k: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
     long_enough = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= ASSIGN_MIN
-    assign = mark(F.filter(match_spans(body, ASSIGN), long_enough), 0)
-    return F.sort_array(F.concat(assign, mark(match_spans(body, ACCESS), 1), mark(match_spans(body, HEX), 2)))
+    assign = mark(F.filter(match_spans(body, ASSIGN, "[:=]"), long_enough), 0)
+    return F.sort_array(F.concat(assign, mark(match_spans(body, ACCESS, "AKIA"), 1), mark(match_spans(body, HEX), 2)))
 
 
 def _written(spans: Column) -> Column:

@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+def match_spans(text: Column, pattern: str, gate: str | None = None) -> Column:
     """Leftmost non-overlapping matches as ``array<struct<s int, e int, m string>>`` in code points, end exclusive.
 
     The text is split at the matches, so the places are running sums of the lengths of the pieces
-    between them and of the matches.  ``text`` is only split if it has a match at all.
+    between them and of the matches.  ``text`` is only split if it has a match at all; ``gate`` is a
+    cheaper pattern that every text with a match has.
     """
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
     cut = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
@@ -27,10 +28,10 @@ def match_spans(text: Column, pattern: str) -> Column:
         return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
     found = F.element_at(F.transform(F.array(cut), place), 1)
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(_has(text, pattern, gate), found).otherwise(none)
 
 
-def replace_matches(text: Column, pattern: str, swap) -> Column:
+def replace_matches(text: Column, pattern: str, swap, gate: str | None = None) -> Column:
     """``text`` with every match ``m`` replaced by ``swap(m)``."""
     cut = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
 
@@ -40,4 +41,8 @@ def replace_matches(text: Column, pattern: str, swap) -> Column:
         return F.element_at(F.transform(F.array(done), put), 1)
 
     found = F.element_at(F.transform(F.array(cut), weave), 1)
-    return F.when(text.rlike(pattern), found).otherwise(text)
+    return F.when(_has(text, pattern, gate), found).otherwise(text)
+
+
+def _has(text: Column, pattern: str, gate: str | None) -> Column:
+    return text.rlike(pattern) if gate is None else text.rlike(gate) & text.rlike(pattern)
