@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, pii, quality_rules, secrets, warc_zip
+from . import decontam, jaccard, packing, pii, quality_rules, secrets, warc_zip
 from .common import documents, table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, folder), k=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pii.found_values(documents(spark, folder)).select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"), "spans")
 
@@ -38,6 +42,7 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
