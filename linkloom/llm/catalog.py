@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing, pii, quality_rules, secrets, warc_zip
+from . import decontam, jaccard, packing, pii, quality_rules, secrets, suffix_dedup, warc_zip
 from .common import documents, table
 
 
@@ -27,6 +27,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_pack(documents(spark, folder))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, folder)).drop("kept")
+
+
 def op6_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
     return warc_zip.round_trip(spark, table(spark, folder, "pages")).drop("payload", "url")
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_warc_zip": op6_warc_zip,
     "op9_quality_rules": op9_quality_rules,
     "op8_secret_scan": op8_secret_scan,
