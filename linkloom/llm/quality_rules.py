@@ -124,7 +124,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
 
 def learn_rules(sample: DataFrame, max_rules: int = MAX_RULES, precision: float = PRECISION) -> list[Rule]:
     """Ordered rules that reject, from the rows that the fixed limits let pass."""
-    rows = cut(sample.where(~base_failed(F.col("s"))), "labelled")
+    # stored before the filter, which would otherwise be worked out for every document below the join
+    rows = cut(sample, "labelled").where(~base_failed(F.col("s")))
     grow = rows.where("not prune")
     steps = [i / BINS for i in range(1, BINS)]
     edges = grow.select(*[F.percentile_approx(F.col(f"s.{f}").cast("double"), steps, 10_000).alias(f) for f in FEATURES]).first()
