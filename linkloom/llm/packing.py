@@ -13,9 +13,12 @@ gives an empty result, other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import base64
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,6 @@ from pyspark.sql.window import Window
 from ..functions.scratch import cut
 from .common import text_column
 
-#: Distinct chunks whose ids a worker remembers, and the longest of them.
-REMEMBERED, CHUNK = 200_000, 48
 #: Pieces of one length that are ranked together, on average.
 RANK_GROUP = 200_000
 RANK_BITS = 44
@@ -39,49 +40,52 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class ChunkEncoder:
+def default_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The byte-level split never joins a space to what stands before it if both neighbours of the space
-    are no white space, so a text falls apart there and its chunks, mostly frequent words, are encoded
-    once.  Texts with other white space beside a space go to the tokenizer whole.
+    ``ranks`` is the same vocabulary in the form that the faster library reads; both give the same ids.
+    A text that spells a special token goes to the tokenizer of ``vocabulary`` itself.
     """
 
-    _beside = re.compile(r" \s|\s ")
-
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks: list[list[str]] = []
-        for t in texts:
-            if self._beside.search(t):
-                chunks.append([t])
-            else:
-                first, *rest = t.split(" ")
-                chunks.append([first, *[" " + w for w in rest]])
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        now = self.known
-        missing = list({c for own in chunks for c in own if c not in now})
-        fresh = dict(zip(missing, self._encode(missing)))
-        now.update((c, b) for c, b in fresh.items() if len(c) <= CHUNK)
-        fresh = {c: b for c, b in fresh.items() if len(c) > CHUNK}
-        return [b"".join([now[c] if c in now else fresh[c] for c in own]) for own in chunks]
-
-
-def token_pieces(docs: DataFrame, vocabulary: str, max_len: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        raw = array("I", ids)
+        if sys.byteorder == "big":
+            raw.byteswap()
+        return raw.tobytes()
+
+
+@cache
+def encoder(vocabulary: str, ranks: str) -> TextEncoder:
+    """Loaded once a worker."""
+    return TextEncoder(vocabulary, ranks)
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, ranks: str, max_len: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Per document ``doc_id``, ``n_ids`` and per piece its CRC-32 (and ids); the first piece takes the odd rest."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ChunkEncoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encode_text, end = encoder(vocabulary, ranks), np.array([end_id], "<u4").tobytes()
         step = 4 * max_len
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -91,8 +95,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, max_len: int = 1024, end_id:
                 while to < n and (to == at or size + len(texts[to]) < 1_000_000):
                     size, to = size + len(texts[to]), to + 1
                 counts, sums, ids = [], [], []
-                for body in encoder(texts[at:to]):
-                    body += end
+                for text in texts[at:to]:
+                    body = encode_text(text) + end
                     head = len(body) % step or step
                     cuts = [body[:head], *[body[i : i + step] for i in range(head, len(body), step)]]
                     counts.append(len(body) // 4)
@@ -199,9 +203,9 @@ def plan_slots(plan: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarra
     return tuple(np.array(x, dtype=np.int64)[order] for x in (keys, first, offsets))
 
 
-def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, max_len: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def best_fit_pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, max_len: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Per piece its place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``)."""
-    tokens = cut(token_pieces(docs, vocabulary or default_vocabulary(), max_len, end_id, keep_ids), "tokens")
+    tokens = cut(token_pieces(docs, vocabulary or default_vocabulary(), ranks or default_ranks(), max_len, end_id, keep_ids), "tokens")
     body = [F.col("ids")] if keep_ids else []
     head = F.col("n_ids") - (F.size("crcs") - 1) * F.lit(max_len)
     pieces = tokens.select("doc_id", head.alias("head"), *body, F.posexplode("crcs").alias("piece", "ids_crc32")).select(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from rows import awkward, empty
 
-from linkloom.llm.packing import ChunkEncoder, best_fit_pack, complement_plan, default_vocabulary
+from linkloom.llm.packing import TextEncoder, best_fit_pack, complement_plan, default_ranks, default_vocabulary
 
 ODD = ["a  b", " lead", "trail ", "x \n y", "tab\t here", " nbsp 　wide", "don't we'll 12 3.5", "é" * 70 + " ü", "a\x1c b", "w " * 3000]
 
@@ -20,9 +20,10 @@ def whole():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-def test_chunks_give_the_ids_of_whole_texts(whole):
-    got = ChunkEncoder(default_vocabulary())(ODD)
-    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [whole(t) for t in ODD]
+def test_ids_are_those_of_the_tokenizer(whole):
+    encode = TextEncoder(default_vocabulary(), default_ranks())
+    texts = [*ODD, "an <|endoftext|> inside", *(chr(i) + " " + chr(i) * 3 + "a" for i in range(1, 3000, 7))]
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [whole(t) for t in texts]
 
 
 def test_every_piece_has_its_place(spark, whole):
