@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing, pii, quality_rules, secrets, suffix_dedup, warc_zip
+from . import decontam, html_extract, jaccard, packing, pii, quality_rules, secrets, suffix_dedup, warc_zip
 from .common import documents, table
 
 
@@ -41,6 +41,11 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, rules)
 
 
+def op7_html_tree_model(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_extract.extract(pages, html_extract.train(html_extract.training_pages(pages)))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(documents(spark, folder)))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_warc_zip": op6_warc_zip,
+    "op7_html_tree_model": op7_html_tree_model,
     "op9_quality_rules": op9_quality_rules,
     "op8_secret_scan": op8_secret_scan,
 }
