@@ -217,10 +217,13 @@ def list_records(packages: DataFrame, folder: str) -> DataFrame:
     return packages.select("package").mapInArrow(read, "package string, at bigint, length bigint")
 
 
-def read_records(places: DataFrame, folder: str, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """Range-read the given records; neighbours are fetched in one read."""
+def read_records(places: DataFrame, folder: str, run_bytes: int = RUN_BYTES, tasks: int | None = None) -> DataFrame:
+    """Range-read the given records; neighbours are fetched in one read.
+
+    The places are small rows that stand for large reads, so the number of ``tasks`` is best given.
+    """
     dealt = places.withColumn("__run", F.floor(F.col("at") / run_bytes))
-    dealt = dealt.repartition("package", "__run").sortWithinPartitions("package", "at").select("package", "at", "length")
+    dealt = (dealt.repartition(tasks, "package", "__run") if tasks else dealt.repartition("package", "__run")).sortWithinPartitions("package", "at").select("package", "at", "length")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
@@ -252,4 +255,5 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 1000, fol
     """Write the pages as packages and read every record back (``RECORD_SCHEMA``)."""
     folder = folder or scratch_path(spark, "warc")
     manifest = write_packages(mark_revisits(pages, min_bytes), folder)
-    return read_records(list_records(manifest, folder), folder)
+    size = manifest.agg(F.sum("bytes")).first()[0] or 0
+    return read_records(list_records(manifest, folder), folder, tasks=1 + size // RUN_BYTES)
