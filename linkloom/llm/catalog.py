@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard, packing, pii, quality_rules, secrets, suffix_dedup, warc_zip
+from . import decontam, html_extract, jaccard, packing, pii, quality_rules, secrets, suffix_dedup, toxicity, warc_zip
 from .common import documents, table
 
 
@@ -27,6 +27,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_pack(documents(spark, folder))
 
 
+def op4_toxicity_windows(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.score(docs, toxicity.train(*toxicity.labelled_sample(docs, table(spark, folder, "labels"))))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, folder)).drop("kept")
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity_windows": op4_toxicity_windows,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_warc_zip": op6_warc_zip,
     "op7_html_tree_model": op7_html_tree_model,
