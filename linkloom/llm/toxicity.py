@@ -2,8 +2,8 @@
 
 A word's input is an embedding of the word and the mean of embeddings of its character n-grams (both
 hashed).  Two gated recurrent units read a window of ``STEPS`` words from either side, attention weighs
-their states, a logistic unit scores the window.  All windows of a text, half of each shared with the
-next, are scored; the text's score is the highest.
+their states, a logistic unit scores the window.  All windows of a text, each of which
+shares words with the next, are scored; the text's score is the highest.
 
 The network is fitted on a bounded sample of labelled rows (``POSITIVE`` and ``NEGATIVE`` texts of at
 most ``SAMPLE_BYTES``) by Adam.  A label holds for a text, not a window, so each round trains on the
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import text_column
 
-STEPS, STRIDE, HIDDEN, ATTENTION = 32, 16, 8, 8
+STEPS, STRIDE, HIDDEN, ATTENTION = 32, 24, 8, 8
 WORD_ROWS, WORD_DIM, GRAM_ROWS, GRAM_DIM = 1 << 13, 6, 1 << 15, 10
-GRAMS = (3, 4, 5, 6, 7)
+GRAMS = (3, 5, 7)
 POSITIVE, NEGATIVE, SAMPLE_BYTES = 1200, 1800, 12_000
-EPOCHS, BATCH, RATE = 6, 256, 0.01
+EPOCHS, MIN_STEPS, BATCH, RATE = 6, 150, 256, 0.015
 THRESHOLD = 0.3
 INPUT = WORD_DIM + GRAM_DIM
 
@@ -96,8 +96,14 @@ class Words:
         return padded[place], text
 
     def summed(self, per_gram: np.ndarray) -> np.ndarray:
-        """Sums over the n-grams of each distinct word."""
-        return np.stack([np.bincount(self.gram_owner, weights=per_gram[:, k], minlength=self.distinct) for k in range(per_gram.shape[1])], axis=1)
+        """Sums over the n-grams of each distinct word (they stand in the order of the words)."""
+        many = np.bincount(self.gram_owner, minlength=self.distinct)
+        begin = np.cumsum(many) - many
+        if not len(per_gram):
+            return np.zeros((self.distinct, per_gram.shape[1]), per_gram.dtype)
+        out = np.add.reduceat(per_gram, np.minimum(begin, len(per_gram) - 1), axis=0)
+        out[many == 0] = 0
+        return out
 
 
 Parameters = dict[str, np.ndarray]
@@ -209,13 +215,15 @@ def backward(p: Parameters, words: Words, vectors: np.ndarray, windows: np.ndarr
         d_vectors += by_word @ p["W" + side].T
     d_vectors = d_vectors[:-1]
     used = np.flatnonzero(np.abs(d_vectors).sum(axis=1))
-    np.add.at(g["word"], words.word_row[used], d_vectors[used, :WORD_DIM])
+    for k in range(WORD_DIM):
+        g["word"][:, k] = np.bincount(words.word_row[used], weights=d_vectors[used, k], minlength=WORD_ROWS)
     per_word = d_vectors[:, WORD_DIM:] / words.gram_count[:, None]
     owner = words.gram_owner
     active = np.zeros(words.distinct, bool)
     active[used] = True
     pick = active[owner]
-    np.add.at(g["gram"], words.gram_row[pick], per_word[owner[pick]])
+    for k in range(GRAM_DIM):
+        g["gram"][:, k] = np.bincount(words.gram_row[pick], weights=per_word[owner[pick], k], minlength=GRAM_ROWS)
     return loss, g
 
 
@@ -264,11 +272,13 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     scores = guess[windows].max(axis=1)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     step = 0
+    a_round = -(-(int((labels == 1).sum()) + 2 * int((labels == 0).sum())) // BATCH)
+    epochs = max(epochs, -(-MIN_STEPS // a_round))  # few labels: more rounds
     for epoch in range(epochs):
         if epoch:
             scores = window_scores(p, inputs(p, words), windows)
         bad = _top(scores, text, labels == 1, 1)
-        worst = _top(scores, text, labels == 0, 2)
+        worst = _top(scores, text, labels == 0, 1)
         others = rng.permutation(np.flatnonzero(labels[text] == 0))[: len(worst)]
         chosen = rng.permutation(np.concatenate([bad, worst, others]))
         target = labels[text[chosen]]
