@@ -80,11 +80,11 @@ class Threshold:
 
 
 def signatures(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """Stored per row: ``row`` (a number), ``__id, __th, n, s1, s2`` and the prefix by hash order."""
+    """Stored per row: ``row`` (a number), ``__id, __th, n, s1, s2`` and the first tokens by hash order, twice the prefix."""
     sets = keyed(docs).select("__id", "__th", tokens(F.col("__text"), k).alias("t"))
     sized = sets.select("__id", "__th", "t", F.size("t").alias("n"))
     marks = [F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2")]
-    return cut(sized.select(F.monotonically_increasing_id().alias("row"), "__id", "__th", "n", *marks, F.slice("t", 1, t.prefix(F.col("n"))).alias("prefix")), "sets")
+    return cut(sized.select(F.monotonically_increasing_id().alias("row"), "__id", "__th", "n", *marks, F.slice("t", 1, 2 * t.prefix(F.col("n"))).alias("head")), "sets")
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
@@ -93,6 +93,11 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     return postings.join(df, "t").select("c", "n", "t", "df")
 
 
+def _sharing(lists: DataFrame, t: Threshold) -> DataFrame:
+    """Classes ``c`` that share as many prefix tokens, with whomever, as a linked pair does."""
+    return lists.groupBy("c", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= t.shared(F.col("n"))).select("c")
+
+
 def class_tokens(docs: DataFrame, wanted: DataFrame, k: int, repeats: bool) -> DataFrame:
     """Stored ``c, n, tokens`` of the wanted classes (``c, n, __id, __th``), read from their texts again."""
     body = keyed(docs)
@@ -100,19 +105,26 @@ def class_tokens(docs: DataFrame, wanted: DataFrame, k: int, repeats: bool) -> D
     return cut(rows.dropDuplicates(["c"]) if repeats else rows, "tokens")
 
 
-def reordered(lists: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """Stored postings ``c, n, t, rare`` under the order that puts hot tokens last."""
+def _hot_last(sets: DataFrame, hot: DataFrame, column: str) -> DataFrame:
+    """``c, n`` and the tokens of ``column`` that are not hot (``cold``) and that are (``warm``), for sets with any of the latter."""
+    found = sets.select("c", F.explode(column).alias("t")).join(hot, "t", "left_semi").groupBy("c").agg(F.sort_array(F.collect_list("t")).alias("warm"))
+    return sets.join(found, "c").withColumn("cold", F.array_except(column, "warm"))
+
+
+def reordered(lists: DataFrame, wanted: DataFrame, docs: DataFrame, k: int, t: Threshold, repeats: bool) -> DataFrame:
+    """Stored postings ``c, n, t, own`` under the order that puts hot tokens last (``own``: share of tokens that are not hot)."""
     hot = cut(lists.where(F.col("df") > HOT).select("t").distinct(), "hot")
     touched = cut(lists.where(F.col("df") > HOT).select("c").distinct(), "touched")
-    affected = sets.join(touched, "c", "left_semi")
-    own_hot = affected.select("c", F.explode("tokens").alias("t")).join(hot, "t", "left_semi").groupBy("c").agg(F.collect_list("t").alias("hot"))
-    ordered = affected.join(own_hot, "c").select(
-        "c", "n", F.array_except("tokens", "hot").alias("cold"), F.sort_array("hot").alias("hot")
-    )
-    moved = ordered.select("c", "n", F.size("cold").alias("rare"), F.explode(F.slice(F.concat("cold", "hot"), 1, t.prefix(F.col("n")))).alias("t"))
-    same = sets.join(touched, "c", "left_anti")
-    stay = same.select("c", "n", F.col("n").alias("rare"), F.explode(F.slice("tokens", 1, t.prefix(F.col("n")))).alias("t"))
-    return cut(moved.unionByName(stay), "postings")
+    need = t.prefix(F.col("n"))
+    share = F.size("cold") / F.greatest(F.size("cold") + F.size("warm"), F.lit(1))
+    moved = lambda df: df.select("c", "n", share.alias("own"), F.explode(F.slice(F.concat("cold", "warm"), 1, need)).alias("t"))
+    heads = cut(_hot_last(wanted.join(touched, "c", "left_semi"), hot, "head"), "heads")
+    enough = (F.size("cold") >= need) | (F.size("head") == F.col("n"))
+    # the stored tokens do not hold a whole prefix without the hot ones: read the text again
+    lacking = cut(heads.where(~enough).select("c", "n", "__id", "__th"), "lacking")
+    rest = _hot_last(class_tokens(docs, lacking, k, repeats), hot, "tokens")
+    same = wanted.join(touched, "c", "left_anti").select("c", "n", F.lit(1.0).alias("own"), F.explode(F.slice("head", 1, need)).alias("t"))
+    return cut(moved(heads.where(enough)).unionByName(moved(rest)).unionByName(same), "postings")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -125,7 +137,7 @@ def compare(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 def star_pairs(postings: DataFrame, t: Threshold) -> DataFrame:
     """Each class with the most central class of each of its token lists: the one with the fewest tokens of its own."""
-    centre = postings.groupBy("t").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("own"), "c", "n")).alias("m"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    centre = postings.groupBy("t").agg(F.min(F.struct("own", "c", "n")).alias("m"), F.count(F.lit(1)).alias("df")).where("df > 1")
     met = postings.join(centre.select("t", "m.c", "m.n").toDF("t", "b", "nb"), "t").where(F.col("c") != F.col("b"))
     counted = met.where(t.sizes_fit(F.col("n"), F.col("n"), F.col("nb"), F.col("nb"))).groupBy(F.col("c").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.max(F.greatest("n", "nb")).alias("n"))
     return counted.where(F.col("m") >= F.least(F.lit(2), t.shared(F.col("n")))).select("a", "b")
@@ -169,12 +181,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     rows = signatures(docs, k, t)
     classes = cut(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("c"), F.min("__id").alias("first_id")), "classes")
     heads = rows.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
-    lists = cut(_shared_lists(heads.select(F.col("row").alias("c"), "n", F.explode("prefix").alias("t"))), "lists")
-    wanted = lists.groupBy("c", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= t.shared(F.col("n"))).select("c")
-    wanted = cut(rows.join(wanted, F.col("row") == F.col("c")).select("c", "n", "__id", "__th"), "wanted")
-    sets = class_tokens(docs, wanted, k, not _repeated(rows).isEmpty())
-    postings = reordered(lists.join(wanted.select("c"), "c", "left_semi"), sets, t)
+    repeats = not _repeated(rows).isEmpty()
+    lists = cut(_shared_lists(heads.select(F.col("row").alias("c"), "n", F.explode(F.slice("head", 1, t.prefix(F.col("n")))).alias("t"))), "lists")
+    wanted = cut(rows.join(_sharing(lists, t), F.col("row") == F.col("c")).select("c", "n", "__id", "__th", "head"), "wanted")
+    ordered = reordered(lists.join(wanted.select("c"), "c", "left_semi"), wanted, docs, k, t, repeats)
     drop_cut(lists)
+    # the same test once more: passages that many share no longer count
+    lists = _shared_lists(ordered)
+    searched = cut(wanted.drop("head").join(_sharing(lists, t), "c"), "searched")
+    postings = cut(ordered.join(searched.select("c"), "c", "left_semi"), "postings")
+    for stored in (wanted, ordered):
+        drop_cut(stored)
+    sets = class_tokens(docs, searched, k, repeats)
     first = compare(star_pairs(postings, t), sets, t)
     groups = cut(connected_components(first).toDF("c", "g"), "groups")
     matrix = group_matrix(postings, groups)
@@ -185,7 +203,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     member = cut(classes.join(joined, "c", "left").select("n", "s1", "s2", "first_id", F.coalesce("g", "c").alias("group_id")), "members")
     named = member.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
     told = member.join(named, "group_id").select("n", "s1", "s2", "component_id", "group_id")
-    full = rows.drop("prefix").join(told, ["n", "s1", "s2"], "left")
+    full = rows.drop("head").join(told, ["n", "s1", "s2"], "left")
     return full.select(
         F.col("__id").alias("doc_id"), "__th", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id"), "group_id",
