@@ -14,6 +14,7 @@ gives an empty result, other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import sys
 import zlib
 from array import array
@@ -56,16 +57,20 @@ class TextEncoder:
     def __init__(self, vocabulary: str, ranks: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.vocabulary, self.tokenizer = vocabulary, None
+        with open(vocabulary, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", ())]
         with open(ranks, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.vocabulary)
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
@@ -88,14 +93,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, ranks: str, max_len: int = 10
         encode_text, end = encoder(vocabulary, ranks), np.array([end_id], "<u4").tobytes()
         step = 4 * max_len
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at, n = 0, len(texts)
+            at, n = 0, batch.num_rows
             while at < n:
-                size, to = 0, at
-                while to < n and (to == at or size + len(texts[to]) < 1_000_000):
-                    size, to = size + len(texts[to]), to + 1
-                counts, sums, ids = [], [], []
-                for text in texts[at:to]:
+                size, to, counts, sums, ids = 0, at, [], [], []
+                while to < n and size < 1_000_000:
+                    text = batch.column(1)[to].as_py()
+                    size, to = size + len(text), to + 1
                     body = encode_text(text) + end
                     head = len(body) % step or step
                     cuts = [body[:head], *[body[i : i + step] for i in range(head, len(body), step)]]
