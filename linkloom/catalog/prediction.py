@@ -31,16 +31,13 @@ _IDS = """ids as (select case when x.id < y.id then x.id else y.id end as s, cas
     from d join {g}_nodes x on x.nid = a join {g}_nodes y on y.nid = b)"""
 
 
-# a graph with few pairs is listed by pair number, a larger one is drawn from
-_POOL_DRAWS = _draws_sql("trade", 0, "pool|1", True, "2 * 18000").replace("d as (select least", "d1 as (select least") + f""",
-    d as (select d1.* from d1, c where n * (n - 1) // 2 > 72000 union all
-    select x.nid, y.nid, {h60("'pool|1'", "y.nid * (y.nid - 1) // 2 + x.nid")} from trade_nodes x join trade_nodes y on x.nid < y.nid, c
-    where n * (n - 1) // 2 <= 72000)"""
+# more draws than any of the test graphs needs
+_POOL_DRAWS = _draws_sql("trade", 0, "pool|1", True, "600000")
 
 
 @register(
     CATALOG, "l1_sample_negatives",
-    with_graph("trade") + ", " + _draws_sql("trade", 5000, "42", False, "15000") + ", " + _IDS.format(g="trade") + """
+    with_graph("trade") + ", " + _draws_sql("trade", 5000, "42", False, "400000") + ", " + _IDS.format(g="trade") + """
     select s, t from ids where not exists (select 1 from trade e where e.src = s and e.dst = t and e.first_ts <= 23975)
     order by draw limit 5000""",
 )
@@ -50,7 +47,7 @@ def sample_negatives(g: Graphs) -> DataFrame:
 
 @register(
     CATALOG, "l2_sample_negatives_embedded",
-    with_graph("trade") + ", " + _draws_sql("trade", 5000, "42", True, "15000") + ", " + _IDS.format(g="trade") + """
+    with_graph("trade") + ", " + _draws_sql("trade", 5000, "42", True, "400000") + ", " + _IDS.format(g="trade") + """
     select s, t from ids where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 5000""",
 )
 def sample_negatives_embedded(g: Graphs) -> DataFrame:
@@ -91,7 +88,7 @@ def hadamard(g: Graphs) -> DataFrame:
 @register(
     CATALOG, "l5_training_set",
     with_graph("handoff") + _VECTORS + ", p as (select distinct src as s, dst as t from handoff where src in (select node from v) and dst in (select node from v)), k as (select ceil(count(*) * 0.5)::BIGINT as k from p), "
-    + _draws_sql("handoff", 0, "42", False, "select greatest(3 * k, 50) from k") + """,
+    + _draws_sql("handoff", 0, "42", False, "select 60 * k + 1000000 from k") + """,
     ids as (select case when x.id::BIGINT < y.id::BIGINT then x.id else y.id end as s, case when x.id::BIGINT < y.id::BIGINT then y.id else x.id end as t, draw
     from d join handoff_nodes x on x.nid = a join handoff_nodes y on y.nid = b),
     neg as (select s, t, row_number() over (order by draw) as r from ids where not exists (select 1 from handoff e where e.src = s and e.dst = t))
@@ -139,7 +136,7 @@ def binary_metrics(g: Graphs) -> DataFrame:
 @register(
     CATALOG, "l9_candidate_pool",
     with_graph("trade") + ", " + _POOL_DRAWS + ", " + _IDS.format(g="trade") + """,
-    raw as (select * from ids order by draw limit (select case when n * (n - 1) // 2 > 72000 then 18000 else 72000 end from c))
+    raw as (select * from ids)
     select s, t, draw as pool_pos from raw where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 6000""",
 )
 def candidate_pool(g: Graphs) -> DataFrame:
@@ -149,7 +146,7 @@ def candidate_pool(g: Graphs) -> DataFrame:
 @register(
     CATALOG, "l10_family_pool",
     with_graph("trade") + ", " + _POOL_DRAWS + ", " + _IDS.format(g="trade") + f""",
-    raw as (select * from ids order by draw limit (select case when n * (n - 1) // 2 > 72000 then 18000 else 72000 end from c)),
+    raw as (select * from ids),
     pool as (select s, t, draw from raw where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 6000)
     select s, t, draw as pool_pos from pool where {u60("'used'", "s", "t")} >= 0.3""",
 )

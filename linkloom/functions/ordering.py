@@ -1,5 +1,8 @@
 """Global order without a one-partition window.
 
+A place in the order is a partition number and a place in it of 33 bits, so a range partition may
+hold 8.6 billion rows.
+
 ``Window.orderBy`` without a partition pulls all rows into one task.  Here rows are
 range-partitioned and sorted, written once, and the driver sees only one row of
 totals per partition (their number is the partition count, not the data).
@@ -14,10 +17,6 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
-# Fixed value: most rows that one TakeOrdered step may return.
-SMALL_LIMIT = 100_000
-
-
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
@@ -82,9 +81,16 @@ def previous_row(df: DataFrame, group: list[str], order: list[Column], columns:
 
 
 def first_rows(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows in a total order, whatever the size of ``k``."""
+    """The first ``k`` rows in a total order, in one way for every ``k``.
+
+    Rows are dealt by hash over as many salts as there are shuffle partitions; only the first
+    ``k`` of a salt can be among the first ``k`` of all (the limit also runs before the shuffle).
+    What is left is ranked over range partitions, so no task sees more than its share.
+    """
     if k <= 0:
         return df.limit(0)
-    if k <= SMALL_LIMIT:
-        return df.orderBy(*order).limit(k)
-    return global_index(df, order, "__rank").filter(F.col("__rank") < k).drop("__rank")
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    near = salted.withColumn("__near", F.row_number().over(Window.partitionBy("__salt").orderBy(*order))).filter(F.col("__near") <= k)
+    ranked = global_index(near.select(*df.columns), order, "__rank")
+    return ranked.filter(F.col("__rank") < k).drop("__rank")

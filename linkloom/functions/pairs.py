@@ -15,25 +15,42 @@ def as_number(col: Column) -> Column:
     return F.when(text.rlike(NUMERIC_TEXT), F.trim(text).try_cast("double"))
 
 
+# Fixed value: whole numbers, which compare without rounding.
+WHOLE_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+
 # Column types that compare as numbers without looking at text.
-NUMBER_TYPES = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+WHOLE_TYPES = {"tinyint", "smallint", "int", "bigint"}
+FRACTION_TYPES = {"float", "double"}
+
+
+def as_whole(col: Column) -> Column:
+    """The value as a decimal of up to 38 digits where its text is a whole number, else null."""
+    text = col.cast("string")
+    return F.when(text.rlike(WHOLE_TEXT), F.trim(text).try_cast("decimal(38,0)"))
 
 
 def _with_sign(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adds ``__sign``: order of the two ends (-1, 0, 1), each text parsed once per row.
 
-    Two ends that are numbers compare by value (``1`` is ``1.0``), all others as text.
+    Two ends that are numbers compare by value (``1`` is ``1.0``), all others as text.  Whole
+    numbers compare exactly; only if one of the two has a fraction or exponent are they doubles.
+    Two whole numbers that no decimal holds compare as text if their doubles are equal.
     """
     types = dict(df.dtypes)
-    if types[a] in NUMBER_TYPES and types[b] in NUMBER_TYPES:
+    if {types[a], types[b]} <= WHOLE_TYPES or {types[a], types[b]} <= FRACTION_TYPES:
         return df.withColumn("__sign", _sign(F.col(a), F.col(b)))
-    parsed = df.withColumns({"__x": as_number(F.col(a)), "__y": as_number(F.col(b))})
+    parsed = df.withColumns({"__x": as_number(F.col(a)), "__y": as_number(F.col(b)), "__i": as_whole(F.col(a)), "__j": as_whole(F.col(b))})
+    whole = F.col("__i").isNotNull() & F.col("__j").isNotNull()
     numeric = F.col("__x").isNotNull() & F.col("__y").isNotNull()
+    too_long = F.col(a).cast("string").rlike(WHOLE_TEXT) & F.col(b).cast("string").rlike(WHOLE_TEXT)
     by_text = _sign(F.col(a).cast("string"), F.col(b).cast("string"))
-    return parsed.withColumn("__sign", F.when(numeric, _sign(F.col("__x"), F.col("__y"))).otherwise(by_text)).drop("__x", "__y")
+    by_double = _sign(F.col("__x"), F.col("__y"))
+    sign = F.when(whole, _sign(F.col("__i"), F.col("__j"))).when(numeric & ~(too_long & (F.col("__x") == F.col("__y"))), by_double)
+    return parsed.withColumn("__sign", sign.otherwise(by_text)).drop("__x", "__y", "__i", "__j")
 
 
 def _sign(x: Column, y: Column) -> Column:
+    """Order of two values; a null end is neither less nor more."""
     return F.when(x > y, 1).when(x < y, -1).otherwise(0)
 
 
@@ -66,6 +83,6 @@ def pair_key(a: Column, b: Column) -> Column:
 
 
 def id_order(col: str) -> list[Column]:
-    """Sort keys of the id order: numbers by value first, then text."""
+    """Sort keys of the id order: numbers by value first (whole ones exactly), then text."""
     number = as_number(F.col(col))
-    return [number.asc_nulls_last(), F.col(col).cast("string").asc()]
+    return [number.asc_nulls_last(), as_whole(F.col(col)).asc_nulls_last(), F.col(col).cast("string").asc()]

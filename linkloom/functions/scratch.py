@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -41,6 +41,12 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut` and aggregates of the stored rows."""
+    stored = cut(df, label)
+    return stored, stored.agg(*[c.alias(n) for n, c in measures.items()]).first().asDict()
+
+
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -5,54 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 # A key is hot from this many rows on; hot keys share this many salts.
 HOT_ROWS = 1_000_000
 SALTS = 64
-# Fixed value: no more than this many keys can be hot.
-HOT_KEYS = 16_384
-
-
-def hot_limit(total_rows: int) -> int:
-    """Rows from which a key is hot; at most ``HOT_KEYS`` keys can pass it, whatever the data.
-
-    Keys below it are left to the ordinary shuffle and to adaptive skew handling.
-    """
-    return max(HOT_ROWS, total_rows // HOT_KEYS)
 
 
-def hot_keys(big: DataFrame, key: str, total_rows: int | None = None) -> DataFrame:
+def hot_keys(big: DataFrame, key: str) -> DataFrame:
     """Keys of ``big`` with too many rows for one task (counted map-side first)."""
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    limit = hot_limit(total_rows) if total_rows is not None else HOT_ROWS
-    return counts.filter(F.col("__n") >= limit).select(key)
+    return counts.filter(F.col("__n") >= HOT_ROWS).select(key)
 
 
 def salted_join(
-    big: DataFrame, other: DataFrame, on: list[str], hot: list | None = None, how: str = "inner"
+    big: DataFrame, other: DataFrame, on: list[str], hot: DataFrame | None = None, how: str = "inner"
 ) -> DataFrame:
     """Join on ``on``; rows of ``big`` under a hot value of the first key are spread over salts.
 
-    ``hot`` holds the hot key values (see :func:`find_hot`), a list of at most
-    ``HOT_KEYS`` by construction.  Rows of ``other`` under a hot key are repeated once per
-    salt; everything else is an ordinary join, and no row is dropped.
+    ``hot`` is the stored table of hot key values (see :func:`find_hot`); it is joined to both
+    sides, and Spark broadcasts it if its size allows.  Rows of ``other`` under a hot key are
+    repeated once per salt; everything else is an ordinary join, and no row is dropped.
     """
-    if not hot:
+    if hot is None:
         return big.join(other, on, how)
     key = on[0]
-    is_hot = F.col(key).isin(hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS))).otherwise(F.lit(0))
-    left = big.withColumn("__salt", salt.cast("int"))
-    spread = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = other.withColumn("__salt", F.explode(spread)).withColumn("__salt", F.col("__salt").cast("int"))
+    marks = hot.select(F.col(hot.columns[0]).alias(key), F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS))).otherwise(F.lit(0))
+    left = big.join(marks, key, "left").withColumn("__salt", salt.cast("int")).select(*big.columns, "__salt")
+    spread = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = other.join(marks, key, "left").withColumn("__salt", F.explode(spread)).select(*other.columns, F.col("__salt").cast("int").alias("__salt"))
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
-def find_hot(big: DataFrame, key: str, total_rows: int | None = None) -> list:
-    """Hot key values of ``big``; at most ``total / hot_limit`` (≤ ``HOT_KEYS``) of them."""
-    total = total_rows if total_rows is not None else big.count()
-    if total < HOT_ROWS:
-        return []
-    return [r[0] for r in hot_keys(big, key, total).collect()]
+def find_hot(big: DataFrame, key: str) -> DataFrame | None:
+    """Stored hot key values of ``big``, as many as there are; None without any."""
+    found = hot_keys(big, key)
+    return None if found.isEmpty() else cut(found, "hot")
 
 
 def keep_ends(edges: DataFrame, ids: DataFrame, ends: tuple[str, ...] = ("src", "dst")) -> DataFrame:

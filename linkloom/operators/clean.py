@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import global_index
 from ..functions.pairs import as_number, canonical, canonical_distinct, distinct_ends, id_order
+from ..functions.scratch import cut
 from ..functions.skew import keep_ends
 from .graph import component_sizes, connected_components
 
@@ -145,4 +146,5 @@ def clean_edges(
     """The whole cleaning chain; everything before the collapse is one narrow stage."""
     df = drop_null_endpoints(resolve_timestamp(with_type(raw, type_column), time_column, temporal))
     edges = collapse_edges(canonical_distinct(df, "src", "dst"), order).withColumn("predicted", F.lit(0))
-    return largest_component(edges) if keep_largest else edges
+    # the component loop reads the edges many times, the cleaning runs once
+    return largest_component(cut(edges, "collapsed")) if keep_largest else edges

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import skew
 from ..functions.ordering import first_rows, global_index
-from ..functions.scratch import cut, drop_cut, scratch_path
-from ..functions.skew import HOT_ROWS, find_hot, salted_join
+from ..functions.scratch import cut, cut_with, drop_cut, scratch_path
+from ..functions.skew import find_hot, salted_join
 
 
 def mirror(edges: DataFrame) -> DataFrame:
@@ -31,17 +34,18 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def _star(pairs: DataFrame, large: bool, total: int) -> DataFrame:
-    """One large-star or small-star step over ``total`` (node, nb) rows."""
+def _star(pairs: DataFrame, large: bool) -> DataFrame:
+    """One large-star or small-star step over stored (node, nb) rows."""
     if large:
         rows = mirror(pairs.select(F.col("node").alias("src"), F.col("nb").alias("dst"))).select(
             F.col("src").alias("node"), F.col("dst").alias("nb")
         )
     else:
         rows = pairs.select(F.greatest("node", "nb").alias("node"), F.least("node", "nb").alias("nb"))
-    least = rows.groupBy("node").agg(F.min("nb").alias("m"))
+    least, seen = cut_with(rows.groupBy("node").agg(F.min("nb").alias("m"), F.count(F.lit(1)).alias("rows")), "least", most=F.max("rows"))
     root = F.least("node", "m")
-    joined = salted_join(rows, least, ["node"], find_hot(rows, "node", 2 * total))
+    hot = least.filter(F.col("rows") >= skew.HOT_ROWS).select("node") if (seen["most"] or 0) >= skew.HOT_ROWS else None
+    joined = salted_join(rows, least.drop("rows"), ["node"], hot)
     if large:
         moved = joined.filter(F.col("nb") > F.col("node")).select(F.col("nb").alias("node"), root.alias("nb"))
     else:
@@ -65,15 +69,16 @@ def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(pairs.select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst")), "numbered"), ids
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` with the smallest node as component id.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): the number of
     rounds grows with the logarithm of the diameter, and the rows never exceed the edges.
+    It runs until a round changes nothing.
     """
     if dict(edges.dtypes)["src"] == "string":
         pairs, ids = numbered(edges)
-        found = connected_components(pairs, max_rounds).withColumnRenamed("node", "n")
+        found = connected_components(pairs).withColumnRenamed("node", "n")
         named = ids.select(F.col("n").alias("component"), F.col("node").alias("name"))
         # the largest component may hold most nodes: its rows are spread over salts
         labelled = ids.join(found, "n").select("node", "component")
@@ -82,22 +87,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
     state = cut(pairs.select(F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("nb")), "cc")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    mark, total = None, state.count()
-    for _ in range(max_rounds):
-        bigger = _star(state, True, total)
-        # with hot keys to look for, the half step is stored so that it is not computed twice
-        middle = cut(bigger, "cc") if 2 * total >= HOT_ROWS else bigger
-        after = cut(_star(middle, False, total), "cc")
-        new_mark = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "nb"))).first()
+    mark = None
+    while True:
+        middle = cut(_star(state, True), "cc")
+        after, new_mark = cut_with(_star(middle, False), "cc", rows=F.count(F.lit(1)), mix=F.bit_xor(F.xxhash64("node", "nb")))
         drop_cut(state)
-        if middle is not bigger:
-            drop_cut(middle)
-        state, total = after, new_mark[0]
-        if mark is not None and tuple(mark) == tuple(new_mark):
+        drop_cut(middle)
+        state = after
+        if mark == new_mark:
             break
         mark = new_mark
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(state, "node", "left").select("node", F.coalesce("nb", "node").alias("component"))
 
 
@@ -105,8 +104,8 @@ def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64, target=None) -> DataFrame:
-    """``(node, parent, depth)`` from all ``sources`` (one column) level by level.
+def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, target=None) -> DataFrame:
+    """``(node, parent, depth)`` from all ``sources`` (one column) level by level, to the end or to ``max_depth``.
 
     The parent is the smallest neighbour one level up.  A neighbour of level d is in level
     d-1, d or d+1, so new nodes are checked against two levels only.  Each level is one
@@ -127,7 +126,7 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64, target=None)
 
     start = sources.select(F.col(name).cast(node_type).alias("node"), F.lit(None).cast(node_type).alias("parent"))
     start.distinct().write.parquet(f"{root}/depth=0")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         frontier = level(depth - 1)
         near = frontier.select("node") if depth == 1 else frontier.select("node").union(level(depth - 2).select("node"))
         reach = salted_join(steps, frontier.select(F.col("node").alias("src")), ["src"], hubs)
@@ -141,7 +140,7 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 64, target=None)
     return spark.read.schema(f"{schema}, depth int").parquet(root)
 
 
-def _bfs_by_number(edges: DataFrame, sources: DataFrame, max_depth: int, target) -> DataFrame:
+def _bfs_by_number(edges: DataFrame, sources: DataFrame, max_depth: int | None, target) -> DataFrame:
     pairs, ids = numbered(edges)
     start = ids.join(sources.select("node").distinct(), "node").select("n")
     goal = None

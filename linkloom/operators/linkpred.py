@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import index_draw
 from ..functions.ordering import first_rows, running_sums
 from ..functions.pairs import canonical
-from ..functions.scratch import cut
-from ..functions.skew import find_hot, salted_join
+from ..functions.scratch import cut, drop_cut
+from ..functions.skew import find_hot, keep_ends, salted_join
 
 
 def edge_start() -> Column:
@@ -54,6 +54,23 @@ def without_edges(pairs: DataFrame, edges: DataFrame, as_of: float | None = None
     return pairs.join(as_pairs(known), ["s", "t"], "left_anti")
 
 
+def _first_open(nodes: DataFrame, edges: DataFrame, k: int, seed: int | str, swap: bool, as_of: float | None = None) -> DataFrame:
+    """The ``k`` first non-edges ``(s, t, draw)`` in draw order, or all there are if they are fewer.
+
+    More draws are made until there are enough.
+    """
+    total = nodes.count()
+    known = as_pairs(edges if as_of is None else edges.filter(edge_start() <= F.lit(float(as_of)))).filter("s <> t")
+    inside = keep_ends(known, nodes.select("id"), ("s", "t")).count()
+    wanted, draws = min(k, total * (total - 1) // 2 - inside), max(3 * k, 50)
+    while True:
+        found = cut(without_edges(_to_ids(_drawn(nodes, total, draws, seed, swap), nodes), edges, as_of), "open")
+        if wanted <= 0 or found.count() >= wanted:
+            return first_rows(found, [F.col("draw").asc(), F.col("s").asc(), F.col("t").asc()], wanted)
+        drop_cut(found)
+        draws *= 4
+
+
 def sample_negatives(
     nodes: DataFrame,
     edges: DataFrame,
@@ -62,20 +79,14 @@ def sample_negatives(
     seed: int | str = 42,
     swap: bool = False,
 ) -> DataFrame:
-    """At most ``k`` non-edges from ``max(3k, 50)`` hashed draws, in draw order.
+    """The first ``k`` non-edges of a series of hashed draws; fewer only if there are no more.
 
     With ``swap`` a draw in the wrong order is turned round instead of wasted; pass the
     nodes that have an embedding (with their own dense ``nid``) for the later rounds.
     """
     if k <= 0:
         return nodes.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).cast("bigint").alias("draw")).limit(0)
-    pairs = _to_ids(_drawn(nodes, nodes.count(), max(3 * k, 50), seed, swap), nodes)
-    return first_rows(without_edges(pairs, edges, as_of), [F.col("draw").asc()], k)
-
-
-def pool_bounds(size: int) -> tuple[int, int]:
-    want = max(1, int(size))
-    return want, max(3 * want, want + 100)
+    return _first_open(nodes, edges, k, seed, swap, as_of)
 
 
 def candidate_pool(
@@ -83,24 +94,9 @@ def candidate_pool(
 ) -> DataFrame:
     """Ordered non-edges ``(s, t, pool_pos)``, the same for one graph, seed and version.
 
-    A larger pool extends a smaller one.  A graph with few pairs is enumerated by
-    number (``range`` over at most four times the wanted draws), so it always ends.
+    A larger pool extends a smaller one: both are starts of the same series of draws.
     """
-    want, raw = pool_bounds(size)
-    total = nodes.count()
-    every = total * (total - 1) // 2
-    key = f"{seed}|{version}"
-    if every <= 4 * raw:
-        n = nodes.sparkSession.range(every)
-        # number -> pair (a, b), a < b, listed by b
-        b = F.floor((F.sqrt(F.col("id") * 8 + 1) + 1) / 2).cast("bigint")
-        drawn = n.select("id", b.alias("b")).select(
-            (F.col("id") - F.expr("b * (b - 1) div 2")).alias("a"), "b", index_draw(1 << 60, key, F.col("id")).alias("draw")
-        )
-    else:
-        drawn = first_rows(_drawn(nodes, total, 2 * raw, key, True), [F.col("draw").asc()], raw)
-    open_pairs = without_edges(_to_ids(drawn, nodes), edges)
-    return first_rows(open_pairs, [F.col("draw").asc(), F.col("s"), F.col("t")], want).withColumnRenamed("draw", "pool_pos")
+    return _first_open(nodes, edges, max(1, int(size)), f"{seed}|{version}", True).withColumnRenamed("draw", "pool_pos")
 
 
 def pool_size(remaining: int) -> int:
@@ -126,9 +122,9 @@ def hadamard(pairs: DataFrame, emb: DataFrame) -> DataFrame:
     """Element-wise product of the two vectors; pairs without both vectors are dropped."""
     left = emb.select(F.col("node").alias("s"), F.col("vec").alias("__vs"))
     right = emb.select(F.col("node").alias("t"), F.col("vec").alias("__vt"))
-    total = pairs.count()
-    one = salted_join(pairs, left, ["s"], find_hot(pairs, "s", total))
-    two = salted_join(one, right, ["t"], find_hot(pairs, "t", total))
+    pairs = cut(pairs, "pairs")
+    one = salted_join(pairs, left, ["s"], find_hot(pairs, "s"))
+    two = salted_join(one, right, ["t"], find_hot(pairs, "t"))
     product = F.zip_with("__vs", "__vt", lambda a, b: a * b)
     return two.select(*pairs.columns, product.alias("features"))
 

@@ -54,7 +54,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         return forest.select(F.col("name_src").alias("src"), F.col("name_dst").alias("dst"))
     pairs = undirected_pairs(edges)
     roots = connected_components(pairs).select(F.col("component").alias("node")).distinct()
-    tree = bfs(pairs, roots, max_depth=1_000_000).filter(F.col("parent").isNotNull())
+    tree = bfs(pairs, roots).filter(F.col("parent").isNotNull())
     ends = mirror(tree.select(F.col("node").alias("src"), F.col("parent").alias("dst")))
     return pairs.join(ends, ["src", "dst"], "left_semi")
 

@@ -28,10 +28,26 @@ def _blank_to_null(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     if fmt == "csv":
-        return _blank_to_null(spark.read.option("header", True).option("multiLine", False).csv(path))
+        return _blank_to_null(_csv(spark, path))
     return spark.read.format(fmt).load(path)
 
 
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("multiLine", False).csv(path)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Adds ``row_idx``: file, start of the block, and place in the task that reads the block.
+
+    Spark packs files into tasks by size, so a running number alone does not follow the files.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return df.withColumn("row_idx", place)
+
+
 def _find(df: DataFrame, names: tuple[str, ...]) -> str | None:
     by_lower = {c.lower(): c for c in df.columns}
     return next((by_lower[n] for n in names if n in by_lower), None)
@@ -58,9 +74,11 @@ def as_edges(df: DataFrame) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, path: str, fmt: str = "csv", keep_order: bool = True) -> DataFrame:
-    """Edge list from CSV or Parquet; ``row_idx`` is the order of the rows in the files."""
-    edges = as_edges(read_table(spark, path, fmt))
-    return edges.withColumn("row_idx", F.monotonically_increasing_id()) if keep_order else edges
+    """Edge list from CSV or Parquet; ``row_idx`` orders the rows by file (in name order) and place in it."""
+    if not keep_order:
+        return as_edges(read_table(spark, path, fmt))
+    raw = _numbered(_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path))
+    return as_edges(_blank_to_null(raw) if fmt == "csv" else raw)
 
 
 def as_features(df: DataFrame) -> DataFrame:

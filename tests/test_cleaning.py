@@ -90,3 +90,23 @@ def test_sample_graph(spark):
     assert path[0] == "0" and path[-1] == "3" and len(path) == 4
     near = sorted(r["node"] for r in graph.neighborhood(edges, "0").collect())
     assert near == ["1", "5"]
+
+
+def test_whole_ids_beyond_doubles(spark):
+    big = 2**53
+    rows = [(str(big + 1), str(big)), (str(big), str(big + 1)), ("5", "9"), ("9" * 40, "9" * 39 + "8"), ("7", "7.0"), ("-3", "-4")]
+    df = spark.createDataFrame(rows, "src string, dst string")
+    left = [(r["src"], r["dst"]) for r in clean.canonicalize_direction(clean.drop_self_loops(df)).collect()]
+    assert sorted(left) == sorted([(str(big), str(big + 1))] * 2 + [("5", "9"), ("9" * 39 + "8", "9" * 40), ("-4", "-3")])
+    ids = spark.createDataFrame([(str(big + i),) for i in (3, 1, 2, 0)], "id string")
+    assert [r["id"] for r in clean.assign_nid(ids).orderBy("nid").collect()] == [str(big + i) for i in range(4)]
+
+
+def test_last_value_follows_the_files(spark, tmp_path):
+    from linkloom.sources.files import read_edges
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "part-0.csv").write_text("src,dst,ts,note\na,b,1,old\n")
+    (tmp_path / "in" / "part-1.csv").write_text("src,dst,ts,note\n" + "c,d,1,x\n" * 5000 + "a,b,2,new\n")
+    got = clean.clean_edges(read_edges(spark, str(tmp_path / "in")), "ts").filter("src = 'a'").collect()
+    assert [r["note"] for r in got] == ["new"]

@@ -34,7 +34,7 @@ def known(edges):
 def test_negatives_are_no_edges(spark, community, swap):
     nodes, edges = community
     out = [(r["s"], r["t"]) for r in linkpred.sample_negatives(nodes, edges, 100, seed=3, swap=swap).collect()]
-    assert 60 <= len(out) <= 100 and len(set(out)) == len(out)
+    assert len(out) == 100 and len(set(out)) == len(out)
     assert not set(out) & known(edges) and all(int(a) < int(b) for a, b in out)
     later = linkpred.sample_negatives(nodes, edges, 100, as_of=-1.0, seed=3, swap=swap)
     assert later.count() >= len(out)
@@ -110,13 +110,18 @@ def test_running_sums_and_previous_row(spark):
     assert prev[0] is None and prev[2] is None and prev[3] == 0 and prev[49] == 46
 
 
-def test_first_rows_beyond_the_small_limit(spark, monkeypatch):
-    import linkloom.functions.ordering as ordering
-
+@pytest.mark.parametrize("k", [0, 1, 20, 99, 100, 500])
+def test_first_rows(spark, k):
     df = spark.range(100)
-    want = [r["id"] for r in first_rows(df, [F.col("id").desc()], 20).collect()]
-    monkeypatch.setattr(ordering, "SMALL_LIMIT", 5)
-    assert sorted(r["id"] for r in first_rows(df, [F.col("id").desc()], 20).collect()) == sorted(want)
+    assert sorted(r["id"] for r in first_rows(df, [F.col("id").desc()], k).collect()) == list(range(max(0, 100 - k), 100))
+
+
+def test_negatives_are_topped_up(spark, community):
+    nodes, edges = community
+    every = {(str(a), str(b)) for a in range(40) for b in range(a + 1, 40)} - known(edges)
+    got = [(r["s"], r["t"]) for r in linkpred.sample_negatives(nodes, edges, 10_000, seed=1).collect()]
+    assert len(got) == len(every) and set(got) == every
+    assert linkpred.sample_negatives(nodes, edges, len(every) - 3, seed=1).count() == len(every) - 3
 
 
 def test_selectors(spark):
