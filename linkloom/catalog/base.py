@@ -11,6 +11,7 @@ from ..functions.hashing import hash60, unit_hash
 from ..functions.ordering import previous_row
 from ..functions.scratch import cut
 from ..operators import clean
+from ..sources.snapshots import FAMILIES
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -130,7 +131,7 @@ class Graphs:
 
     def _series(self) -> DataFrame:
         """Predicted series of five families: every family holds the pairs below its hashed limit."""
-        fam = F.explode(F.array(*[F.lit(f) for f in FAMILY_NAMES])).alias("family")
+        fam = F.explode(F.array(*[F.lit(f) for f in FAMILIES])).alias("family")
         p = self.pairs("supply").select("s", "t", fam)
         score = F.round(unit_hash("series", F.col("family"), F.col("s"), F.col("t")), 4)
         level = 1 + hash60("round", F.col("family"), F.col("s"), F.col("t")) % 3
@@ -154,7 +155,6 @@ class Graphs:
 
 
 # Family names.
-FAMILY_NAMES = ["FastRP", "Node2Vec", "GraphSAGE", "HashGNN", "TGN"]
 
 
 def month_number(col: str) -> Column:

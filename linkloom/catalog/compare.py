@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.pairs import pair_key
 from ..operators import compare as cm
 from ..operators.linkpred import binary_metrics
-from .base import FAMILY_NAMES, SERIES_SQL, Graphs, graph_sql, register, u60, with_graph
+from ..sources.snapshots import FAMILIES
+from .base import SERIES_SQL, Graphs, graph_sql, register, u60, with_graph
 
 CATALOG: dict = {}
 
@@ -66,7 +67,7 @@ def coverage(g: Graphs) -> DataFrame:
     from n a cross join n b left join j on j.row = a.family and j.col = b.family""",
 )
 def matrix(g: Graphs) -> DataFrame:
-    return cm.comparison_matrix(g.series(), _truth(g), FAMILY_NAMES).withColumn("pct", F.round("pct", 8))
+    return cm.comparison_matrix(g.series(), _truth(g), FAMILIES).withColumn("pct", F.round("pct", 8))
 
 
 @register(

@@ -151,9 +151,27 @@ def negative_destinations(g: Graphs) -> DataFrame:
     return temporal.negative_destinations(temporal.temporal_events(g.edges("handoff")), g.nodes("handoff"))
 
 
-@register(CATALOG, "m5d_temporal_memory")
+def _sign_sql(*parts: str) -> str:
+    return f"(case when {h60(*parts)} % 2 = 0 then 1.0::DOUBLE else -1.0::DOUBLE end)"
+
+
+#: The recurrence in closed form: decayed sums of signs and time codes, projected, half a node's own and half its last neighbours'.
+MEMORY_SQL = with_graph("handoff") + _EVENTS.format(g="handoff") + f""",
+    gp as (select ts, src, dst, coalesce(ts - lag(ts) over (partition by src order by ts, dst), 0.0) as gap,
+    exp((ts - max(ts) over (partition by src)) / 10.0) as w from events2),
+    entry as (select unnest(generate_series(0, 11)) as j), place as (select unnest(generate_series(0, 7)) as i),
+    acc as (select src as node, j, sum(w * case when j < 8 then {_sign_sql("'42'", "dst", "j")} / sqrt(8.0) else cos(gap * (1.0::DOUBLE / power(10.0::DOUBLE, 4.0 * (j - 8) / 3))) end) as x
+    from gp, entry group by src, j),
+    mem as (select node, i as j, sum({_sign_sql("'42'", "'p'", "i", "j")} / sqrt(12.0) * x) as x from acc, place group by node, i),
+    last_events as (select src as node, dst as nb, row_number() over (partition by src order by ts desc, dst) as r from events2),
+    near as (select l.node as node, m.j as j, avg(m.x) as x from last_events l join mem m on m.node = l.nb where r <= 10 group by 1, 2)
+    select n.id as node, p.i::INTEGER as j, round((coalesce(m.x, 0) + coalesce(q.x, 0)) / 2, 5) + 0.0 as x from handoff_nodes n cross join place p
+    left join mem m on m.node = n.id and m.j = p.i left join near q on q.node = n.id and q.j = p.i"""
+
+
+@register(CATALOG, "m5d_temporal_memory", MEMORY_SQL)
 def temporal_memory(g: Graphs) -> DataFrame:
-    return _spread(temporal.temporal_memory(g.nodes("handoff"), g.edges("handoff"), 8, 4), 5)
+    return _spread(temporal.temporal_memory(g.nodes("handoff"), g.edges("handoff"), 8, 4), 5).withColumn("x", F.col("x") + F.lit(0.0))
 
 
 @register(CATALOG, "m6_write_load_embeddings")

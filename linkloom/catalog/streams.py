@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import scratch_path
+from ..functions.scratch import cut, scratch_path
 from ..streaming import collapse, memory
 from .base import Graphs, list_text, register
+from .embeddings import MEMORY_SQL
 
 CATALOG: dict = {}
 
 
 def _hops(g: Graphs, folder: str) -> DataFrame:
-    """Interactions as a stream of files, in time order over a few micro-batches."""
-    raw = g.handoff_raw().filter("src is not null").select("src", "dst", "ts", F.col("rel_type").alias("type"))
-    for number, (lo, hi) in enumerate([(0, 19733), (19733, 19743), (19743, 10**6)]):
-        raw.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(f"{folder}/p={number}")
+    """Interactions as a stream of files over a few micro-batches: in no order of time, and some of them twice."""
+    raw = cut(g.handoff_raw().filter("src is not null").select("src", "dst", "ts", F.col("rel_type").alias("type")), "hops")
+    draw = F.xxhash64("src", "dst", "ts", "type")
+    again = raw.filter(F.pmod(draw, F.lit(10)) == 0).withColumn("p", F.pmod(draw, F.lit(2)))
+    files = raw.withColumn("p", F.pmod(draw, F.lit(3))).unionByName(again)
+    files.write.partitionBy("p").parquet(folder)
+    some = int(g.spark.conf.get("spark.sql.shuffle.partitions"))
     return (
-        g.spark.readStream.schema("src string, dst string, ts double, type string")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{folder}/p=*")
+        g.spark.readStream.schema("src string, dst string, ts double, type string, p long")
+        .option("maxFilesPerTrigger", some)
+        .parquet(folder)
+        .drop("p")
     )
 
 
@@ -40,10 +45,10 @@ def streaming_collapse(g: Graphs) -> DataFrame:
     )
 
 
-@register(CATALOG, "w1_streaming_memory")
+@register(CATALOG, "w1_streaming_memory", MEMORY_SQL)
 def streaming_memory(g: Graphs) -> DataFrame:
     path, check = scratch_path(g.spark, "stream"), scratch_path(g.spark, "check")
-    hops = _hops(g, scratch_path(g.spark, "in")).filter("src <> dst")
+    hops = _hops(g, scratch_path(g.spark, "in"))
     memory.stream_memory(hops, path, check, dim=8, time_dim=4).awaitTermination()
     rows = memory.current_memory(g.spark, path, g.nodes("handoff"), 8, 4)
-    return rows.select("node", F.posexplode("vec").alias("j", "x")).select("node", "j", F.round("x", 5).alias("x"))
+    return rows.select("node", F.posexplode("vec").alias("j", "x")).select("node", "j", (F.round("x", 5) + F.lit(0.0)).alias("x"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,12 +91,17 @@ def categories(df: DataFrame, columns: list[str], limit: int = MAX_CATEGORIES) -
 
     At most ``limit + 1`` values per column reach the driver.
     """
-    out: dict[str, list] = {}
-    for c in columns:
-        found = df.select(F.col(f"`{c}`").alias("v")).filter("v is not null").distinct().limit(limit + 1).collect()
-        values = sorted(r["v"] for r in found)
-        out[c] = values if len(values) <= limit else None
-    return out
+    if not columns:
+        return {}
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns)])).alias("cell")
+    # one pass for all columns; a column keeps its first limit + 1 values, also before the shuffle
+    found = df.select(cells).select("cell.*").filter("v is not null").distinct()
+    first = Window.partitionBy("i").orderBy("v")
+    rows = found.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= limit + 1).collect()
+    out: dict[str, list] = {c: [] for c in columns}
+    for r in rows:
+        out[columns[r["i"]]].append(r["v"])
+    return {c: sorted(v) if len(v) <= limit else None for c, v in out.items()}
 
 
 def _safe_suffix(value) -> str:

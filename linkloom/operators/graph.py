@@ -189,13 +189,12 @@ def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     Wedges are opened only from the candidate pairs, and from the end with the smaller
     degree; the second step joins on (other end, middle), a unique key.
     """
-    steps = mirror(undirected_pairs(edges))
+    steps = cut(mirror(undirected_pairs(edges)), "adj")
     size = steps.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    sized = (
-        pairs.select("s", "t")
-        .join(size.select(F.col("src").alias("s"), F.col("n").alias("n_s")), "s")
-        .join(size.select(F.col("src").alias("t"), F.col("n").alias("n_t")), "t")
-    )
+    pairs = cut(pairs.select("s", "t"), "pairs")
+    size = cut(size, "degree")
+    sized = salted_join(pairs, size.select(F.col("src").alias("s"), F.col("n").alias("n_s")), ["s"], find_hot(pairs, "s"))
+    sized = cut(salted_join(sized, size.select(F.col("src").alias("t"), F.col("n").alias("n_t")), ["t"], find_hot(pairs, "t")), "sized")
     small_first = F.col("n_s") <= F.col("n_t")
     open_from = sized.select(
         F.when(small_first, F.col("s")).otherwise(F.col("t")).alias("src"),

@@ -188,7 +188,8 @@ def binary_metrics(scored: DataFrame, threshold: float = 0.5, by: str | None = N
     before = steps.groupBy("__by").agg(
         F.min(F.col("cum_pos") - F.col("pos")).alias("from_pos"), F.min(F.col("cum_neg") - F.col("neg")).alias("from_neg")
     )
-    steps = steps.join(before, "__by").withColumns(
+    # without ``by`` this is one row
+    steps = steps.join(before if by is not None else F.broadcast(before), "__by").withColumns(
         {"cum_pos": F.col("cum_pos") - F.col("from_pos"), "cum_neg": F.col("cum_neg") - F.col("from_neg")}
     )
     high = F.col("probability") >= F.lit(float(threshold))

@@ -158,24 +158,41 @@ class SnapshotStore:
         return ("reuse" if same else "locked"), last[0]["split"]
 
 
-# Columns of the run record.
-RUN_LOG_TEXT = [
-    "timestamp_utc", "base_db", "embedding_family", "embedding_property", "predicted_db_name",
-    "split_recorded_at_utc", "split_temporal_mode",
-]
-RUN_LOG_NUMBERS = [
-    "predict_k", "prob_threshold", "split_seconds", "split_test_holdout", "split_val_holdout",
-    "embedding_seconds", "link_prediction_seconds", "predicted_db_creation_seconds",
-    "predicted_graph_projection_seconds", "materialize_prediction_db_seconds",
-    "test_auc", "test_ap", "test_accuracy", "test_precision", "test_recall", "test_f1",
-]
-RUN_LOG_SCHEMA = ", ".join([f"{c} string" for c in RUN_LOG_TEXT] + [f"{c} double" for c in RUN_LOG_NUMBERS])
+# Columns of the run record, in order, with their types.
+RUN_LOG_COLUMNS = [
+    ("timestamp_utc", "string"),
+    ("base_db", "string"),
+    ("embedding_family", "string"),
+    ("embedding_property", "string"),
+    ("predict_k", "double"),
+    ("prob_threshold", "double"),
+    ("predicted_db_name", "string"),
+    ("split_recorded_at_utc", "string"),
+    ("split_seconds", "double"),
+    ("split_temporal_mode", "string"),
+    ("split_test_holdout", "double"),
+    ("split_val_holdout", "double"),
+    ("embedding_seconds", "double"),
+    ("link_prediction_seconds", "double"),
+    ("predicted_db_creation_seconds", "double"),
+    ("predicted_graph_projection_seconds", "double"),
+    ("materialize_prediction_db_seconds", "double"),
+    ("test_auc", "double"),
+    ("test_ap", "double"),
+    ("test_accuracy", "double"),
+    ("test_precision", "double"),
+    ("test_recall", "double"),
+    ("test_f1", "double"),
+]
+RUN_LOG_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in RUN_LOG_COLUMNS)
 
 
 def run_log_row(row: dict) -> tuple:
-    """All 23 columns, numbers rounded to six places, missing ones null."""
-    text = [None if row.get(c) is None else str(row[c]) for c in RUN_LOG_TEXT]
-    return tuple(text + [None if row.get(c) is None else round(float(row[c]), 6) for c in RUN_LOG_NUMBERS])
+    """All columns in order, numbers rounded to six places, missing ones null."""
+    kept = {c: row.get(c) for c, _ in RUN_LOG_COLUMNS}
+    return tuple(
+        None if kept[c] is None else str(kept[c]) if kind == "string" else round(float(kept[c]), 6) for c, kind in RUN_LOG_COLUMNS
+    )
 
 
 def merge_props(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scratch import list_dirs, remove_path
+from ..functions.scratch import list_dirs
 from ..operators.clean import canonicalize_direction, drop_null_endpoints, drop_self_loops, timestamp_rollup, with_type
 
 
@@ -45,7 +45,3 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
     last = max(int(d.split("=")[1]) for d in numbers)
     rows = spark.read.parquet(path).select("src", "dst", "type", "ts").distinct()
     rows.write.mode("overwrite").parquet(f"{target}/batch={last}")
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    remove_path(spark, path)

@@ -1,14 +1,15 @@
-"""Node memories kept up to date from a stream of events.
+"""Node memories kept up to date from a stream of events, in whatever order and however often they come.
 
-The memory is a decayed sum, so a batch is first reduced to one row per node (combined
-map-side, as in the batch operator) and then merged into the stored state.  A node with a
-third of all events is therefore one merged row per batch, not one long state update.
-Every batch writes a new state version; a repeated batch starts from the version before it.
+The distinct events are part of the state, so a repeated event is known and left out.  The memory is a
+decayed sum: events later than a node's newest one are summed per node (combined map-side) and added to
+its stored row; a node that gets an earlier event is summed anew from its own events.  A batch writes the
+rows of the nodes it touches, under its own number; readers take the newest row per node.  A batch that
+runs twice replaces its own rows and reads those of earlier batches only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,53 +20,69 @@ from ..operators.embeddings.temporal import apply_projection, blend_neighbors, l
 from ..operators.graph import mirror
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    return sorted(int(d.split("=")[1]) for d in list_dirs(spark, f"{path}/state") if d.startswith("v="))
+def _earlier(spark: SparkSession, path: str, table: str, number: int | None) -> DataFrame | None:
+    """Rows of all batches before ``number`` (of all without it), with their ``batch``."""
+    found = sorted(int(d.split("=")[1]) for d in list_dirs(spark, f"{path}/{table}") if d.startswith("batch="))
+    found = [b for b in found if number is None or b < number]
+    if not found:
+        return None
+    rows = spark.read.option("basePath", f"{path}/{table}").parquet(f"{path}/{table}")
+    return rows.filter(F.col("batch") <= found[-1])
 
 
-def _decayed(acc: str, last: str, now, tau: float):
+def _newest(rows: DataFrame | None) -> DataFrame | None:
+    """Rows of the newest batch of each node."""
+    if rows is None:
+        return None
+    last = rows.groupBy("node").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["node", "batch"], "left_semi").drop("batch")
+
+
+def _decayed(acc: str, last: str, now: Column, tau: float) -> Column:
     return F.transform(acc, lambda x: x * F.exp((F.col(last) - now) / F.lit(float(tau))))
 
 
-def merge_batch(
-    old: DataFrame | None, old_recent: DataFrame | None, batch: DataFrame, dim: int, time_dim: int, tau: float, k: int, seed
-) -> tuple[DataFrame, DataFrame]:
-    """New state ``(node, last_ts, acc)`` and last neighbours after one batch.
-
-    ``batch`` has ``(ts, src, dst)`` in one direction; events older than a node's state are
-    late and were dropped by the watermark of the caller.
-    """
-    events = cut(mirror(batch.select("src", "dst", "ts").distinct()).select("ts", "src", "dst"), "events")
-    timed = previous_row(events, ["src"], [F.col("ts").asc(), F.col("dst").asc()], {"before": "ts"})
-    if old is not None:
-        stored = old.select(F.col("node").alias("src"), F.col("last_ts").alias("stored"))
-        timed = salted_join(timed, stored, ["src"], find_hot(events, "src"), "left")
-        before = F.coalesce("before", "stored")
-    else:
-        before = F.col("before")
-    gapped = cut(timed.select("ts", "src", "dst", F.coalesce(F.col("ts") - before, F.lit(0.0)).alias("gap")), "gaps")
-    new = memory_sums(gapped, dim, time_dim, tau, seed)
-    recent = last_k_neighbors(events, k)
+def fresh_events(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``(ts, src, dst)`` of the batch in both directions, each once and only if it is not known."""
+    events = mirror(batch.select("src", "dst", "ts").filter("src <> dst")).select("ts", "src", "dst").distinct()
+    return events if known is None else events.join(known.select("ts", "src", "dst"), ["src", "dst", "ts"], "left_anti").select("ts", "src", "dst")
+
+
+def merge_state(
+    fresh: DataFrame, known: DataFrame | None, old: DataFrame | None, dim: int, time_dim: int, tau: float, seed: int | str
+) -> DataFrame:
+    """``(node, last_ts, acc)`` of the nodes that ``fresh`` touches."""
+    order = [F.col("ts").asc(), F.col("dst").asc()]
     if old is None:
-        return new, recent
-    a, b = old.alias("a"), new.alias("b")
-    now = F.greatest("a.last_ts", "b.last_ts")
-    zero = F.array_repeat(F.lit(0.0), dim + time_dim)
-    joined = a.join(b, F.col("a.node") == F.col("b.node"), "full_outer")
-    merged = joined.select(
-        F.coalesce("a.node", "b.node").alias("node"),
-        now.alias("last_ts"),
-        F.zip_with(
-            F.coalesce(_decayed("a.acc", "a.last_ts", now, tau), zero),
-            F.coalesce(_decayed("b.acc", "b.last_ts", now, tau), zero),
-            lambda x, y: x + y,
-        ).alias("acc"),
-    )
-    # both sides hold at most k rows per node
-    every = old_recent.unionByName(recent)
+        timed = previous_row(fresh, ["src"], order, {"before": "ts"})
+        return memory_sums(cut(timed.select("ts", "src", "dst", F.coalesce(F.col("ts") - F.col("before"), F.lit(0.0)).alias("gap")), "gaps"), dim, time_dim, tau, seed)
+    first = fresh.groupBy("src").agg(F.min("ts").alias("first"))
+    seen = cut(first.join(old.select(F.col("node").alias("src"), F.col("last_ts").alias("stored")), "src"), "seen")
+    late = seen.filter("first < stored").select("src")
+    again = known.select("ts", "src", "dst").join(late, "src", "left_semi")
+    events = cut(fresh.unionByName(again), "events")
+    timed = previous_row(events, ["src"], order, {"before": "ts"})
+    in_order = seen.filter("first >= stored").select("src", "stored")
+    timed = salted_join(timed, in_order, ["src"], find_hot(events, "src"), "left")
+    gap = F.coalesce(F.col("ts") - F.coalesce("before", "stored"), F.lit(0.0))
+    new = memory_sums(cut(timed.select("ts", "src", "dst", gap.alias("gap")), "gaps"), dim, time_dim, tau, seed)
+    before = old.join(in_order.select(F.col("src").alias("node")), "node", "left_semi")
+    a, b = before.alias("a"), new.alias("b")
+    joined = b.join(a, F.col("a.node") == F.col("b.node"), "left")
+    added = F.zip_with(_decayed("a.acc", "a.last_ts", F.col("b.last_ts"), tau), F.col("b.acc"), lambda x, y: x + y)
+    return joined.select("b.node", "b.last_ts", F.coalesce(added, F.col("b.acc")).alias("acc"))
+
+
+def merge_recent(fresh: DataFrame, old: DataFrame | None, k: int) -> DataFrame:
+    """Last ``k`` events of the nodes that ``fresh`` touches; both sides hold at most ``k`` rows a node."""
+    recent = last_k_neighbors(fresh, k)
+    if old is None:
+        return recent
+    touched = recent.select("node").distinct()
+    every = old.join(touched, "node", "left_semi").select("node", "neighbor", "ts").unionByName(recent.select("node", "neighbor", "ts"))
     order = Window.partitionBy("node").orderBy(F.col("ts").desc(), F.col("neighbor").asc())
-    kept = every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return merged, kept.select("node", "rank", "neighbor", "ts")
+    kept = every.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return kept.select("node", "rank", "neighbor", "ts")
 
 
 def stream_memory(
@@ -82,12 +99,12 @@ def stream_memory(
 
     def save(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = [v for v in _versions(spark, path) if v < number]
-        old = spark.read.parquet(f"{path}/state/v={earlier[-1]}") if earlier else None
-        old_recent = spark.read.parquet(f"{path}/recent/v={earlier[-1]}") if earlier else None
-        state, recent = merge_batch(old, old_recent, batch, dim, time_dim, tau, k, seed)
-        recent.write.mode("overwrite").parquet(f"{path}/recent/v={number}")
-        state.write.mode("overwrite").parquet(f"{path}/state/v={number}")
+        known = _earlier(spark, path, "events", number)
+        fresh = cut(fresh_events(batch, known), "fresh")
+        state = merge_state(fresh, known, _newest(_earlier(spark, path, "state", number)), dim, time_dim, tau, seed)
+        recent = merge_recent(fresh, _newest(_earlier(spark, path, "recent", number)), k)
+        for table, rows in (("recent", recent), ("state", state), ("events", fresh)):
+            rows.write.mode("overwrite").parquet(f"{path}/{table}/batch={number}")
 
     return (
         events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -98,8 +115,7 @@ def current_memory(
     spark: SparkSession, path: str, nodes: DataFrame, dim: int = 16, time_dim: int = 8, seed: int | str = 42
 ) -> DataFrame:
     """``(node, vec)`` from the newest state."""
-    newest = _versions(spark, path)[-1]
-    state = spark.read.parquet(f"{path}/state/v={newest}")
-    recent = spark.read.parquet(f"{path}/recent/v={newest}")
+    state = _newest(_earlier(spark, path, "state", None))
+    recent = _newest(_earlier(spark, path, "recent", None))
     memory = apply_projection(state, dim, time_dim, seed)
     return blend_neighbors(nodes, memory, recent, dim)

@@ -45,7 +45,7 @@ def test_biased_steps_have_the_right_weights(spark):
     edges = spark.createDataFrame([("0", "1"), ("1", "2"), ("0", "2"), ("1", "3")], "src string, dst string")
     placed, spans = n2v.adjacency(edges)
     walks = spark.range(6000).select(F.col("id").alias("walk"), F.lit("0").alias("prev"), F.lit("1").alias("cur"), F.array(F.lit("1")).alias("path"))
-    out = n2v._biased_step(walks, placed, spans, [], "s", 2, 4.0, 0.5).groupBy("next").count().collect()
+    out = n2v._biased_step(walks, placed, spans, None, "s", 2, 4.0, 0.5).groupBy("next").count().collect()
     share = {r["next"]: r["count"] / 6000 for r in out}
     total = 0.25 + 1 + 2
     assert abs(share["0"] - 0.25 / total) < 0.03 and abs(share["2"] - 1 / total) < 0.03 and abs(share["3"] - 2 / total) < 0.03
@@ -117,6 +117,20 @@ def test_streamed_memory_equals_the_batch(spark, graph, want_memory, tmp_path):
     assert all(np.allclose(got[n], want_memory[n], atol=1e-8) for n in want_memory)
 
 
+def test_streamed_memory_takes_late_and_repeated_events(spark, graph, want_memory, tmp_path):
+    nodes, edges = graph
+    rows = edges.select("src", "dst", F.explode("timestamps").alias("ts"))
+    draw = F.pmod(F.xxhash64("src", "dst", "ts"), F.lit(3))
+    folder = str(tmp_path / "in")
+    for number in range(3):  # no order of time; every second event of a batch comes again, turned round, with the next
+        again = rows.filter((draw == number - 1) & (F.xxhash64("dst", "ts") % 2 == 0)).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ts")
+        rows.filter(draw == number).unionByName(again).coalesce(1).write.parquet(f"{folder}/p={number}")
+    events = spark.readStream.schema("src string, dst string, ts double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/p=*")
+    memory.stream_memory(events, str(tmp_path / "out"), str(tmp_path / "check"), 6, 4, 5.0, 3).awaitTermination()
+    got = {r["node"]: np.array(r["vec"]) for r in memory.current_memory(spark, str(tmp_path / "out"), nodes, 6, 4).collect()}
+    assert all(np.allclose(got[n], want_memory[n], atol=1e-8) for n in want_memory)
+
+
 def test_streamed_edges_equal_the_batch_and_compact(spark, graph, tmp_path):
     _, edges = graph
     keep = lambda df: sorted((r["src"], r["dst"], tuple(r["timestamps"])) for r in df.collect())

@@ -8,7 +8,7 @@ from linkloom.operators.embeddings import store
 from linkloom.operators.embeddings.families import embed
 from linkloom.operators.splits import execute_split
 from linkloom.plans import prediction as plan
-from linkloom.sources.snapshots import RUN_LOG_NUMBERS, RUN_LOG_TEXT, SnapshotStore
+from linkloom.sources.snapshots import RUN_LOG_COLUMNS, SnapshotStore
 
 
 @pytest.fixture(scope="module")
@@ -217,7 +217,7 @@ def test_run_log_and_split_memory(spark, tmp_path):
     s.append_run_log({"base_db": "b", "test_auc": 0.12345678, "predict_k": 5})
     s.append_run_log({"base_db": "c"})
     rows = {r["base_db"]: r for r in s.run_log().collect()}
-    assert len(rows["b"]) == len(RUN_LOG_TEXT) + len(RUN_LOG_NUMBERS) == 23
+    assert len(rows["b"]) == len(RUN_LOG_COLUMNS) == 23
     assert rows["b"]["test_auc"] == 0.123457 and rows["c"]["test_auc"] is None
     assert s.reuse_split("b", True, 0.1, 0.1) == ("rebuild", None)
     s.create(name="sp")
@@ -273,7 +273,8 @@ def test_comparisons(spark):
 
 
 def test_embedding_names_and_store(spark, tmp_path):
-    assert [store.family_of(x) for x in ("emb_N2V_1", "my sage", "hash-x-gnn", "tgn", "a b!", "!!")] == [
+    names = spark.createDataFrame([(x,) for x in ("emb_N2V_1", "my sage", "hash-x-gnn", "tgn", "a b!", "!!")], "x string")
+    assert [r["f"] for r in names.select(store.family_column(F.col("x")).alias("f")).collect()] == [
         "Node2Vec", "GraphSAGE", "HashGNN", "TGN", "a_b", "Embedding",
     ]
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "node string, vec array<double>")
