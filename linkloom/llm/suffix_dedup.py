@@ -35,9 +35,9 @@ from .common import keyed, same_key
 
 LENGTH, WINDOW = 200, 128
 GRAM = LENGTH - WINDOW + 1
-HOT = 2000
-#: Bytes hashed at a time, and bytes of contexts sorted at a time (whole anchors).
-BLOCK, SHARD = 1 << 20, 1 << 20
+HOT = 500
+#: Bytes hashed at a time, and bytes of contexts sorted at a time (whole anchors); sorting takes some 300 bytes a byte.
+BLOCK, SHARD = 1 << 19, 1 << 18
 DOC = ["__id", "__th"]
 
 
@@ -101,7 +101,7 @@ def contexts(data: np.ndarray, ends: np.ndarray, hasher: Hasher) -> tuple[np.nda
     return lo, hi - lo, anchor, whole[anchor], mark
 
 
-def _blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+def _blocks(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
     """Texts in blocks: bytes, ends, and per part (text, place in the block, place in the text).  Long texts are cut with overlap."""
     parts: list[bytes] = []
     told: list[tuple[int, int, int]] = []
@@ -130,8 +130,7 @@ def find_contexts(docs: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for data, ends, told in _blocks(texts):
+            for data, ends, told in _blocks(x.as_py() for x in batch.column(2).cast(pa.binary())):
                 lo, n, anchor, h, ctx = contexts(data, ends, hasher)
                 part = np.searchsorted(ends, lo, side="right")
                 text, place, at = (np.array(x, dtype=np.int64)[part] for x in zip(*told))
@@ -301,8 +300,8 @@ def fetch_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         hasher = Hasher()
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
         for batch in batches:
-            for i, (raw, asked) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())):
-                out = []
+            for i, body in enumerate(batch.column(2).cast(pa.binary())):
+                raw, asked, out = body.as_py(), batch.column(3)[i].as_py(), []
                 for x in asked:
                     lo, n, piece = x["lo"], x["n"], raw[x["lo"] : x["lo"] + x["n"] - 1 + LENGTH]
                     if x["hot"]:
@@ -337,7 +336,8 @@ def sort_shards(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             id_kind = batch.schema.field(0).type
-            for a, b, h, lo, unique, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, b, h, lo, unique, piece in zip(*([x.as_py() for x in c] if c.type != pa.binary() else c for c in batch.columns)):
+                piece = piece.as_py()
                 if h != last and size >= SHARD:
                     yield solve()
                     ids, th, los, parts, size = [], [], [], [], 0
@@ -388,7 +388,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             out = []
-            for raw, ranges in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            for body, found in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
+                raw, ranges = body.as_py(), found.as_py()
                 merged: list[list[int]] = []
                 for x in ranges or ():
                     if merged and x["s"] <= merged[-1][1]:
