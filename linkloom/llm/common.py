@@ -33,6 +33,15 @@ def same_key(left: DataFrame, right: DataFrame) -> Column:
     return left["__id"].eqNullSafe(right["__id"]) & (left["__th"] == right["__th"])
 
 
+#: A stored table of at most so many rows of a few numbers is broadcast (some 50 MB); a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(stored: DataFrame) -> DataFrame:
+    """A stored narrow table, marked for broadcast if its counted size allows it."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def let(value: Column, use) -> Column:
     """``use(v)`` where ``v`` stands for ``value`` computed once a row.
 

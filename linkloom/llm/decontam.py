@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scratch import cut
-from .common import keyed, let, same_key
+from .common import keyed, let, same_key, sized
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, PROBES = 10, 3
@@ -154,6 +154,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of ``docs`` without any hit, columns as they were."""
-    bad = cut(find_contamination(docs, benchmark, window).select(*DOC).distinct(), "contaminated")
+    bad = sized(cut(find_contamination(docs, benchmark, window).select(*DOC).distinct(), "contaminated"))
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (text == bad["__th"]), "left_anti").select(*[docs[c] for c in docs.columns])

@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import cut, drop_cut
 from ..operators.graph import connected_components
-from .common import keyed, let, same_key
+from .common import keyed, let, same_key, sized
 
 BLANKS, BREAK = " \t\n\x0b\f\r", "[\\x20\\x09-\\x0D]+"
 PROBE, HOT = 8, 64
+#: Tokens stored per set, in prefixes.
+SPARE = 1.5
 
 
 def shingle_words(text: Column) -> Column:
@@ -80,11 +82,11 @@ class Threshold:
 
 
 def signatures(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """Stored per row: ``row`` (a number), ``__id, __th, n, s1, s2`` and the first tokens by hash order, twice the prefix."""
+    """Stored per row: ``row`` (a number), ``__id, __th, n, s1, s2`` and the first tokens by hash order, ``SPARE`` prefixes."""
     sets = keyed(docs).select("__id", "__th", tokens(F.col("__text"), k).alias("t"))
     sized = sets.select("__id", "__th", "t", F.size("t").alias("n"))
     marks = [F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2")]
-    return cut(sized.select(F.monotonically_increasing_id().alias("row"), "__id", "__th", "n", *marks, F.slice("t", 1, 2 * t.prefix(F.col("n"))).alias("head")), "sets")
+    return cut(sized.select(F.monotonically_increasing_id().alias("row"), "__id", "__th", "n", *marks, F.slice("t", 1, F.ceil(t.prefix(F.col("n")) * F.lit(SPARE)).cast("int")).alias("head")), "sets")
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
@@ -99,8 +101,8 @@ def _sharing(lists: DataFrame, t: Threshold) -> DataFrame:
 
 
 def class_tokens(docs: DataFrame, wanted: DataFrame, k: int, repeats: bool) -> DataFrame:
-    """Stored ``c, n, tokens`` of the wanted classes (``c, n, __id, __th``), read from their texts again."""
-    body = keyed(docs)
+    """Stored ``c, n, tokens`` of the wanted classes (stored ``c, n, __id, __th``), read from their texts again."""
+    body, wanted = keyed(docs), sized(wanted)
     rows = body.join(wanted, same_key(body, wanted)).select("c", "n", tokens(body["__text"], k).alias("tokens"))
     return cut(rows.dropDuplicates(["c"]) if repeats else rows, "tokens")
 
@@ -136,11 +138,14 @@ def compare(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 
 def star_pairs(postings: DataFrame, t: Threshold) -> DataFrame:
-    """Each class with the most central class of each of its token lists: the one with the fewest tokens of its own."""
+    """Each class with the most central class of each of its token lists: the one with the fewest tokens of its own.
+
+    These pairs only serve to form groups, so those that share few tokens are left to the matrix.
+    """
     centre = postings.groupBy("t").agg(F.min(F.struct("own", "c", "n")).alias("m"), F.count(F.lit(1)).alias("df")).where("df > 1")
     met = postings.join(centre.select("t", "m.c", "m.n").toDF("t", "b", "nb"), "t").where(F.col("c") != F.col("b"))
     counted = met.where(t.sizes_fit(F.col("n"), F.col("n"), F.col("nb"), F.col("nb"))).groupBy(F.col("c").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.max(F.greatest("n", "nb")).alias("n"))
-    return counted.where(F.col("m") >= F.least(F.lit(2), t.shared(F.col("n")))).select("a", "b")
+    return counted.where(2 * F.col("m") >= t.shared(F.col("n"))).select("a", "b")
 
 
 def group_matrix(postings: DataFrame, groups: DataFrame) -> DataFrame:
@@ -175,35 +180,49 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.groupBy("__id", "__th").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array(*pairs.columns)).alias("c")).distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Per row ``doc_id, __th, n_shingles, component_id`` and ``group_id``, a number of the component (null without shingles)."""
     t = Threshold(num, den)
-    rows = signatures(docs, k, t)
+    heads = signatures(docs, k, t)
+    rows = cut(heads.drop("head"), "rows")
     classes = cut(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("c"), F.min("__id").alias("first_id")), "classes")
-    heads = rows.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
     repeats = not _repeated(rows).isEmpty()
-    lists = cut(_shared_lists(heads.select(F.col("row").alias("c"), "n", F.explode(F.slice("head", 1, t.prefix(F.col("n")))).alias("t"))), "lists")
-    wanted = cut(rows.join(_sharing(lists, t), F.col("row") == F.col("c")).select("c", "n", "__id", "__th", "head"), "wanted")
+    own = heads.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
+    lists = cut(_shared_lists(own.select(F.col("row").alias("c"), "n", F.explode(F.slice("head", 1, t.prefix(F.col("n")))).alias("t"))), "lists")
+    wanted = cut(heads.join(_sharing(lists, t), F.col("row") == F.col("c")).select("c", "n", "__id", "__th", "head"), "wanted")
+    drop_cut(heads)
     ordered = reordered(lists.join(wanted.select("c"), "c", "left_semi"), wanted, docs, k, t, repeats)
     drop_cut(lists)
     # the same test once more: passages that many share no longer count
-    lists = _shared_lists(ordered)
-    searched = cut(wanted.drop("head").join(_sharing(lists, t), "c"), "searched")
+    searched = cut(wanted.drop("head").join(_sharing(_shared_lists(ordered), t), "c"), "searched")
     postings = cut(ordered.join(searched.select("c"), "c", "left_semi"), "postings")
     for stored in (wanted, ordered):
         drop_cut(stored)
-    sets = class_tokens(docs, searched, k, repeats)
-    first = compare(star_pairs(postings, t), sets, t)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        return class_tokens(docs, cut(searched.join(_ends(pairs), "c", "left_semi"), "asked"), k, repeats)
+
+    stars = cut(star_pairs(postings, t), "stars")
+    sets = sets_of(stars)
+    first = compare(stars, sets, t)
+    drop_cut(sets)
     groups = cut(connected_components(first).toDF("c", "g"), "groups")
     matrix = group_matrix(postings, groups)
-    more = compare(opened(postings, groups, qualifying(matrix, t), t), sets, t)
+    # pairs that were compared already are not links
+    pairs = cut(opened(postings, groups, qualifying(matrix, t), t).join(stars, ["a", "b"], "left_anti").join(stars.toDF("b", "a"), ["a", "b"], "left_anti"), "opened")
+    sets = sets_of(pairs)
+    more = compare(pairs, sets, t)
     for stored in (sets, postings, matrix):
         drop_cut(stored)
     joined = cut(connected_components(first.unionByName(more)).toDF("c", "g"), "groups")
     member = cut(classes.join(joined, "c", "left").select("n", "s1", "s2", "first_id", F.coalesce("g", "c").alias("group_id")), "members")
     named = member.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
     told = member.join(named, "group_id").select("n", "s1", "s2", "component_id", "group_id")
-    full = rows.drop("head").join(told, ["n", "s1", "s2"], "left")
+    full = rows.join(told, ["n", "s1", "s2"], "left")
     return full.select(
         F.col("__id").alias("doc_id"), "__th", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id"), "group_id",
@@ -219,7 +238,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     best = found.groupBy("group_id").agg(F.min(F.struct(F.col("__id").isNull().alias("no"), "__id", "__th")).alias("m"))
     stay = best.select("group_id", F.col("m.__id").alias("__id"), F.col("m.__th").alias("__th"))
     same = found["group_id"].eqNullSafe(stay["group_id"]) & same_key(found, stay)
-    gone = cut(found.join(stay, same, "left_anti").select("__id", "__th").distinct(), "copies")
+    gone = sized(cut(found.join(stay, same, "left_anti").select("__id", "__th").distinct(), "copies"))
     marked = docs.withColumn("__row_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     is_row = lambda x: marked["doc_id"].eqNullSafe(x["__id"]) & (marked["__row_th"] == x["__th"])
     left = marked.join(gone, is_row(gone), "left_anti")
