@@ -68,7 +68,16 @@ def fastrp_features(g: Graphs) -> DataFrame:
     return _spread(rows).withColumn("x", F.col("x") + F.lit(0.0))
 
 
-@register(CATALOG, "m2_random_walks")
+@register(
+    CATALOG, "m2_random_walks",
+    with_graph("handoff", recursive=True) + f""", two_way as (select distinct src, dst from (select src, dst from handoff union all select dst, src from handoff)),
+    placed as (select src, dst, row_number() over (order by src, dst) - 1 as place from two_way),
+    spans as (select src as node, min(place) as first, count(*) as degree from placed group by src),
+    w as (select nid * 2 + n as walk, 0 as step, id as cur, id as path from handoff_nodes, (select unnest([0, 1]) as n)
+    union all select w.walk, w.step + 1, p.dst, w.path || '>' || p.dst from w join spans s on s.node = w.cur
+    join placed p on p.place = s.first + {h60("'42'", "w.walk", "w.step + 1")} % s.degree where w.step < 5)
+    select walk::BIGINT as walk, path from w where step = 5""",
+)
 def walks(g: Graphs) -> DataFrame:
     made = random_walks(g.nodes("handoff"), g.edges("handoff"), 6, 2)
     return made.select("walk", F.array_join("path", ">").alias("path"))
@@ -174,13 +183,17 @@ def temporal_memory(g: Graphs) -> DataFrame:
     return _spread(temporal.temporal_memory(g.nodes("handoff"), g.edges("handoff"), 8, 4), 5).withColumn("x", F.col("x") + F.lit(0.0))
 
 
-@register(CATALOG, "m6_write_load_embeddings")
+@register(
+    CATALOG, "m6_write_load_embeddings",
+    """select vec_id as node, j::INTEGER as j, round(embedding[j + 1]::DOUBLE, 6) + 0.0 as x
+    from (select vec_id, embedding, unnest(range(len(embedding))) as j from embeddings)""",
+)
 def write_load(g: Graphs) -> DataFrame:
     path = scratch_path(g.spark, "emb")
     rows = g.table("embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
     store.write_embeddings(path, rows, "FastRP")
     loaded = store.load_embeddings(g.spark, path, "FastRP")
-    return loaded.select("node", F.size("vec").alias("dim"), F.round(F.get("vec", F.lit(0)), 6).alias("first"))
+    return _spread(loaded).withColumn("x", F.col("x") + F.lit(0.0))
 
 
 @register(CATALOG, "m7_infer_dim", "select max(len(embedding))::BIGINT as dim, count(*) as vectors from embeddings")

@@ -116,8 +116,7 @@ def score(g: Graphs) -> DataFrame:
     return scored.select("s", "t", F.round("probability", 4).alias("probability"))
 
 
-@register(
-    CATALOG, "l8_binary_metrics",
+METRICS_SQL = (
     with_graph("trade") + ", " + SCORED_SQL + """, h as (select probability as p, count(case when label = 1 then 1 end) as pos,
     count(case when label = 0 then 1 end) as neg from scored group by 1),
     r as (select *, sum(pos) over (order by p desc) as cp, sum(neg) over (order by p desc) as cn from h),
@@ -125,8 +124,11 @@ def score(g: Graphs) -> DataFrame:
     sum(case when p >= 0.5 then pos else 0 end) as tp, sum(case when p >= 0.5 then neg else 0 end) as fp from r)
     select np::BIGINT as count_pos, nn::BIGINT as count_neg, round(w / (np::DOUBLE * nn), 8) as auc, round(st / np, 8) as ap,
     round((tp + nn - fp) / (np + nn)::DOUBLE, 8) as accuracy, round(tp / (tp + fp)::DOUBLE, 8) as precision,
-    round(tp / np::DOUBLE, 8) as recall, round(2.0 * tp / (2 * tp + fp + np - tp)::DOUBLE, 8) as f1 from m""",
+    round(tp / np::DOUBLE, 8) as recall, round(2.0 * tp / (2 * tp + fp + np - tp)::DOUBLE, 8) as f1 from m"""
 )
+
+
+@register(CATALOG, "l8_binary_metrics", METRICS_SQL)
 def binary_metrics(g: Graphs) -> DataFrame:
     m = lp.binary_metrics(g.scored())
     return m.select("count_pos", "count_neg", *[F.round(c, 8).alias(c) for c in m.columns[2:]])

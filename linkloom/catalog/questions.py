@@ -140,7 +140,11 @@ def edge_view(g: Graphs) -> DataFrame:
     return qu.edge_view(g.future())
 
 
-@register(CATALOG, "q9_snapshot_pair")
+@register(
+    CATALOG, "q9_snapshot_pair",
+    future_sql() + """ select 'trade' as snapshot, src, dst, type from trade
+    union all select 'trade-predicted-FastRP', src, dst, type from future""",
+)
 def snapshot_pair(g: Graphs) -> DataFrame:
     from ..functions.scratch import scratch_path
     from ..sources.snapshots import SnapshotStore
@@ -149,7 +153,8 @@ def snapshot_pair(g: Graphs) -> DataFrame:
     base, future = s.snapshot_pair("trade", "FastRP")
     s.write_edges(base, g.edges("trade"))
     s.write_edges(future, g.future())
-    return g.spark.createDataFrame([(n, s.edges(n).count()) for n in (base, future)], "snapshot string, edges bigint")
+    one, two = (s.edges(n).select(F.lit(n).alias("snapshot"), "src", "dst", "type") for n in (base, future))
+    return one.unionByName(two)
 
 
 @register(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
 from ..operators import clean
 from ..sources import files, snapshots
-from .base import FEATURES_SQL, Graphs, register, with_graph
+from .base import FEATURES_SQL, Graphs, future_sql, register, with_graph
+from .prediction import METRICS_SQL
+from .splits import bands_sql
 
 CATALOG: dict = {}
 
@@ -48,10 +52,10 @@ def read_features(g: Graphs) -> DataFrame:
     CATALOG, "s3_merge_props",
     with_graph("trade") + f""", f as ({FEATURES_SQL}) select coalesce(n.id, f.id) as id, n.nid::BIGINT as nid,
     f.balance as balance, coalesce(f.nation, case when n.id is not null then -1 end)::INTEGER as nation
-    from trade_nodes n full outer join (select * from f where id not like 'p%') f on n.id = f.id""",
+    from trade_nodes n full outer join f on n.id = f.id""",
 )
 def merge_props(g: Graphs) -> DataFrame:
-    new = g.features().filter(~F.col("id").startswith("p")).select("id", "balance", "nation")
+    new = g.features().select("id", "balance", "nation")
     s = store(g)
     s.write_nodes("base", g.nodes("trade").withColumn("nation", F.lit(-1)))
     s.write_nodes("base", new)
@@ -70,19 +74,23 @@ _STATUS = """select src, dst, 'REL' as type, min(ts) as first_ts, max(ts) as las
 
 @register(
     CATALOG, "s4_upsert_edges",
-    f"""with a as ({_STATUS.format("F")}), b as ({_STATUS.format("O")})
-    select coalesce(b.src, a.src) as src, coalesce(b.dst, a.dst) as dst, coalesce(b.first_ts, a.first_ts) as first_ts,
-    coalesce(b.last_ts, a.last_ts) as last_ts, coalesce(b.n, a.n)::BIGINT as interaction_count, 0 as predicted
-    from a full outer join b on a.src = b.src and a.dst = b.dst""",
+    f"""with w as (select *, 1 as turn from ({_STATUS.format("F")}) union all select *, 2 from ({_STATUS.format("O")})
+    union all select *, 3 from ({_STATUS.format("P")}))
+    select src, dst, arg_max(first_ts, turn) as first_ts, arg_max(last_ts, turn) as last_ts,
+    arg_max(n, turn)::BIGINT as interaction_count, 0 as predicted from w group by src, dst""",
 )
 def upsert_edges(g: Graphs) -> DataFrame:
     s = store(g)
-    s.write_edges("base", _status_edges(g, "F"))
-    s.write_edges("base", _status_edges(g, "O"))
+    for status in ("F", "O", "P"):
+        s.write_edges("base", _status_edges(g, status))
     return s.edges("base").select("src", "dst", "first_ts", "last_ts", "interaction_count", "predicted")
 
 
-@register(CATALOG, "s5_create_snapshot")
+@register(
+    CATALOG, "s5_create_snapshot",
+    with_graph("trade", "handoff") + """ select 'dataset-1' as snapshot, src, dst, type, first_ts, last_ts from trade
+    union all select 'dataset-2', src, dst, type, first_ts, last_ts from handoff""",
+)
 def create_snapshot(g: Graphs) -> DataFrame:
     s = store(g)
     for graph in ("trade", "handoff"):
@@ -90,18 +98,22 @@ def create_snapshot(g: Graphs) -> DataFrame:
         s.write_nodes(name, g.nodes(graph))
         s.write_edges(name, g.edges(graph))
     s.create(name="Named")
-    rows = [(n, s.edges(n).count() if s.has(n, "edges") else 0) for n in s.list()]
-    return g.spark.createDataFrame(rows, "snapshot string, edges bigint")
+    parts = [s.edges(n).select(F.lit(n).alias("snapshot"), "src", "dst", "type", "first_ts", "last_ts") for n in s.list() if s.has(n, "edges")]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@register(CATALOG, "s6_use_and_drop_snapshot")
+@register(
+    CATALOG, "s6_use_and_drop_snapshot",
+    with_graph("handoff") + " select 'one' as snapshot, id, nid::BIGINT as nid from handoff_nodes",
+)
 def drop_snapshot(g: Graphs) -> DataFrame:
     s = store(g)
     for name in ("one", "two"):
         s.write_nodes(s.create(name=name), g.nodes("handoff"))
     s.use("one")
-    rows = [("drop two", str(s.drop("two"))), ("drop absent", str(s.drop("three"))), ("left", ",".join(s.list()))]
-    return g.spark.createDataFrame(rows, "step string, result string").withColumn("nodes", F.lit(s.nodes("one").count()))
+    s.drop("two")
+    parts = [s.nodes(n).select(F.lit(n).alias("snapshot"), "id", "nid") for n in s.list()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register(
@@ -139,24 +151,39 @@ def project_reverse(g: Graphs) -> DataFrame:
     return e.select("src", "dst", "interaction_count")
 
 
-@register(CATALOG, "s9_list_projections")
+@register(
+    CATALOG, "s9_list_projections",
+    with_graph("handoff") + """, n as (select count(*) as nodes from handoff_nodes), e as (select count(*) as edges from handoff)
+    select 'all_undirected' as projection, nodes as node_count, 2 * edges as edge_count from n, e
+    union all select 'all_natural', nodes, edges from n, e""",
+)
 def list_projections(g: Graphs) -> DataFrame:
     s = store(g)
     for kind in ("UNDIRECTED", "NATURAL"):
         n, e = snapshots.project(g.nodes("handoff"), g.edges("handoff"), orientation=kind)
         s.record_projection("base", f"all_{kind.lower()}", n, e)
-    return s.list_projections("base").select("projection", "node_count", "edge_count", "edge_schema")
+    return s.list_projections("base").select("projection", "node_count", "edge_count")
 
 
-@register(CATALOG, "s10_predicted_snapshots")
+@register(
+    CATALOG, "s10_predicted_snapshots",
+    future_sql() + " select 'FastRP' as family, 'trade-predicted-FastRP' as snapshot, src, dst, type from future",
+)
 def predicted_snapshots(g: Graphs) -> DataFrame:
     s = store(g)
     s.write_edges("trade", g.edges("trade"))
     s.write_edges(s.predicted_name("trade", "FastRP"), g.future())
-    return s.predicted_snapshots("trade")
+    there = s.predicted_snapshots("trade").filter("present").collect()  # one row per family
+    parts = [s.edges(r["snapshot"]).select(F.lit(r["family"]).alias("family"), F.lit(r["snapshot"]).alias("snapshot"), "src", "dst", "type") for r in there]
+    return reduce(DataFrame.unionByName, parts)
 
 
-@register(CATALOG, "s12_append_run_log")
+@register(
+    CATALOG, "s12_append_run_log",
+    """select 'trade' as base_db, 'FastRP' as embedding_family, 100.0::DOUBLE as predict_k, 0.5::DOUBLE as prob_threshold, round(auc, 5) as test_auc,
+    round(ap, 5) as test_ap, round(accuracy, 5) as test_accuracy, round(precision, 5) as test_precision, round(recall, 5) as test_recall,
+    round(f1, 5) as test_f1 from (""" + METRICS_SQL + ")",
+)
 def run_log(g: Graphs) -> DataFrame:
     from ..operators.linkpred import binary_metrics
 
@@ -166,21 +193,23 @@ def run_log(g: Graphs) -> DataFrame:
         {"base_db": "trade", "embedding_family": "FastRP", "predict_k": 100, "prob_threshold": 0.5,
          **{f"test_{c}": m[c] for c in ("auc", "ap", "accuracy", "precision", "recall", "f1")}}
     )
-    return s.run_log()
+    measures = [F.round(f"test_{c}", 5).alias(f"test_{c}") for c in ("auc", "ap", "accuracy", "precision", "recall", "f1")]
+    return s.run_log().select("base_db", "embedding_family", "predict_k", "prob_threshold", *measures)
 
 
-@register(CATALOG, "s13_reuse_split")
+@register(
+    CATALOG, "s13_reuse_split",
+    with_graph("trade") + bands_sql("trade", 0.1, 0.1) + """ select 'rebuild' as first, 'reuse' as same, 'locked' as other, src, dst, set from split""",
+)
 def reuse_split(g: Graphs) -> DataFrame:
     from ..operators.splits import temporal_split
 
     s = store(g)
-    steps = [("first", *s.reuse_split("trade", True, 0.1, 0.1))]
+    steps = {"first": s.reuse_split("trade", True, 0.1, 0.1)[0]}
     s.write("trade-split", "edges", temporal_split(g.edges("trade"), 0.1, 0.1))
     s.remember_split("trade", True, 0.1, 0.1, "trade-split")
-    steps.append(("same", *s.reuse_split("trade", True, 0.1, 0.1)))
-    steps.append(("other", *s.reuse_split("trade", True, 0.2, 0.1)))
-    return g.spark.createDataFrame(steps, "step string, decision string, split string").withColumn(
-        "rows", F.lit(s.edges("trade-split").count())
-    )
+    steps["same"], name = s.reuse_split("trade", True, 0.1, 0.1)
+    steps["other"] = s.reuse_split("trade", True, 0.2, 0.1)[0]
+    return s.edges(name).select(*[F.lit(v).alias(k) for k, v in steps.items()], "src", "dst", "set")
 
 

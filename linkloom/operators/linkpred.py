@@ -107,7 +107,10 @@ def family_pool(
     nodes: DataFrame, edges: DataFrame, used: DataFrame, remaining: int, seed: int | str = "pool", version: int = 1
 ) -> DataFrame:
     """Pool for one family, grown to ``max(3r, r + 200)``, without the pairs chosen before."""
-    pool = candidate_pool(nodes, edges, pool_size(remaining), seed, version)
+    return unused(candidate_pool(nodes, edges, pool_size(remaining), seed, version), used)
+
+
+def unused(pool: DataFrame, used: DataFrame) -> DataFrame:
     return pool.join(used.select("s", "t"), ["s", "t"], "left_anti")
 
 

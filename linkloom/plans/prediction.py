@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import cut
+from ..functions.ordering import first_rows
+from ..functions.scratch import cut, path_exists
 from ..operators import linkpred as lp
 from ..operators import predicted as pr
 from ..operators.clean import assign_nid
 from ..operators.embeddings.families import embed
-from ..operators.embeddings.store import infer_dim
-from ..operators.splits import Split, execute_split
+from ..operators.embeddings.store import infer_dim, load_embeddings, write_embeddings
+from ..operators.splits import Split, execute_split, split_nodes, split_report
 from ..sources.snapshots import FAMILIES, SnapshotStore
 
 
@@ -57,10 +59,12 @@ def run_link_prediction(
     evaluation_threshold: float = 0.5,
     seed: int | str = 42,
     known: DataFrame | None = None,
+    pool: DataFrame | None = None,
 ) -> PredictionRun:
     """Fit on the train pairs, evaluate, choose ``k`` new pairs and build the predicted snapshot rows.
 
-    ``nodes`` has ``id`` and ``nid``; ``known`` holds pairs predicted before (``family, s, t``).
+    ``nodes`` has ``id`` and ``nid``; ``known`` holds pairs predicted before (``family, s, t``);
+    ``pool`` is a candidate pool that is there already.
     """
     seconds, t0 = {}, time.perf_counter()
     emb = cut(emb, "emb")
@@ -76,23 +80,97 @@ def run_link_prediction(
     id_type = dict(nodes.dtypes)["id"]
     known = known if known is not None else spark.createDataFrame([], f"family string, s {id_type}, t {id_type}")
     avoid = lp.avoid_set(known.filter(F.col("family") == family), *pos.values())
-    remaining = max(k * multiplier, k + 50)
-    pool = lp.family_pool(nodes, edges, known.filter(F.col("family") == family), remaining, f"{seed}|pool")
+    used = known.filter(F.col("family") == family)
+    if pool is None:
+        pool = lp.candidate_pool(nodes, edges, lp.pool_size(remaining_pairs(k, multiplier)), f"{seed}|pool")
+    pool = cut(lp.unused(pool, used), "pool")
     scored = cut(lp.score(lp.hadamard(pool, emb), model), "scored")
     chosen = cut(lp.select_threshold_first(scored, k, threshold, avoid).select("s", "t", "probability"), "chosen")
     seconds["link_prediction_seconds"] = time.perf_counter() - t0
-    t1 = time.perf_counter()
     new_nodes, rows = pr.snapshot_rows(edges, nodes, chosen)
-    seconds["predicted_graph_projection_seconds"] = time.perf_counter() - t1
     return PredictionRun(metrics, recognized, chosen, new_nodes, rows, pr.remember_predicted(known, chosen, family), seconds)
 
 
+def remaining_pairs(k: int, multiplier: int) -> int:
+    return max(k * multiplier, k + 50)
+
+
+def stored_pool(store: SnapshotStore, base: str, nodes: DataFrame, edges: DataFrame, size: int, seed: int | str = "pool", version: int = 1) -> DataFrame:
+    """Candidate pool kept by snapshot, seed and version; a stored one that is large enough is read, not drawn."""
+    table = f"pool-{seed}-{version}".replace("|", "-")
+    if not store.has(base, table) or store.read(base, table).agg(F.max("wanted").alias("n")).first()["n"] < size:
+        store.write(base, table, lp.candidate_pool(nodes, edges, size, seed, version).withColumn("wanted", F.lit(size)))
+    return first_rows(store.read(base, table).drop("wanted"), [F.col("pool_pos").asc()], size)
+
+
+def recorded_run(
+    store: SnapshotStore,
+    base: str,
+    nodes: DataFrame,
+    edges: DataFrame,
+    family: str = "FastRP",
+    mode: str = "temporal",
+    test: float = 0.1,
+    val: float = 0.1,
+    k: int = 100,
+    threshold: float = 0.5,
+    dim: int = 128,
+    multiplier: int = 20,
+    seed: int | str = 42,
+    **options,
+) -> PredictionRun:
+    """A whole run whose split, vectors, pool, pairs, metrics and times stay in the store.
+
+    The split of the same settings is used again; other settings for a snapshot that has a split
+    are an error.  Tables of ``<base>-predicted-<family>``: ``nodes``, ``edges``, ``metrics``,
+    ``test_pairs``, ``evaluation_pairs``, ``recognized``, ``chosen``, ``known``.
+    """
+    spark, temporal, t0 = store.spark, mode == "temporal", time.perf_counter()
+    decision, split_name = store.reuse_split(base, temporal, test, val)
+    if decision == "locked":
+        raise ValueError(f"'{base}' has the split '{split_name}' with other settings")
+    if decision == "rebuild":
+        split_name = f"{base}-split"
+        store.write(split_name, "edges", execute_split(edges, nodes, mode, test, val, seed).edges)
+        store.remember_split(base, temporal, test, val, split_name)
+    rows = store.edges(split_name)
+    split = Split(rows, split_nodes(rows, nodes), split_report(rows, not temporal))
+    t1 = time.perf_counter()
+    folder = embedding_folder(store, base)
+    write_embeddings(folder, embed(family, nodes, split.part("train"), dim, **options), family)
+    emb = load_embeddings(spark, folder, family)
+    t2 = time.perf_counter()
+    name = store.predicted_name(base, family)
+    known = store.read(name, "known") if store.has(name, "known") else None
+    pool = stored_pool(store, base, nodes, edges, lp.pool_size(remaining_pairs(k, multiplier)), f"{seed}|pool")
+    run = run_link_prediction(nodes, edges, split, emb, family, k, threshold, multiplier, seed=seed, known=known, pool=pool)
+    materialize_predicted(store, base, family, run)
+    held = {"test_pairs": pairs_of(rows, "test"), "evaluation_pairs": pairs_of(rows, "val")}
+    for table, df in (held | {"metrics": run.metrics, "recognized": run.recognized, "chosen": run.chosen, "known": run.known}).items():
+        store.write(name, table, df)
+    run.seconds |= {"split_seconds": t1 - t0, "embedding_seconds": t2 - t1, "predicted_db_creation_seconds": time.perf_counter() - t2}
+    tested = store.read(name, "metrics").filter("set = 'test'").first().asDict()
+    now = datetime.now(UTC).isoformat(timespec="seconds")
+    store.append_run_log(
+        {"timestamp_utc": now, "base_db": base, "embedding_family": family, "predict_k": k, "prob_threshold": threshold,
+         "predicted_db_name": name, "split_temporal_mode": mode, "split_test_holdout": test, "split_val_holdout": val,
+         **run.seconds, **{f"test_{m}": tested[m] for m in ("auc", "ap", "accuracy", "precision", "recall", "f1")}}
+    )
+    return run
+
+
+def embedding_folder(store: SnapshotStore, base: str) -> str:
+    return f"{store.root}/{base}/_embeddings"
+
+
 def materialize_predicted(store: SnapshotStore, base: str, family: str, run: PredictionRun) -> str:
     """Replace ``<base>-predicted-<family>`` by the rows of a run."""
     t0 = time.perf_counter()
     name = store.predicted_name(base, family)
     store.write(name, "nodes", run.nodes)
+    t1 = time.perf_counter()
     store.write(name, "edges", run.edges, partition_by="predicted")
+    run.seconds["predicted_graph_projection_seconds"] = time.perf_counter() - t1
     run.seconds["materialize_prediction_db_seconds"] = time.perf_counter() - t0
     return name
 
@@ -154,6 +232,8 @@ def iterate(
     name = store.predicted_name(base, family)
     if not store.has(name, "edges"):
         raise ValueError(f"no predicted snapshot '{name}'; run the first prediction")
+    if "dim" not in options and path_exists(store.spark, f"{embedding_folder(store, base)}/family={family}"):
+        options["dim"] = infer_dim(load_embeddings(store.spark, embedding_folder(store, base), family))
     reports = []
     for _ in range(rounds):
         edges, nodes = store.edges(name), store.nodes(name)
@@ -163,7 +243,3 @@ def iterate(
         after = pr.round_counters(store.edges(name)).first()
         reports.append({"round": after["max_round"], "ts": after["max_ts"], **report})
     return reports
-
-
-def stored_dim(emb: DataFrame) -> int:
-    return infer_dim(emb)

@@ -186,6 +186,24 @@ def test_whole_run_and_rounds(spark, community, tmp_path):
         plan.iterate(s, "other", "FastRP")
 
 
+def test_recorded_run(spark, community, tmp_path):
+    nodes, edges = community
+    s = SnapshotStore(spark, str(tmp_path / "store"))
+    first = plan.recorded_run(s, "base", nodes, edges, mode="random", k=8, dim=12, multiplier=5)
+    again = plan.recorded_run(s, "base", nodes, edges, mode="random", k=8, dim=12, multiplier=5)
+    name = "base-predicted-FastRP"
+    pairs = lambda df: {(r["s"], r["t"]) for r in df.collect()}
+    assert not pairs(first.chosen) & pairs(again.chosen) and pairs(s.read(name, "known")) == pairs(first.chosen) | pairs(again.chosen)
+    assert len(s._versions("base-split", "edges")) == 1 and len(s._versions("base", "pool-42-pool-1")) == 1
+    assert pairs(s.read(name, "test_pairs")) == pairs(plan.pairs_of(s.edges("base-split"), "test"))
+    log = s.run_log().collect()
+    assert len(log) == 2 and all(r["split_seconds"] > 0 and r["embedding_seconds"] > 0 and r["test_auc"] is not None for r in log)
+    with pytest.raises(ValueError, match="other settings"):
+        plan.recorded_run(s, "base", nodes, edges, mode="random", test=0.2)
+    plan.iterate(s, "base", "FastRP", k=3)
+    assert s.edges(name).filter("predicted = 2").count() == 3
+
+
 def test_empty_test_set_gives_null_metrics(spark, community):
     nodes, edges = community
     split = execute_split(edges, nodes, "random", 0.0, 0.0)
