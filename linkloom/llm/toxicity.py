@@ -61,8 +61,8 @@ class Words:
         inverse = np.uint64(pow(int(_BASE), -1, 2**64))
         down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(data), inverse))])
         sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-        self._hash = lambda a, b: _mixed((sums[b] - sums[a]) * down[a])
-        whole = self._hash(start, stop) if len(start) else np.zeros(0, np.uint64)
+        hashed = lambda a, b: _mixed((sums[b] - sums[a]) * down[a])
+        whole = hashed(start, stop) if len(start) else np.zeros(0, np.uint64)
         _, first, self.which = np.unique(whole, return_index=True, return_inverse=True)
         self.word_row = (whole[first] % np.uint64(WORD_ROWS)).astype(np.int64)
         # a word's n-grams run from the break before it to the break after it
@@ -73,7 +73,7 @@ class Words:
             own = np.repeat(np.arange(len(first)), many)
             at = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + a[own]
             begin = (at == a[own]).astype(np.uint64) * np.uint64(0x5851F42D4C957F2D)
-            body = self._hash(np.maximum(at, a[own] + 1), np.minimum(at + n, b[own] - 1))  # without the breaks, whatever they are
+            body = hashed(np.maximum(at, a[own] + 1), np.minimum(at + n, b[own] - 1))  # without the breaks, whatever they are
             end = (at + n == b[own]).astype(np.uint64) * np.uint64(0x14057B7EF767814F)
             rows.append((_mixed(body ^ begin ^ end ^ np.uint64(n)) % np.uint64(GRAM_ROWS)).astype(np.int64))
             owner.append(own)
