@@ -2,18 +2,19 @@
 
 Each document is the set of its shingles' 64-bit hashes.  Equal sets are one class from the start.
 
-1. A class is searched by a prefix: sets of similarity ``t`` share at least ``PROBE`` of the first
-   ``n - ceil(t n) + PROBE`` tokens under any fixed order.  The first order is by hash; classes that
-   share too few tokens with anybody are done.  Tokens in more than ``HOT`` prefixes are then moved to
-   the end of the order, so that passages which many documents share are only looked up for documents
+1. A class is searched by a prefix: sets of similarity ``t`` share at least ``l`` of the first
+   ``n - ceil(t n) + l`` tokens under any fixed order, and the first token that they share is followed
+   by enough others in both.  The first order is by hash; classes that share too few tokens with
+   anybody are done.  Tokens in more than ``HOT`` prefixes are then moved to the end of the order, the
+   most frequent last, so that passages which many documents share are only looked up for documents
    that hardly consist of anything else.
 2. Similar documents become groups: every class is compared with the most central class of each of
    its token lists, and the links found join classes to groups.  A group of thousands of near copies
    costs one comparison a member, not one a pair.
 3. The token-group matrix holds, for each group, the union of its members' prefix tokens.  Two groups
-   qualify if their sizes fit and their unions share as many tokens as any link between them needs;
-   only qualifying groups are opened, and within them only members that share enough tokens
-   themselves are compared, set against set.
+   qualify if their sizes fit and their unions overlap as any link between them needs; only qualifying
+   groups are opened, and within them only members that overlap enough themselves are compared, set
+   against set.
 
 All comparisons are exact, so every link between different groups is found.
 
@@ -34,7 +35,9 @@ from ..operators.graph import connected_components
 from .common import keyed, let, same_key, sized
 
 BLANKS, BREAK = " \t\n\x0b\f\r", "[\\x20\\x09-\\x0D]+"
-PROBE, HOT = 8, 64
+HOT = 16
+#: One more token must be shared for every so many in a set.
+PROBE_EVERY = 25
 #: Tokens stored per set, in prefixes.
 SPARE = 1.5
 
@@ -67,12 +70,16 @@ class Threshold:
         """Fewest shared tokens of a set of ``n`` with a linked one."""
         return F.floor((n * self.num + (self.den - 1)) / self.den).cast("int")
 
+    def probe(self, n: Column) -> Column:
+        """Tokens that the prefixes of a linked pair share, by the size of the smaller set."""
+        return (F.floor(n / PROBE_EVERY) + 1).cast("int")
+
     def prefix(self, n: Column) -> Column:
-        return F.least(n, n - self.least(n) + PROBE).cast("int")
+        return F.least(n, n - self.least(n) + self.probe(n)).cast("int")
 
-    def shared(self, n: Column) -> Column:
-        """Fewest tokens that the prefixes of a linked pair share, of which one has ``n`` tokens."""
-        return F.least(F.lit(PROBE), self.least(n))
+    def overlap(self, a: Column, b: Column) -> Column:
+        """Fewest shared tokens of a linked pair of sets of these sizes."""
+        return F.floor(((a + b) * self.num + (self.num + self.den - 1)) / (self.num + self.den)).cast("int")
 
     def sizes_fit(self, a_low, a_high, b_low, b_high) -> Column:
         return (a_low * self.num <= b_high * self.den) & (b_low * self.num <= a_high * self.den)
@@ -97,7 +104,8 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
 
 def _sharing(lists: DataFrame, t: Threshold) -> DataFrame:
     """Classes ``c`` that share as many prefix tokens, with whomever, as a linked pair does."""
-    return lists.groupBy("c", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= t.shared(F.col("n"))).select("c")
+    need = t.probe(t.least(F.col("n")))
+    return lists.groupBy("c", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= need).select("c")
 
 
 def class_tokens(docs: DataFrame, wanted: DataFrame, k: int, repeats: bool) -> DataFrame:
@@ -108,24 +116,33 @@ def class_tokens(docs: DataFrame, wanted: DataFrame, k: int, repeats: bool) -> D
 
 
 def _hot_last(sets: DataFrame, hot: DataFrame, column: str) -> DataFrame:
-    """``c, n`` and the tokens of ``column`` that are not hot (``cold``) and that are (``warm``), for sets with any of the latter."""
-    found = sets.select("c", F.explode(column).alias("t")).join(hot, "t", "left_semi").groupBy("c").agg(F.sort_array(F.collect_list("t")).alias("warm"))
+    """``sets`` with the tokens of ``column`` that are not hot (``cold``) and that are (``warm``, rare ones first); those with any of the latter."""
+    found = sets.select("c", F.explode(column).alias("t")).join(hot, "t").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "t")))["t"].alias("warm"))
     return sets.join(found, "c").withColumn("cold", F.array_except(column, "warm"))
 
 
 def reordered(lists: DataFrame, wanted: DataFrame, docs: DataFrame, k: int, t: Threshold, repeats: bool) -> DataFrame:
-    """Stored postings ``c, n, t, own`` under the order that puts hot tokens last (``own``: share of tokens that are not hot)."""
-    hot = cut(lists.where(F.col("df") > HOT).select("t").distinct(), "hot")
+    """Stored postings under the order that puts hot tokens last.
+
+    ``c, n, t``; ``rest``: tokens of the set from this one on; ``cold``: the token is not hot; ``full``: no
+    token of the prefix is; ``own``: share of tokens that are not hot.
+    """
+    hot = cut(lists.where(F.col("df") > HOT).select("t", "df").distinct(), "hot")
     touched = cut(lists.where(F.col("df") > HOT).select("c").distinct(), "touched")
     need = t.prefix(F.col("n"))
     share = F.size("cold") / F.greatest(F.size("cold") + F.size("warm"), F.lit(1))
-    moved = lambda df: df.select("c", "n", share.alias("own"), F.explode(F.slice(F.concat("cold", "warm"), 1, need)).alias("t"))
+
+    def placed(df: DataFrame, prefix: Column, n_cold: Column, own: Column) -> DataFrame:
+        rows = df.select("c", "n", own.alias("own"), n_cold.alias("n_cold"), F.posexplode(prefix).alias("i", "t"))
+        return rows.select("c", "n", "t", (F.col("n") - F.col("i")).alias("rest"), (F.col("i") < F.col("n_cold")).alias("cold"), (F.col("n_cold") >= need).alias("full"), "own")
+
+    moved = lambda df: placed(df, F.slice(F.concat("cold", "warm"), 1, need), F.size("cold"), share)
     heads = cut(_hot_last(wanted.join(touched, "c", "left_semi"), hot, "head"), "heads")
     enough = (F.size("cold") >= need) | (F.size("head") == F.col("n"))
     # the stored tokens do not hold a whole prefix without the hot ones: read the text again
     lacking = cut(heads.where(~enough).select("c", "n", "__id", "__th"), "lacking")
     rest = _hot_last(class_tokens(docs, lacking, k, repeats), hot, "tokens")
-    same = wanted.join(touched, "c", "left_anti").select("c", "n", F.lit(1.0).alias("own"), F.explode(F.slice("head", 1, need)).alias("t"))
+    same = placed(wanted.join(touched, "c", "left_anti"), F.slice("head", 1, need), F.col("n"), F.lit(1.0))
     return cut(moved(heads.where(enough)).unionByName(moved(rest)).unionByName(same), "postings")
 
 
@@ -144,36 +161,60 @@ def star_pairs(postings: DataFrame, t: Threshold) -> DataFrame:
     """
     centre = postings.groupBy("t").agg(F.min(F.struct("own", "c", "n")).alias("m"), F.count(F.lit(1)).alias("df")).where("df > 1")
     met = postings.join(centre.select("t", "m.c", "m.n").toDF("t", "b", "nb"), "t").where(F.col("c") != F.col("b"))
-    counted = met.where(t.sizes_fit(F.col("n"), F.col("n"), F.col("nb"), F.col("nb"))).groupBy(F.col("c").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.max(F.greatest("n", "nb")).alias("n"))
-    return counted.where(2 * F.col("m") >= t.shared(F.col("n"))).select("a", "b")
+    counted = met.where(t.sizes_fit(F.col("n"), F.col("n"), F.col("nb"), F.col("nb"))).groupBy(F.col("c").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.max(F.least("n", "nb")).alias("n"))
+    return counted.where(2 * F.col("m") >= t.probe(F.col("n"))).select("a", "b")
 
 
 def group_matrix(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """Stored token-group matrix ``g, t, low, high``: distinct prefix tokens of each group, and its sizes."""
-    named = postings.join(groups, "c", "left").select(F.coalesce("g", "c").alias("g"), "n", "t")
-    spread = named.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    return cut(named.select("g", "t").distinct().join(spread, "g"), "matrix")
+    """Stored token-group matrix: per group and token of its union ``g, t, rest, cold`` (the longest rest of a
+    member), and the group's sizes ``low, high``, members ``k`` and whether all prefixes are ``full``."""
+    named = postings.join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
+    union = named.groupBy("g", "t").agg(F.max("rest").alias("rest"), F.max("cold").alias("cold"))
+    about = named.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("full").alias("full"), F.count_distinct("c").alias("k"))
+    return cut(union.join(about, "g"), "matrix")
+
+
+def _overlapping(left: DataFrame, right: DataFrame, on: list[str], t: Threshold) -> DataFrame:
+    """Pairs ``a, b`` of groups (or members) that may be linked, from their tokens in ``left`` and ``right``.
+
+    The first token that a linked pair shares leaves as many tokens in both as the pair must share; the
+    others leave as many less one each.  Hot tokens only count if they can be that first one, and if
+    neither prefix holds a hot token, as many as ``probe`` says must be shared.
+    """
+    a = left.select(*on, F.col("g").alias("a"), "cold", *[F.col(c).alias(f"a_{c}") for c in ("low", "high", "rest", "full")])
+    b = right.select(*on, F.col("g").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("low", "high", "rest", "full")])
+    least = t.overlap(F.col("a_low"), F.col("b_low"))
+    spare = t.probe(F.least("a_high", "b_high")) - 1
+    first = (F.col("a_rest") >= least) & (F.col("b_rest") >= least)
+    later = F.col("cold") & (F.col("a_rest") >= least - spare) & (F.col("b_rest") >= least - spare)
+    fit = t.sizes_fit(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high"))
+    met = a.join(b, on).where((F.col("a") < F.col("b")) & fit & (first | later))
+    told = met.groupBy("a", "b").agg(
+        F.max(first).alias("first"), F.count_if("cold").alias("m"), F.min(F.col("a_full") & F.col("b_full")).alias("full"), F.first(t.probe(F.least("a_low", "b_low"))).alias("need")
+    )
+    return told.where(F.col("first") & (~F.col("full") | (F.col("m") >= F.col("need")))).select("a", "b")
 
 
 def qualifying(matrix: DataFrame, t: Threshold) -> DataFrame:
-    """Stored pairs of groups ``g, h`` (g < h) that may hold a link: sizes fit and the unions overlap enough."""
+    """Stored pairs of groups ``a, b`` that may hold a link: sizes fit and the unions overlap enough."""
     counts = matrix.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = matrix.join(counts.select("t"), "t", "left_semi")
-    a = lists.select("t", F.col("g"), F.col("low").alias("gl"), F.col("high").alias("gh"))
-    b = lists.select("t", F.col("g").alias("h"), F.col("low").alias("hl"), F.col("high").alias("hh"))
-    met = a.join(b, "t").where((F.col("g") < F.col("h")) & t.sizes_fit(F.col("gl"), F.col("gh"), F.col("hl"), F.col("hh")))
-    bound = met.groupBy("g", "h").agg(F.count(F.lit(1)).alias("m"), F.first(F.greatest("gl", "hl")).alias("n"))
-    return cut(bound.where(F.col("m") >= t.shared(F.col("n"))).select("g", "h"), "qualifying")
+    return cut(_overlapping(lists, lists, ["t"], t), "qualifying")
 
 
-def opened(postings: DataFrame, groups: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """Members of qualifying groups that share enough prefix tokens themselves."""
-    named = postings.join(groups, "c", "left").select("c", "n", "t", F.coalesce("g", "c").alias("g"))
-    asked = named.join(pairs, "g").select("t", "g", "h", F.col("c").alias("a"), F.col("n").alias("na"))
-    other = named.select("t", F.col("g").alias("h"), F.col("c").alias("b"), F.col("n").alias("nb"))
-    met = asked.join(other, ["t", "h"]).where(t.sizes_fit(F.col("na"), F.col("na"), F.col("nb"), F.col("nb")))
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max(F.greatest("na", "nb")).alias("n"))
-    return counted.where(F.col("m") >= t.shared(F.col("n"))).select("a", "b")
+def opened(postings: DataFrame, groups: DataFrame, matrix: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+    """Members ``a, b`` of qualifying groups that overlap enough themselves; groups of one are their member."""
+    size = matrix.select("g", "k").distinct()
+    sized_pairs = pairs.join(size.toDF("a", "ka"), "a").join(size.toDF("b", "kb"), "b")
+    single = sized_pairs.where("ka = 1 and kb = 1").select("a", "b")
+    wide = sized_pairs.where("ka > 1 or kb > 1").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
+    named = postings.join(groups.withColumnRenamed("g", "of"), "c", "left").select(
+        F.coalesce("of", "c").alias("of"), F.col("c").alias("g"), "t", "rest", "cold", "full", F.col("n").alias("low"), F.col("n").alias("high")
+    )
+    both_ways = wide.unionByName(wide.select(F.col("gb").alias("ga"), F.col("ga").alias("gb")))
+    left = named.withColumnRenamed("of", "ga").join(both_ways, "ga")
+    right = named.withColumnRenamed("of", "gb")
+    return single.unionByName(_overlapping(left, right, ["gb", "t"], t))
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -213,7 +254,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     groups = cut(connected_components(first).toDF("c", "g"), "groups")
     matrix = group_matrix(postings, groups)
     # pairs that were compared already are not links
-    pairs = cut(opened(postings, groups, qualifying(matrix, t), t).join(stars, ["a", "b"], "left_anti").join(stars.toDF("b", "a"), ["a", "b"], "left_anti"), "opened")
+    pairs = cut(opened(postings, groups, matrix, qualifying(matrix, t), t).join(stars, ["a", "b"], "left_anti").join(stars.toDF("b", "a"), ["a", "b"], "left_anti"), "opened")
     sets = sets_of(pairs)
     more = compare(pairs, sets, t)
     for stored in (sets, postings, matrix):
