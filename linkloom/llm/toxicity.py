@@ -2,8 +2,8 @@
 
 A word's input is an embedding of the word and the mean of embeddings of its character n-grams (both
 hashed).  Two gated recurrent units read a window of ``STEPS`` words from either side, attention weighs
-their states, a logistic unit scores the window.  All windows of a text, each of which
-shares words with the next, are scored; the text's score is the highest.
+their states, a logistic unit scores the window.  A window begins every ``STRIDE`` words of a text, so
+each shares 24 words with the next, and all are scored; the text's score is the highest.
 
 The network is fitted on a bounded sample of labelled rows (``POSITIVE`` and ``NEGATIVE`` texts of at
 most ``SAMPLE_BYTES``) by Adam.  A label holds for a text, not a window, so each round trains on the
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import text_column
 
-STEPS, STRIDE, HIDDEN, ATTENTION = 32, 24, 8, 8
+STEPS, HIDDEN, ATTENTION = 32, 8, 8
+#: Words from one window to the next: scored texts (a passage of up to 25 words stands whole in one window), and texts of the sample.
+STRIDE, TRAIN_STRIDE = 8, 16
 WORD_ROWS, WORD_DIM, GRAM_ROWS, GRAM_DIM = 1 << 13, 6, 1 << 15, 10
-GRAMS = (3, 5, 7)
+GRAMS = (3, 4, 5, 6, 7)
 POSITIVE, NEGATIVE, SAMPLE_BYTES = 1200, 1800, 12_000
 EPOCHS, MIN_STEPS, BATCH, RATE = 6, 150, 256, 0.015
 THRESHOLD = 0.3
@@ -83,13 +85,13 @@ class Words:
         self.gram_count = np.maximum(np.bincount(self.gram_owner, minlength=len(first)), 1)
         self.distinct = len(first)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """Matrix of distinct-word numbers (``distinct``: nothing there) by window, and the text of each window."""
         first = np.cumsum(self.counts) - self.counts
-        many = np.where(self.counts == 0, 0, np.maximum(-(-(self.counts - STEPS) // STRIDE) + 1, 1))
+        many = np.where(self.counts == 0, 0, np.maximum(-(-(self.counts - STEPS) // stride) + 1, 1))
         text = np.repeat(np.arange(len(self.counts)), many)
         k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-        begin = np.minimum(k * STRIDE, np.maximum(self.counts[text] - STEPS, 0))
+        begin = np.minimum(k * stride, np.maximum(self.counts[text] - STEPS, 0))
         inside = begin[:, None] + np.arange(STEPS)[None, :]
         padded = np.append(self.which, self.distinct)
         place = np.where(inside < self.counts[text][:, None], first[text][:, None] + inside, len(self.which))
@@ -250,7 +252,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     if not len(labels) or labels.min() == labels.max():
         return None
     words = Words(texts)
-    windows, text = words.windows()
+    windows, text = words.windows(TRAIN_STRIDE)
     if not len(windows):
         return None
     rng, p = np.random.default_rng(seed), fresh(seed)
@@ -278,7 +280,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
         if epoch:
             scores = window_scores(p, inputs(p, words), windows)
         bad = _top(scores, text, labels == 1, 1)
-        worst = _top(scores, text, labels == 0, 1)
+        worst = _top(scores, text, labels == 0, 2)
         others = rng.permutation(np.flatnonzero(labels[text] == 0))[: len(worst)]
         chosen = rng.permutation(np.concatenate([bad, worst, others]))
         target = labels[text[chosen]]

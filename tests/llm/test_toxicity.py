@@ -117,3 +117,22 @@ def test_sample(spark):
     assert len(texts) == len(inside) and sum(toxic) == sum(i % 3 == 0 for i in inside)
     assert t.labelled_sample(docs, labels.limit(0)) == ([], []) and t.train([], []) is None
     assert len(t.labelled_sample(docs, labels, 2, 3)[0]) == 5
+
+
+def test_passages_at_every_offset(model):
+    rng = random.Random(8)
+    long = prose(rng, 200).split()
+    passage = prose(rng, 24).split()
+    passage[3], passage[9] = "worthless", "idiot"
+    base = t.text_scores(model, [" ".join(long)])[0]
+    assert base < t.THRESHOLD
+    for size in range(10, 25):
+        own = [f"p{i}" for i in range(size)]
+        words = t.Words([" ".join(long[:at] + own + long[at:]) for at in range(len(long) + 1)])
+        windows, text = words.windows()
+        first = np.cumsum(words.counts) - words.counts
+        whole = (np.isin(windows, words.which[first[0] : first[0] + size])).sum(axis=1) == size
+        assert set(text[whole]) == set(range(len(long) + 1)), size
+    for size in (10, 17, 24):
+        scores = t.text_scores(model, [" ".join(long[:at] + passage[:size] + long[at:]) for at in range(len(long) + 1)])
+        assert scores.min() >= t.THRESHOLD, size
