@@ -4,7 +4,9 @@ Everything is a DataFrame expression on one row.  Candidate strings are runs of
 with a digit in them; a window of ``WINDOW`` characters slides over each, its character counts and its
 sum of ``n log2 n`` change by the one character that enters and the one that leaves, and where the
 entropy of a window that lies wholly within a class reaches the class's threshold, the window is part
-of a span.  Candidates on the allow list, and spans that touch a fixed-pattern span, are left out.
+of a span.  Every class looks at every candidate.  Windows that
+touch a match of the allow list, that lie inside a fixed-pattern span, or, in the wider class, inside a
+hexadecimal span, do not count.
 
 Null and empty texts have no spans, null and repeated ids are kept as rows, other columns are ignored.
 """
@@ -34,10 +36,10 @@ CLASSES = (
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
 #: Runs of candidate characters, with a digit; the look-behind keeps the search linear in long runs.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
-#: Candidates that are no secrets: UUIDs, dated or numbered paths, alphabets and digit rows.
+#: Places in candidates that are no secrets: UUIDs, paths of words with a row of digits each at most, alphabets and digit rows.
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^/?([a-z]+/)+[a-z0-9_-]*$",
+    r"(?<![^/])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![^/])",
+    r"^/?(?:[a-z]++/)++[a-z]*+(?:[0-9]++[a-z]*+)?(?:[_-]++[a-z]*+(?:[0-9]++[a-z]*+)?)*+$",
     r"(?i)abcdefghij|0123456789|qwertyuiop|example|placeholder",
     r"^[0-9/_=+-]+$",
 )
@@ -49,8 +51,8 @@ def _spread(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(F.greatest(n, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
 
 
-def entropy_spans(candidate: Column, alphabet: str, threshold: float, window: int = WINDOW) -> Column:
-    """Merged windows ``array<struct<s,e>>`` of one string whose characters are all in ``alphabet`` and spread enough."""
+def entropy_spans(candidate: Column, alphabet: str, threshold: float, window: int = WINDOW, counts=lambda s, e: F.lit(True)) -> Column:
+    """Merged windows ``array<struct<s,e>>`` of one string whose characters are all in ``alphabet`` and spread enough, where ``counts(s, e)``."""
     size, most = len(alphabet), log2(window)
     none = F.array().cast("array<struct<s:int,e:int>>")
     start = F.struct(
@@ -71,10 +73,10 @@ def entropy_spans(candidate: Column, alphabet: str, threshold: float, window: in
                 inn = F.when(came > 0, _spread(after + 1) - _spread(after)).otherwise(F.lit(0.0))
                 total = acc["sum"] + out + inn
                 inside = acc["inside"] + (came > 0).cast("int") - (went > 0).cast("int")
-                hit = (inside == window) & (F.lit(most) - total / window >= threshold)
+                s, e = i - (window - 1), i + 1
+                hit = (inside == window) & (F.lit(most) - total / window >= threshold - 1e-12) & counts(s, e)
                 spans = acc["out"]
                 last = F.element_at(spans, -1)
-                s, e = i - (window - 1), i + 1
                 joined = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last["s"].alias("s"), e.alias("e"))))
                 added = F.concat(spans, F.array(F.struct(s.alias("s"), e.alias("e"))))
                 touches = (F.size(spans) > 0) & (F.try_element_at(spans, F.lit(-1))["e"] >= s)
@@ -90,21 +92,34 @@ def entropy_spans(candidate: Column, alphabet: str, threshold: float, window: in
     return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, step, lambda acc: acc["out"])
 
 
-def added_spans(body: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
-    """Entropy spans of a text as ``SPAN``, not yet held against the base spans."""
-    benign = lambda m: F.lit(False) if not allowed else m.rlike("|".join(f"(?:{a})" for a in allowed))
-    found = F.filter(match_spans(body, CANDIDATE, "[0-9]"), lambda x: ~benign(x["m"]))
+def added_spans(body: Column, base: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """Entropy spans of a text with the spans ``base`` as ``SPAN``."""
+    places = "array<struct<s:int,e:int>>"
 
-    def of_class(x: Column, k: int) -> Column:
+    def of_class(x: Column, k: int, benign: Column, known: Column) -> Column:
         kind, alphabet, threshold = CLASSES[k]
-        own = entropy_spans(x["m"], alphabet, threshold)
-        return F.transform(own, lambda y: F.struct((x["s"] + y["s"]).alias("s"), F.lit(KINDS.index(kind)).alias("k"), (x["s"] + y["e"]).alias("e")))
+        clear = lambda s, e: ~F.exists(benign, lambda b: (b["s"] < e) & (s < b["e"])) & ~F.exists(known, lambda b: (b["s"] <= s) & (e <= b["e"]))
+        own = entropy_spans(x["m"], alphabet, threshold, counts=clear)
+        return F.transform(own, lambda y: F.struct(y["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), y["e"].alias("e"))).cast(SPAN)
 
     def of_candidate(x: Column) -> Column:
-        # a window of hexadecimal digits is also one of the wider class: the first class that finds something counts
-        return let(of_class(x, 0), lambda first: F.when(F.size(first) > 0, first).otherwise(of_class(x, 1)))
+        near = F.filter(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        known = F.transform(near, lambda b: F.struct((b["s"] - x["s"]).alias("s"), (b["e"] - x["s"]).alias("e"))).cast(places)
+        pattern = "|".join(f"(?:{a})" for a in allowed)
+        skip = F.transform(match_spans(x["m"], pattern), lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"))) if allowed else F.array()
+
+        def of_classes(c: Column) -> Column:
+            # a window of hexadecimal digits is also one of the wider class
+            def wider(first: Column) -> Column:
+                inner = F.transform(first, lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"))).cast(places)
+                return F.concat(first, of_class(x, 1, c["skip"], F.concat(c["known"], inner)))
+
+            return let(of_class(x, 0, c["skip"], c["known"]), wider)
+
+        found = let(F.struct(skip.cast(places).alias("skip"), known.alias("known")), of_classes)
+        return F.transform(found, lambda y: F.struct((x["s"] + y["s"]).alias("s"), y["k"].alias("k"), (x["s"] + y["e"]).alias("e")))
 
-    return F.flatten(F.transform(found, of_candidate)).cast(SPAN)
+    return F.flatten(F.transform(match_spans(body, CANDIDATE, "[0-9]"), of_candidate)).cast(SPAN)
 
 
 def base_spans(body: Column) -> Column:
@@ -122,9 +137,9 @@ def _written(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """``doc_id``, ``base`` and ``added`` spans (struct s, k, e; k is a place in ``KINDS``)."""
     body = docs.select("doc_id", text_column(text).alias("__body"))
-    both = body.select("doc_id", F.struct(base_spans(F.col("__body")).alias("base"), added_spans(F.col("__body"), allowed).alias("more")).alias("__s"))
-    free = lambda x: ~F.exists("__s.base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return both.select("doc_id", F.col("__s.base").alias("base"), F.filter("__s.more", free).alias("added"))
+    both = lambda base: F.struct(base.alias("base"), added_spans(F.col("__body"), base, allowed).alias("more"))
+    told = body.select("doc_id", let(base_spans(F.col("__body")), both).alias("__s"))
+    return told.select("doc_id", F.col("__s.base").alias("base"), F.col("__s.more").alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:

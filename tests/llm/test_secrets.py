@@ -61,3 +61,22 @@ def test_spans(spark):
 
 def test_empty(spark):
     assert s.digest(s.find_secrets(empty(spark))).count() == 0
+
+
+KEY = "Zk3vQ9xLp0TbW7mRc2NsYh5Jd8GaKf4Ue6Xi1Bo"
+MD5 = "04dbebab91ab85687d33eeaaf9ac699e"
+
+
+def test_neighbours(spark):
+    held = {
+        "a1b2c3d4e5f60718293a4b5c/" + KEY: KEY, f"/{MD5}/{KEY}": KEY, f"docs/example/{KEY}": KEY, "hooks/3f2a9c1b7d8e4f60a1b2": "3f2a9c1b7d8e4f60a1b2",
+        f"550e8400-e29b-41d4-a716-446655440000/{KEY}": KEY,
+    }
+    free = ["blog/2024-01-05-some-longer-post3-title", "/usr/share/doc/package2name/file17", "550e8400-e29b-41d4-a716-446655440000", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    texts = [*held, *free]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {texts[r.doc_id]: r.added for r in s.find_secrets(docs).collect()}
+    for text, key in held.items():
+        at = text.index(key)
+        assert any(x.s <= at + 1 and at + len(key) - 1 <= x.e for x in got[text]), text
+    assert all(got[x] == [] for x in free)
