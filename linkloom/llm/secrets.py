@@ -4,7 +4,7 @@ Everything is a DataFrame expression on one row.  Candidate strings are runs of
 with a digit in them; a window of ``WINDOW`` characters slides over each, its character counts and its
 sum of ``n log2 n`` change by the one character that enters and the one that leaves, and where the
 entropy of a window that lies wholly within a class reaches the class's threshold, the window is part
-of a span.  Every class looks at every candidate.  Windows that
+of a span.  Every class looks at every candidate, the hexadecimal one at any mix of cases.  Windows that
 touch a match of the allow list, that lie inside a fixed-pattern span, or, in the wider class, inside a
 hexadecimal span, do not count.
 
@@ -99,7 +99,7 @@ def added_spans(body: Column, base: Column, allowed: tuple[str, ...] = ALLOWED)
     def of_class(x: Column, k: int, benign: Column, known: Column) -> Column:
         kind, alphabet, threshold = CLASSES[k]
         clear = lambda s, e: ~F.exists(benign, lambda b: (b["s"] < e) & (s < b["e"])) & ~F.exists(known, lambda b: (b["s"] <= s) & (e <= b["e"]))
-        own = entropy_spans(x["m"], alphabet, threshold, counts=clear)
+        own = entropy_spans(F.lower(x["m"]) if kind == "hex_entropy" else x["m"], alphabet, threshold, counts=clear)
         return F.transform(own, lambda y: F.struct(y["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), y["e"].alias("e"))).cast(SPAN)
 
     def of_candidate(x: Column) -> Column:

@@ -1,6 +1,7 @@
 """Spans against plain Python: base patterns and sliding-window entropy computed anew for each window."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 from math import log2
@@ -80,3 +81,13 @@ def test_neighbours(spark):
         at = text.index(key)
         assert any(x.s <= at + 1 and at + len(key) - 1 <= x.e for x in got[text]), text
     assert all(got[x] == [] for x in free)
+
+
+def test_recall_of_hex_in_any_case(spark):
+    rng = random.Random(3)
+    for n in (24, 40, 64):
+        keys = ["".join(rng.choices("0123456789abcdef", k=n)) for _ in range(100)]
+        keys = [c for k in keys if re.search("[0-9]", k) for c in (k.upper(), "".join(rng.choice([x, x.upper()]) for x in k))]
+        docs = spark.createDataFrame(list(enumerate(keys)), "doc_id bigint, text string")
+        rows = s.find_secrets(docs).collect()
+        assert sum(any(s.KINDS[x.k] == "hex_entropy" for x in r.added) for r in rows) >= 0.95 * len(keys), n
