@@ -1,7 +1,10 @@
 """Format-preserving pseudonyms by keyed Feistel networks, as DataFrame expressions.
 
-Cards (Luhn), social security numbers, phone numbers, IPv4 addresses, dates and e-mail names are found
-by one pattern, checked, and replaced by another valid value of the same format.  The map is a keyed
+Cards (Luhn), social security numbers, phone numbers, IPv4 addresses, dates and e-mail names are found,
+checked, and replaced by another valid value of the same format.  Formats are looked for in turn, each
+where no valid value was found yet, so that a number next to a value does not hide it: first those with
+marks of their own, then cards in usual groups anywhere in a row of numbers, phone numbers, and last
+rows of numbers that are a card as a whole.  The map is a keyed
 permutation of the values of a format: equal values get equal pseudonyms in every document, different
 ones different pseudonyms.  It is ``F``, one step around a cycle, then ``F`` backwards, where ``F`` is
 a Feistel network with SHA-256 rounds; a permutation of this shape has no fixed point, so no value
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let
-from .spans import match_spans, replace_matches
+from .spans import match_spans
 
 ROUNDS = 8
 # The formats that are looked for, in order of precedence.
@@ -26,7 +29,14 @@ PHONE = r"(?<!\w)\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<!\w
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 DATE = r"(?<![\w./-])(?:\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w/-]|\.\d)"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, PHONE, SSN, DATE, CARD))
+#: Formats that no other number can be part of; what directly follows a country code is a phone number.
+MARKED = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, *(rf"(?<!\+\d{{1,3}}[ .-])(?:{p})" for p in (SSN, DATE))))
+#: Rows of numbers with enough digits, as long as they go; a last character that is no digit spoils the last number.
+ROW = r"(?<![\w+-])(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++)*+[\w-]?"
+NUMBER = r"\d++(?!\w|-$)"
+ROW_GATE = r"\d(?:[ -]?\d){12}"
+#: Sizes of the groups of a card that is not written in one.  Short ones first: what follows a card may be its security code.
+GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3))
 GATE = "[@0-9]"
 KINDS = ("email", "ipv4", "phone", "ssn", "date", "card")
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31; 73,049 = 17 * 4,297
@@ -218,26 +228,86 @@ def pseudonym(m: Column, key: str) -> Column:
     return let(F.struct(m.alias("m"), _kind(m).alias("k")), swap)
 
 
+SPANS = "array<struct<kind:string,s:int,e:int,pseudonym:string>>"
+MATCHES = "array<struct<s:int,e:int,m:string>>"
+
+
+def _weave(t: Column, spans: Column, put) -> Column:
+    """``t`` with ``put(span)`` in the places of the spans."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    step = lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), put(x))).alias("out"))
+    woven = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    return F.when(F.size(spans) > 0, woven).otherwise(t)
+
+
+def _valid(hits: Column, kind, make) -> Column:
+    """Spans of the matches that their check accepts."""
+    told = F.transform(hits, lambda x: let(make(x["m"]), lambda p: F.struct(kind(x["m"]).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), p.alias("p"))))
+    return F.transform(F.filter(told, lambda x: x["m"] != x["p"]), lambda x: F.struct(x["kind"], x["s"], x["e"], x["p"].alias("pseudonym"))).cast(SPANS)
+
+
+def _is_card(m: Column) -> Column:
+    return let(only_digits(m), lambda d: F.length(d).between(13, 19) & (F.pmod(luhn_sum(d), F.lit(10)) == 0))
+
+
+def _grouped_cards(row: Column) -> Column:
+    """Cards in one number or in usual groups with one separator throughout, anywhere in a row of numbers, as spans of the text."""
+
+    def of_numbers(numbers: Column) -> Column:
+        def end(i: Column, sizes: tuple[int, ...]) -> Column:
+            """End of the card of such groups from number ``i``, or null."""
+            at = [F.get(numbers, i + j) for j in range(len(sizes) or 1)]
+            fits = F.lit(True)
+            for x, size in zip(at, sizes):
+                fits = fits & F.coalesce(x["e"] - x["s"] == size, F.lit(False))
+            for x, y in zip(at, at[1:]):  # numbers of a row stand one separator apart
+                fits = fits & (row["m"].substr(y["s"], F.lit(1)) == row["m"].substr(at[1]["s"], F.lit(1)))
+            return F.when(fits & _is_card(row["m"].substr(at[0]["s"] + 1, at[-1]["e"] - at[0]["s"])), at[-1]["e"])
+
+        def step(acc: Column, x: Column) -> Column:
+            def put(e: Column) -> Column:
+                hit = F.struct((row["s"] + x["s"]).alias("s"), (row["s"] + e).alias("e"), row["m"].substr(x["s"] + 1, e - x["s"]).alias("m"))
+                return F.when(e > 0, F.struct(e.alias("to"), F.concat(acc["out"], F.array(hit)).alias("out"))).otherwise(acc)
+
+            found = F.when(x["s"] >= acc["to"], F.coalesce(*[end(x["i"], sizes) for sizes in ((), *GROUPS)]))
+            return let(F.coalesce(found, F.lit(0)), put)
+
+        start = F.struct(F.lit(0).alias("to"), F.array().cast(MATCHES).alias("out"))
+        placed = F.transform(numbers, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i")))
+        return F.aggregate(placed, start, step, lambda acc: acc["out"])
+
+    return let(match_spans(row["m"], NUMBER), of_numbers)
+
+
+def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with ``__pii``: the replaced values of the text as ``SPANS``, in order."""
+    card, phone = (lambda m: F.lit("card")), (lambda m: F.lit("phone"))
+    passes = (
+        lambda t: _valid(match_spans(t, MARKED, GATE), _kind, lambda m: pseudonym(m, key)),
+        lambda t: _valid(F.flatten(F.transform(match_spans(t, ROW, ROW_GATE), _grouped_cards)), card, lambda m: _card(m, key)),
+        lambda t: _valid(match_spans(t, PHONE, "[+(]"), phone, lambda m: _phone(m, key)),
+        lambda t: _valid(match_spans(t, CARD, ROW_GATE), card, lambda m: _card(m, key)),
+    )
+    # one projection a pass: as one expression they nest deeper than the analyzer goes
+    rows = docs.withColumns({"__left": F.coalesce(F.col(f"`{text}`"), F.lit("")), "__pii": F.array().cast(SPANS)})
+    for find in passes:
+        # found values are covered by as many characters that no format holds
+        covered = _weave(F.col("__left"), F.col("__own"), lambda v: F.repeat(F.lit("|"), v["e"] - v["s"]))
+        rows = rows.withColumn("__own", find(F.col("__left"))).withColumns({"__left": covered, "__pii": F.concat("__pii", "__own")})
+    by_place = F.sort_array(F.transform("__pii", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym"))))
+    return rows.withColumn("__pii", F.transform(by_place, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["pseudonym"].alias("pseudonym"))))
+
+
 DEFAULT_KEY = "linkloom"
 
 
 def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
     """``docs`` with the text's personal values replaced; columns and their order as they were."""
-    new = replace_matches(F.col(text), ANY, lambda m: pseudonym(m, key), GATE)
-    return docs.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    new = _weave(F.col(f"`{text}`"), F.col("__pii"), lambda v: v["pseudonym"])
+    return _with_spans(docs, key, text).select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def found_values(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
     """Per document ``doc_id``, the new ``text`` and the replaced spans ``kind, s, e, pseudonym``."""
-    hits = match_spans(F.coalesce(F.col(text), F.lit("")), ANY, GATE)
-    told = F.transform(hits, lambda x: let(pseudonym(x["m"], key), lambda p: F.struct(_kind(x["m"]).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), p.alias("p"))))
-    valid = F.transform(F.filter(told, lambda x: x["m"] != x["p"]), lambda x: F.struct(x["kind"], x["s"], x["e"], x["p"].alias("pseudonym")))
-    spans = docs.select("doc_id", F.col(text).alias("__t"), valid.alias("spans"))
-
-    def weave(t: Column, v: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        step = lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), x["pseudonym"])).alias("out"))
-        return F.aggregate(v, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-
-    text_out = F.when(F.size("spans") > 0, weave(F.col("__t"), F.col("spans"))).otherwise(F.col("__t"))
-    return spans.select("doc_id", text_out.alias("text"), "spans")
+    new = _weave(F.col(f"`{text}`"), F.col("__pii"), lambda v: v["pseudonym"])
+    return _with_spans(docs, key, text).select("doc_id", new.alias("text"), F.col("__pii").alias("spans"))

@@ -94,3 +94,21 @@ def test_texts(spark):
 
 def test_empty(spark):
     assert pii.pseudonymize(empty(spark)).count() == 0 and pii.found_values(empty(spark)).count() == 0
+
+
+def test_values_beside_numbers(spark):
+    card, spaced, ssn, date = "4111111111111111", "4111 1111 1111 1111", "078-05-1120", "2024-01-05"
+    cases = {
+        f"{card} 12 items": [card], f"{spaced} 12/27": [spaced], f"{spaced} 123": [spaced], f"4 {card}": [card], f"Invoice 12345 {date}": [date],
+        f"id 7 {date} {ssn}": [date, ssn], f"1234 {spaced}": [spaced], f"{spaced} 05.01.2024": [spaced, "05.01.2024"], f"{card} 97.51.17.173": [card, "97.51.17.173"],
+        f"{card} {card} 5 {spaced}": [card, card, spaced], "3782 822463 10005 1234": ["3782 822463 10005"], f"{spaced} 12abc": [spaced], f"4111-1111-1111-1111 123 {date}": ["4111-1111-1111-1111", date],
+        f"+49 30 1234567 {spaced}": ["+49 30 1234567", spaced], f"+1 (017) 555-7713 {date}": ["+1 (017) 555-7713", date], f"{card} 12@mail.example.com": [card, "12@mail.example.com"],
+        "41 1111 1111 1111 11": ["41 1111 1111 1111 11"], "+49 123-45-6789": ["+49 123-45-6789"], "12345 " * 3000 + card: [card], "4111111111111112 12 items": [], f"{card}-abc": [],
+    }
+    texts = list(cases)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id bigint, text string")
+    new = {r.doc_id: r.text for r in pii.pseudonymize(docs).collect()}
+    rows = pii.found_values(docs).collect()
+    got = {texts[r.doc_id][-60:]: [texts[r.doc_id][x.s : x.e] for x in r.spans] for r in rows}
+    assert got == {x[-60:]: v for x, v in cases.items()}
+    assert all(new[r.doc_id] == r.text and re.sub("9+", "9", shape(r.text)) == re.sub("9+", "9", shape(texts[r.doc_id])) for r in rows)
