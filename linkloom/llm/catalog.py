@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard, packing, pii, quality_rules, secrets, suffix_dedup, toxicity, warc_zip
+from . import decontam, html_extract, jaccard, packing, pii, quality_rules, ranked_search, secrets, suffix_dedup, toxicity, warc_zip
 from .common import documents, table
 
 
@@ -55,6 +55,10 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(documents(spark, folder)))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked_search(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_tree_model": op7_html_tree_model,
     "op9_quality_rules": op9_quality_rules,
     "op8_secret_scan": op8_secret_scan,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 SQL: dict[str, str] = {
@@ -77,4 +82,22 @@ SQL: dict[str, str] = {
                case when payload_bytes >= 1000 and page_id < latest then 'revisit' else 'response' end as record_type,
                case when payload_bytes >= 1000 and page_id < latest then latest end as refers_to
         from m""",
+    "op11_ranked_search": r"""
+        with words as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents where text is not null),
+        d as (select row_number() over () as r, doc_id, len(w) as n, w from words where len(w) > 0),
+        t as (select count(*)::bigint as total, sum(n)::bigint as l from d),
+        q as (
+            select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        p as (
+            select r, doc_id, n, term, count(*)::bigint as tf from (select r, doc_id, n, unnest(w) as term from d)
+            where term in (select term from q) group by all),
+        w as (select term, floor(1000 * ln((2 * total + 2) / (2 * df + 1)))::bigint as w
+            from (select term, count(*) as df from p group by term), t),
+        i as (select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * total) // l))) as impact from p join w using (term), t),
+        s as (select item_id, r, doc_id, sum(impact)::bigint as score from q join i using (term) group by all having sum(impact) > 0),
+        o as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from s)
+        select item_id, rank::int as rank, doc_id, score from o where rank <= 10""",
 }
