@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard, packing, pii, quality_rules, ranked_search, secrets, suffix_dedup, toxicity, warc_zip
+from . import decontam, html_extract, jaccard, licenses, packing, pii, quality_rules, ranked_search, secrets, suffix_dedup, toxicity, warc_zip, whitening
 from .common import documents, table
 
 
@@ -59,6 +59,14 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.ranked_search(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(documents(spark, folder)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op11_ranked_search": op11_ranked_search,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_license_scan": op13_license_scan,
 }
 
 SQL: dict[str, str] = {
