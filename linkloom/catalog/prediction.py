@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
+from ..functions.ordering import global_index
 from ..operators import linkpred as lp
 from ..operators import predicted as pr
 from ..operators.embeddings.families import embed
@@ -18,40 +19,66 @@ from .splits import bands_sql
 CATALOG: dict = {}
 
 
-def _draws_sql(g: str, k: int | str, seed: str, swap: bool, factor: str) -> str:
-    """CTE ``d``: distinct index pairs with their first draw; ``factor`` is the number of draws."""
-    a, b = (h60(f"'{seed}'", "i", f"'{x}'") + " % n" for x in "ab")
-    keep = "a <> b" if swap else "a < b"
-    return f"""c as (select count(*) as n from {g}_nodes),
-    d0 as (select i, {a} as a, {b} as b from c, (select unnest(generate_series(0, ({factor})::BIGINT - 1)) as i)),
-    d as (select least(a, b) as a, greatest(a, b) as b, min(i) as draw from d0 where {keep} group by 1, 2)"""
+def _open_sql(nodes: str, edges: str, k: int | str, seed: str) -> str:
+    """CTE ``open`` (s, t, draw): open pairs of ``nodes`` (id, nid) by rank; ``edges`` is a table with src, dst, ``k`` SQL."""
+    size = "(n * (n - 1)) // 2"
+    place = f"{size} - 1 - ((n - 2 - a) * (n - 1 - a)) // 2 - (n - 1 - b)"
+    swapped = f"list_reduce(keys, lambda x, y: case when {h60(f"'{seed}'", 'y % 16', 'greatest(x, (y // 16 - x + m) % m)')} % 2 = 1 then (y // 16 - x + m) % m else x end, i)"
+    return f"""op_n as (select count(*)::BIGINT as n from {nodes}),
+    op_e as (select distinct least(x.nid, y.nid) as a, greatest(x.nid, y.nid) as b from {edges} e join {nodes} x on x.id = e.src join {nodes} y on y.id = e.dst where x.nid <> y.nid),
+    op_p as (select {place} as place from op_e, op_n),
+    op_k as (select place - (row_number() over (order by place) - 1) as key from op_p),
+    op_m as (select {size} - (select count(*) from op_e) as m, n from op_n),
+    op_r as (select m, n, list_transform(generate_series(0, 15), lambda r: ({h60(f"'{seed}'", "'key'", "r")} % m) * 16 + r) as keys from op_m),
+    op_d as (select i as draw, m, n, {swapped} as key from op_r, (select unnest(generate_series(0, least(({k})::BIGINT, (select m from op_m)) - 1)) as i)),
+    op_c as (select draw, n, key + before as place from (select draw, n, key, sum(case when draw is null then 1 else 0 end) over (order by key, draw nulls first
+    rows unbounded preceding)::BIGINT as before from (select draw, n, key from op_d union all select null, null, key from op_k)) where draw is not null),
+    op_row as (select nid, (select {size} from op_n) - ((select n from op_n) - nid) * ((select n from op_n) - nid - 1) // 2 as start from {nodes}),
+    op_a as (select draw, nid as a, place - start + nid + 1 as b from op_c asof join op_row on place >= start),
+    open as (select case when {_before("x.id", "y.id")} then x.id else y.id end as s, case when {_before("x.id", "y.id")} then y.id else x.id end as t, draw
+    from op_a join {nodes} x on x.nid = a join {nodes} y on y.nid = b)"""
 
 
-_IDS = """ids as (select case when x.id < y.id then x.id else y.id end as s, case when x.id < y.id then y.id else x.id end as t, draw
-    from d join {g}_nodes x on x.nid = a join {g}_nodes y on y.nid = b)"""
-
-
-# more draws than any of the test graphs needs
-_POOL_DRAWS = _draws_sql("trade", 0, "pool|1", True, "600000")
+def _before(a: str, b: str) -> str:
+    """SQL of the id order of two ids that are both whole numbers or both text."""
+    return f"case when try_cast({a} as BIGINT) is not null and try_cast({b} as BIGINT) is not null then {a}::BIGINT < {b}::BIGINT else {a} < {b} end"
 
 
 @register(
     CATALOG, "l1_sample_negatives",
-    with_graph("trade") + ", " + _draws_sql("trade", 5000, "42", False, "400000") + ", " + _IDS.format(g="trade") + """
-    select s, t from ids where not exists (select 1 from trade e where e.src = s and e.dst = t and e.first_ts <= 23975)
-    order by draw limit 5000""",
+    with_graph("trade") + ", old as (select src, dst from trade where first_ts <= 23975), "
+    + _open_sql("trade_nodes", "old", 5000, "42") + " select s, t from open",
 )
 def sample_negatives(g: Graphs) -> DataFrame:
     return lp.sample_negatives(g.nodes("trade"), g.edges("trade"), 5000, 23975.0).select("s", "t")
 
 
+def _embedded(g: Graphs) -> DataFrame:
+    """Nodes of ``trade`` that the embeddings table has a vector for."""
+    return g.nodes("trade").join(g.table("embeddings").select(F.col("vec_id").alias("nid")), "nid", "left_semi").select("id")
+
+
+_EMBEDDED = """, emb as (select id, row_number() over (order by id) - 1 as nid from trade_nodes where nid in (select vec_id from embeddings)), """
+
+
 @register(
     CATALOG, "l2_sample_negatives_embedded",
-    with_graph("trade") + ", " + _draws_sql("trade", 5000, "42", True, "400000") + ", " + _IDS.format(g="trade") + """
-    select s, t from ids where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 5000""",
+    with_graph("trade") + _EMBEDDED + _open_sql("emb", "trade", 5000, "42") + " select s, t from open",
 )
 def sample_negatives_embedded(g: Graphs) -> DataFrame:
-    return lp.sample_negatives(g.nodes("trade"), g.edges("trade"), 5000, swap=True).select("s", "t")
+    return lp.sample_negatives(_embedded(g), g.edges("trade"), 5000).select("s", "t")
+
+
+@register(
+    CATALOG, "l1_every_open_pair",
+    with_graph("trade") + _EMBEDDED + """ h as (select id, row_number() over (order by id) - 1 as nid from emb where nid % 2 = 0)
+    select x.id as s, y.id as t from h x join h y on x.id < y.id
+    where not exists (select 1 from trade e where (e.src = x.id and e.dst = y.id) or (e.src = y.id and e.dst = x.id))""",
+)
+def every_open_pair(g: Graphs) -> DataFrame:
+    """As many draws as there are pairs: all open pairs of every second embedded node, each once."""
+    half = global_index(_embedded(g), [F.col("id").asc()], "place").filter("place % 2 = 0").select("id")
+    return lp.sample_negatives(half, g.edges("trade"), 1 << 40).select("s", "t")
 
 
 @register(
@@ -88,12 +115,10 @@ def hadamard(g: Graphs) -> DataFrame:
 @register(
     CATALOG, "l5_training_set",
     with_graph("handoff") + _VECTORS + ", p as (select distinct src as s, dst as t from handoff where src in (select node from v) and dst in (select node from v)), k as (select ceil(count(*) * 0.5)::BIGINT as k from p), "
-    + _draws_sql("handoff", 0, "42", False, "select 60 * k + 1000000 from k") + """,
-    ids as (select case when x.id::BIGINT < y.id::BIGINT then x.id else y.id end as s, case when x.id::BIGINT < y.id::BIGINT then y.id else x.id end as t, draw
-    from d join handoff_nodes x on x.nid = a join handoff_nodes y on y.nid = b),
-    neg as (select s, t, row_number() over (order by draw) as r from ids where not exists (select 1 from handoff e where e.src = s and e.dst = t))
+    + _open_sql("handoff_nodes", "handoff", "select k from k", "42") + """,
+    neg as (select s, t from open)
     select 1.0::DOUBLE as label, count(*) as rows from p union all
-    select 0.0, count(*) from neg, k where r <= k and s in (select node from v) and t in (select node from v) having count(*) > 0""",
+    select 0.0, count(*) from neg where s in (select node from v) and t in (select node from v) having count(*) > 0""",
 )
 def training_set(g: Graphs) -> DataFrame:
     rows = lp.training_set(g.pairs("handoff"), _table_vectors(g), g.nodes("handoff"), g.edges("handoff"), 0.5)
@@ -137,9 +162,7 @@ def binary_metrics(g: Graphs) -> DataFrame:
 
 @register(
     CATALOG, "l9_candidate_pool",
-    with_graph("trade") + ", " + _POOL_DRAWS + ", " + _IDS.format(g="trade") + """,
-    raw as (select * from ids)
-    select s, t, draw as pool_pos from raw where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 6000""",
+    with_graph("trade") + ", " + _open_sql("trade_nodes", "trade", 6000, "pool|1") + " select s, t, draw as pool_pos from open",
 )
 def candidate_pool(g: Graphs) -> DataFrame:
     return lp.candidate_pool(g.nodes("trade"), g.edges("trade"), 6000)
@@ -147,10 +170,8 @@ def candidate_pool(g: Graphs) -> DataFrame:
 
 @register(
     CATALOG, "l10_family_pool",
-    with_graph("trade") + ", " + _POOL_DRAWS + ", " + _IDS.format(g="trade") + f""",
-    raw as (select * from ids),
-    pool as (select s, t, draw from raw where not exists (select 1 from trade e where e.src = s and e.dst = t) order by draw limit 6000)
-    select s, t, draw as pool_pos from pool where {u60("'used'", "s", "t")} >= 0.3""",
+    with_graph("trade") + ", " + _open_sql("trade_nodes", "trade", 6000, "pool|1")
+    + f""" select s, t, draw as pool_pos from open where {u60("'used'", "s", "t")} >= 0.3""",
 )
 def family_pool(g: Graphs) -> DataFrame:
     pool = lp.candidate_pool(g.nodes("trade"), g.edges("trade"), 6000)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +28,23 @@ def unit_hash(*parts: Column | str | int) -> Column:
 def index_draw(size: int | Column, *parts: Column | str | int) -> Column:
     """Uniform index in ``0 .. size-1``."""
     return hash60(*parts) % (size if isinstance(size, Column) else F.lit(int(size)))
+
+
+# Fixed value: rounds of the permutation; each of them swaps every number with its partner or not.
+SHUFFLE_ROUNDS = 16
+
+
+def shuffled_index(index: Column, size: int, seed: int | str) -> Column:
+    """Place of ``index`` under a keyed permutation of ``0 .. size - 1`` (swap-or-not shuffle, Hoang et al. 2012).
+
+    In each round a number's partner is ``key - number`` modulo the size, and one hashed bit of the larger of the two
+    says whether they change places; so every round is a permutation, for any size.
+    """
+    keys = [int(hashlib.md5(f"{seed}|key|{r}".encode()).hexdigest()[:15], 16) % size for r in range(SHUFFLE_ROUNDS)]
+    rounds = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).cast("bigint").alias("key")) for r, k in enumerate(keys)])
+
+    def swap(x: Column, step: Column) -> Column:
+        partner = F.pmod(step["key"] - x, F.lit(size).cast("bigint"))
+        return F.when(hash60(str(seed), step["r"], F.greatest(x, partner)) % 2 == 1, partner).otherwise(x)
+
+    return F.aggregate(rounds, index.cast("bigint"), swap)

@@ -12,11 +12,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import index_draw
 from ..functions.ordering import first_rows, running_sums
-from ..functions.pairs import canonical
-from ..functions.scratch import cut, drop_cut
-from ..functions.skew import find_hot, keep_ends, salted_join
+from ..functions.scratch import cut
+from ..functions.skew import find_hot, salted_join
+from .nonedges import open_pairs
 
 
 def edge_start() -> Column:
@@ -24,69 +23,20 @@ def edge_start() -> Column:
     return F.coalesce("first_ts", "ts", F.lit(0.0))
 
 
-def as_pairs(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct()
-
-
-def _drawn(nodes: DataFrame, total: int, draws: int, seed: int | str, swap: bool) -> DataFrame:
-    """Distinct index pairs with the number of their first draw; linear in ``draws``."""
-    d = nodes.sparkSession.range(draws).select(
-        F.col("id").alias("draw"),
-        index_draw(total, str(seed), F.col("id"), "a").alias("a"),
-        index_draw(total, str(seed), F.col("id"), "b").alias("b"),
-    )
-    if swap:
-        d = d.filter("a <> b").select("draw", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    else:
-        d = d.filter("a < b")
-    return d.groupBy("a", "b").agg(F.min("draw").alias("draw"))
-
-
-def _to_ids(drawn: DataFrame, nodes: DataFrame) -> DataFrame:
-    by_a = nodes.select(F.col("nid").alias("a"), F.col("id").alias("s"))
-    by_b = nodes.select(F.col("nid").alias("b"), F.col("id").alias("t"))
-    return canonical(drawn.join(by_a, "a").join(by_b, "b").select("s", "t", "draw"), "s", "t")
-
-
-def without_edges(pairs: DataFrame, edges: DataFrame, as_of: float | None = None) -> DataFrame:
-    """Pairs that have no edge (of any type) that exists at ``as_of``."""
-    known = edges if as_of is None else edges.filter(edge_start() <= F.lit(float(as_of)))
-    return pairs.join(as_pairs(known), ["s", "t"], "left_anti")
-
-
-def _first_open(nodes: DataFrame, edges: DataFrame, k: int, seed: int | str, swap: bool, as_of: float | None = None) -> DataFrame:
-    """The ``k`` first non-edges ``(s, t, draw)`` in draw order, or all there are if they are fewer.
-
-    More draws are made until there are enough.
-    """
-    total = nodes.count()
-    known = as_pairs(edges if as_of is None else edges.filter(edge_start() <= F.lit(float(as_of)))).filter("s <> t")
-    inside = keep_ends(known, nodes.select("id"), ("s", "t")).count()
-    wanted, draws = min(k, total * (total - 1) // 2 - inside), max(3 * k, 50)
-    while True:
-        found = cut(without_edges(_to_ids(_drawn(nodes, total, draws, seed, swap), nodes), edges, as_of), "open")
-        if wanted <= 0 or found.count() >= wanted:
-            return first_rows(found, [F.col("draw").asc(), F.col("s").asc(), F.col("t").asc()], wanted)
-        drop_cut(found)
-        draws *= 4
-
-
 def sample_negatives(
     nodes: DataFrame,
     edges: DataFrame,
     k: int,
     as_of: float | None = None,
     seed: int | str = 42,
-    swap: bool = False,
 ) -> DataFrame:
-    """The first ``k`` non-edges of a series of hashed draws; fewer only if there are no more.
+    """The first ``k`` non-edges ``(s, t, draw)`` of a keyed permutation of all of them; fewer only if there are no more.
 
-    With ``swap`` a draw in the wrong order is turned round instead of wasted; pass the
-    nodes that have an embedding (with their own dense ``nid``) for the later rounds.
+    Edges that begin after ``as_of`` do not count.  Nodes may come with dense numbers ``nid`` or without; for the
+    later rounds pass the nodes that have an embedding.  Every draw is an open pair, so none is turned round or wasted.
     """
-    if k <= 0:
-        return nodes.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).cast("bigint").alias("draw")).limit(0)
-    return _first_open(nodes, edges, k, seed, swap, as_of)
+    known = edges if as_of is None else edges.filter(edge_start() <= F.lit(float(as_of)))
+    return open_pairs(nodes, known).first(k, seed)
 
 
 def candidate_pool(
@@ -94,9 +44,9 @@ def candidate_pool(
 ) -> DataFrame:
     """Ordered non-edges ``(s, t, pool_pos)``, the same for one graph, seed and version.
 
-    A larger pool extends a smaller one: both are starts of the same series of draws.
+    A larger pool extends a smaller one: both are starts of the same permutation.
     """
-    return _first_open(nodes, edges, max(1, int(size)), f"{seed}|{version}", True).withColumnRenamed("draw", "pool_pos")
+    return open_pairs(nodes, edges).first(max(1, int(size)), f"{seed}|{version}").withColumnRenamed("draw", "pool_pos")
 
 
 def pool_size(remaining: int) -> int:
@@ -144,12 +94,11 @@ def training_set(
     ratio: float = 1.0,
     as_of: float | None = None,
     seed: int | str = 42,
-    swap: bool = False,
 ) -> DataFrame:
     """``(s, t, label, features)``: usable positives and as many sampled non-edges per positive."""
     pos = cut(hadamard(positives.select("s", "t"), emb), "pos")
     want = negative_count(pos.count(), ratio)
-    neg = hadamard(cut(sample_negatives(nodes, edges, want, as_of, seed, swap).select("s", "t"), "neg"), emb)
+    neg = hadamard(cut(sample_negatives(nodes, edges, want, as_of, seed).select("s", "t"), "neg"), emb)
     label = lambda df, v: df.select("s", "t", F.lit(v).alias("label"), "features")
     return label(pos, 1.0).unionByName(label(neg, 0.0))
 

@@ -206,14 +206,14 @@ def next_round(
     # fixed rule: only nodes with a vector can be drawn, by their own dense numbers
     drawn = cut(assign_nid(nodes.select("id").join(emb.select(F.col("node").alias("id")), "id", "left_semi")), "drawn")
     train = cut(
-        lp.training_set(pairs_of(split.edges, "train"), emb, drawn, edges, ratio, None, f"{seed}|train", True), "train"
+        lp.training_set(pairs_of(split.edges, "train"), emb, drawn, edges, ratio, None, f"{seed}|train"), "train"
     )
     counts = train.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).first()
     if not counts["pos"] or not counts["neg"]:
         raise ValueError("a round needs train pairs with vectors and at least one sampled non-edge")
     model = lp.fit_logistic(train)
     want = max(1, int(k))
-    pool = lp.sample_negatives(drawn, edges, max(want * max(2, int(multiplier)), want + 5), None, f"{seed}|pool", True)
+    pool = lp.sample_negatives(drawn, edges, max(want * max(2, int(multiplier)), want + 5), None, f"{seed}|pool")
     scored = cut(
         lp.score(lp.hadamard(pool.withColumnRenamed("draw", "pool_pos"), emb), model), "scored"
     )

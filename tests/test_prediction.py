@@ -2,10 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions.hashing import shuffled_index
 from linkloom.functions.ordering import first_rows, previous_row, running_sums
 from linkloom.operators import clean, compare, features, linkpred, predicted, query
 from linkloom.operators.embeddings import store
 from linkloom.operators.embeddings.families import embed
+from linkloom.operators.nonedges import open_pairs, pair_at, pair_place
 from linkloom.operators.splits import execute_split
 from linkloom.plans import prediction as plan
 from linkloom.sources.snapshots import RUN_LOG_COLUMNS, SnapshotStore
@@ -30,13 +32,12 @@ def known(edges):
     return {(r["src"], r["dst"]) for r in edges.select("src", "dst").collect()}
 
 
-@pytest.mark.parametrize("swap", [False, True])
-def test_negatives_are_no_edges(spark, community, swap):
+def test_negatives_are_no_edges(spark, community):
     nodes, edges = community
-    out = [(r["s"], r["t"]) for r in linkpred.sample_negatives(nodes, edges, 100, seed=3, swap=swap).collect()]
+    out = [(r["s"], r["t"]) for r in linkpred.sample_negatives(nodes, edges, 100, seed=3).collect()]
     assert len(out) == 100 and len(set(out)) == len(out)
     assert not set(out) & known(edges) and all(int(a) < int(b) for a, b in out)
-    later = linkpred.sample_negatives(nodes, edges, 100, as_of=-1.0, seed=3, swap=swap)
+    later = linkpred.sample_negatives(nodes, edges, 100, as_of=-1.0, seed=3)
     assert later.count() >= len(out)
 
 
@@ -124,6 +125,39 @@ def test_negatives_are_topped_up(spark, community):
     assert linkpred.sample_negatives(nodes, edges, len(every) - 3, seed=1).count() == len(every) - 3
 
 
+@pytest.mark.parametrize("numbers", [None, "sparse", "repeated"])
+def test_open_pairs_by_rank(spark, numbers):
+    """Nearly complete, nearly empty and starlike graphs; numbers that are not dense, rows and edges twice and either way round."""
+    n = 9
+    every = [(a, b) for a in range(n) for b in range(a + 1, n)]
+    rows = [(str(i), 2 * i) if numbers == "sparse" else (str(i), i) for i in range(n)] + ([("3", 3)] if numbers == "repeated" else [])
+    nodes = spark.createDataFrame(rows, "id string, nid bigint")
+    nodes = nodes.select("id") if numbers is None else nodes
+    for linked in ([], every, every[:-1], every[1:], every[:8], every[::3], [(0, 8)]):
+        both = [(str(a), str(b)) for a, b in linked] + [(str(b), str(a)) for a, b in linked[::2]] + [("0", "0"), ("0", "stranger")]
+        found = open_pairs(nodes, spark.createDataFrame(both, "src string, dst string"))
+        got = [(int(r.s), int(r.t), r.draw) for r in found.first(10**9, 5).collect()]
+        want = set(every) - set(linked)
+        assert found.missing == len(want) == len(got) and {(s, t) for s, t, _ in got} == want and sorted(d for *_, d in got) == list(range(len(want)))
+        assert {(int(r.s), int(r.t), r.draw) for r in found.first(4, 5).collect()} == {x for x in got if x[2] < 4}
+
+
+def test_pair_places(spark):
+    n = 3_900_000_000
+    last = n * (n - 1) // 2 - 1
+    places = [0, 1, n - 2, n - 1, 10**18 + 7, last - 3, last - 1, last, *[last * i // 97 for i in range(97)]]
+    a, b = pair_at(F.col("p"), n)
+    rows = spark.createDataFrame([(p,) for p in places], "p bigint").select("p", a.alias("a"), b.alias("b")).withColumn("back", pair_place(F.col("a"), F.col("b"), n))
+    for r in rows.collect():
+        assert 0 <= r.a < r.b < n and r.p == r.back == last - (n - 2 - r.a) * (n - 1 - r.a) // 2 - (n - 1 - r.b)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 64, 1000])
+def test_permutation(spark, size):
+    places = [r[0] for r in spark.range(size).select(shuffled_index(F.col("id"), size, "x")).collect()]
+    assert sorted(places) == list(range(size)) and (size < 64 or places != sorted(places))
+
+
 def test_selectors(spark):
     rows = [("a", "b", 0, 0.4), ("a", "c", 1, 0.6), ("a", "d", 2, 0.9), ("a", "e", 3, 0.45), ("a", "f", 4, 0.7)]
     df = spark.createDataFrame(rows, "s string, t string, pool_pos long, probability double")
