@@ -62,7 +62,7 @@ def random_split(g: Graphs) -> DataFrame:
     else 'train' end as set from r, n union all select src, dst, 'train' from forest""",
 )
 def connected_split(g: Graphs) -> DataFrame:
-    return sp.connected_split(g.edges("reorder"), 0.1, 0.05, 7)
+    return sp.connected_split(g.edges("reorder"), 0.1, 0.05, 7, forest="levels")
 
 
 @register(CATALOG, "p4_spanning_forest", with_graph("reorder", recursive=True) + FOREST_SQL + " select src, dst from forest")
@@ -70,6 +70,29 @@ def spanning_forest(g: Graphs) -> DataFrame:
     return sp.spanning_forest(g.edges("reorder"))
 
 
+# a pair is in the forest if no way of earlier pairs joins its ends
+_DRAWN_SQL = f""", e as (select src, dst, row_number() over (order by {_draw("7")}, src, dst) - 1 as e from (select distinct src, dst from reorder)),
+    bw as (select src as a, dst as b, e from e union all select dst, src, e from e),
+    way as (select e as top, src as node from e union select top, bw.b from way join bw on bw.a = node and bw.e < top),
+    forest as (select src, dst, e from e where not exists (select 1 from way where top = e.e and node = e.dst))"""
+
+
+@register(CATALOG, "p4_drawn_forest", with_graph("reorder", recursive=True) + _DRAWN_SQL + " select src, dst from forest")
+def drawn_forest(g: Graphs) -> DataFrame:
+    return sp.drawn_forest(g.edges("reorder"), 7)[1].select("src", "dst")
+
+
+@register(
+    CATALOG, "p3_connected_split_drawn",
+    with_graph("reorder", recursive=True) + _DRAWN_SQL + """, n as (select count(*) as n from e),
+    r as (select src, dst, row_number() over (order by e) - 1 as place from e where e not in (select e from forest))
+    select src, dst, case when place < floor(n * 0.1) then 'test' when place < floor(n * 0.1) + floor(n * 0.05) then 'val'
+    else 'train' end as set from r, n union all select src, dst, 'train' from forest""",
+)
+def connected_split_drawn(g: Graphs) -> DataFrame:
+    return sp.connected_split(g.edges("reorder"), 0.1, 0.05, 7)
+
+
 @register(
     CATALOG, "p5_stitch_components",
     with_graph("reorder", recursive=True) + COMPONENTS_SQL.format(g="reorder") + """,

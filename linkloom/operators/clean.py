@@ -9,7 +9,8 @@ from ..functions.ordering import global_index
 from ..functions.pairs import as_number, canonical, canonical_distinct, distinct_ends, id_order
 from ..functions.scratch import cut
 from ..functions.skew import keep_ends
-from .graph import component_sizes, connected_components
+from .contraction import components_by_contraction
+from .graph import component_sizes
 
 DEFAULT_TYPE = "REL"
 
@@ -97,7 +98,7 @@ def _with_bounds(df: DataFrame) -> DataFrame:
 
 def largest_component(edges: DataFrame) -> DataFrame:
     """Edges inside the largest component; ties go to the smallest component id."""
-    nodes = connected_components(edges)
+    nodes = cut(components_by_contraction(edges), "components")
     biggest = component_sizes(nodes).orderBy(F.col("size").desc(), F.col("component")).limit(1).collect()
     if not biggest:
         return edges

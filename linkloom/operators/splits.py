@@ -12,7 +12,8 @@ from ..functions.hashing import hash60
 from ..functions.ordering import global_index
 from ..functions.scratch import cut
 from ..functions.skew import find_hot, salted_join
-from .graph import bfs, component_sizes, connected_components, mirror, numbered, undirected_pairs
+from .contraction import components_by_contraction, contract
+from .graph import bfs, component_sizes, mirror, numbered, undirected_pairs
 
 SETS = ("train", "val", "test")
 
@@ -53,20 +54,43 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
             forest = salted_join(forest, by_end, [end], find_hot(numbers, end)).drop(end)
         return forest.select(F.col("name_src").alias("src"), F.col("name_dst").alias("dst"))
     pairs = undirected_pairs(edges)
-    roots = connected_components(pairs).select(F.col("component").alias("node")).distinct()
+    roots = components_by_contraction(pairs).select(F.col("component").alias("node")).distinct()
     tree = bfs(pairs, roots).filter(F.col("parent").isNotNull())
     ends = mirror(tree.select(F.col("node").alias("src"), F.col("parent").alias("dst")))
     return pairs.join(ends, ["src", "dst"], "left_semi")
 
 
-def connected_split(edges: DataFrame, test: float, val: float | None = None, seed: int | str = 42) -> DataFrame:
-    """Spanning forest to train; test, then validation, from the other pairs by draw order."""
-    pairs = cut(undirected_pairs(edges), "pairs")
-    forest = cut(spanning_forest(pairs), "forest")
-    ranked = global_index(pairs.join(forest, ["src", "dst"], "left_anti"), _draw_order(seed), "place")
+def drawn_forest(edges: DataFrame, seed: int | str = 42) -> tuple[DataFrame, DataFrame]:
+    """Stored distinct pairs ``(src, dst, e)`` with their place in draw order, and those of the spanning forest that
+    prefers early places (the only minimum spanning forest under this order).
+
+    Contraction takes a logarithmic number of rounds, also on long paths.
+    """
+    ranked = cut(global_index(undirected_pairs(edges), _draw_order(seed), "e"), "drawn")
+    numbers = contract(ranked.select(F.col("src").alias("a"), F.col("dst").alias("b"), "e")).forest()
+    return ranked, ranked.limit(0) if numbers is None else ranked.join(numbers, "e", "left_semi").select("src", "dst", "e")
+
+
+def connected_split(
+    edges: DataFrame, test: float, val: float | None = None, seed: int | str = 42, forest: str = "drawn"
+) -> DataFrame:
+    """Spanning forest to train; test, then validation, from the other pairs by draw order.
+
+    ``forest``: ``drawn`` (see :func:`drawn_forest`) or ``levels`` (the shortest-path trees of :func:`spanning_forest`).
+    """
+    if forest == "drawn":
+        pairs, tree = drawn_forest(edges, seed)
+        tree = cut(tree, "forest")
+        ranked = global_index(pairs.join(tree.select("e"), "e", "left_anti"), [F.col("e").asc()], "place")
+    elif forest == "levels":
+        pairs = cut(undirected_pairs(edges), "pairs")
+        tree = cut(spanning_forest(pairs), "forest")
+        ranked = global_index(pairs.join(tree, ["src", "dst"], "left_anti"), _draw_order(seed), "place")
+    else:
+        raise ValueError(f"unknown forest '{forest}'")
     k_test, k_val = split_sizes(pairs.count(), test, val)
     rest = ranked.select("src", "dst", _bands(F.col("place"), k_test, k_val).alias("set"))
-    return rest.unionByName(forest.select("src", "dst", F.lit("train").alias("set")))
+    return rest.unionByName(tree.select("src", "dst", F.lit("train").alias("set")))
 
 
 def stitch_components(edges: DataFrame) -> DataFrame:
@@ -74,7 +98,7 @@ def stitch_components(edges: DataFrame) -> DataFrame:
 
     The hub is one value known to the driver, so no join is needed.
     """
-    sizes = cut(component_sizes(connected_components(edges)), "sizes")
+    sizes = cut(component_sizes(components_by_contraction(edges)), "sizes")
     hub = sizes.orderBy(F.col("size").desc(), F.col("component")).limit(1).collect()
     if not hub:
         return sizes.select(F.col("component").alias("src"), F.col("component").alias("dst"), F.lit(True).alias("synthetic"))
@@ -196,7 +220,7 @@ def split_report(split: DataFrame, connectivity: bool = True) -> DataFrame:
     if not connectivity:
         return counts.withColumns({"components": F.lit(None).cast("bigint"), "connected": F.lit(None).cast("boolean")})
     train = split.filter(F.col("set") == "train")
-    parts = connected_components(train).agg(F.count_distinct("component").alias("n")).first()["n"]
+    parts = components_by_contraction(train).agg(F.count_distinct("component").alias("n")).first()["n"]
     is_train = F.col("set") == "train"
     return counts.withColumns(
         {
