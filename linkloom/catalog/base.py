@@ -11,9 +11,10 @@ from ..functions.hashing import hash60, unit_hash
 from ..functions.ordering import previous_row
 from ..functions.scratch import cut
 from ..operators import clean
+from ..sources.adjacency import Adjacency, adjacency
 from ..sources.snapshots import FAMILIES
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], DataFrame | Adjacency] = {}
 
 
 class Graphs:
@@ -88,6 +89,13 @@ class Graphs:
 
         return self.stored(f"{name}_edges", make)
 
+    def adjacency(self, name: str) -> Adjacency:
+        """Both directions of a graph, dealt by node; written once per session."""
+        key = (self.spark.sparkContext.applicationId, self.folder, f"{name}_adjacency")
+        if key not in _STORED:
+            _STORED[key] = adjacency(self.edges(name))
+        return _STORED[key]
+
     def nodes(self, name: str) -> DataFrame:
         return self.stored(f"{name}_nodes", lambda: clean.assign_nid(clean.nodes_from_edges(self.edges(name))))
 

@@ -39,7 +39,7 @@ def _fastrp_sql(base: str) -> str:
     from handoff_nodes, range(8) r(j)"""),
 )
 def fastrp_topology(g: Graphs) -> DataFrame:
-    return _spread(fastrp(g.nodes("handoff"), g.edges("handoff"), dim=8)).withColumn("x", F.col("x") + F.lit(0.0))
+    return _spread(fastrp(g.nodes("handoff"), g.adjacency("handoff"), dim=8)).withColumn("x", F.col("x") + F.lit(0.0))
 
 
 def _user_features(g: Graphs) -> DataFrame:
@@ -115,7 +115,7 @@ def _hash_round(r: int, prev: str) -> str:
     select node, j::INTEGER as j, max(case when bit = j then 1.0 else 0.0 end)::DOUBLE as x from b2, range(16) t(j) group by node, j""",
 )
 def hashgnn_bits(g: Graphs) -> DataFrame:
-    return _spread(hashgnn(g.nodes("handoff"), g.edges("handoff"), dim=16, iterations=2, density=2))
+    return _spread(hashgnn(g.nodes("handoff"), g.adjacency("handoff"), dim=16, iterations=2, density=2))
 
 
 @register(CATALOG, "m4_hashgnn_with_features")

@@ -39,7 +39,7 @@ def connected_components(g: Graphs) -> DataFrame:
     left join lv m on m.node = bw.b and m.depth = l.depth - 1 group by l.node, l.depth""",
 )
 def bfs(g: Graphs) -> DataFrame:
-    return gr.bfs(g.edges("trade"), g.spark.createDataFrame([("c1",)], "node string"), 6)
+    return gr.bfs(g.adjacency("trade"), g.spark.createDataFrame([("c1",)], "node string"), 6)
 
 
 @register(
@@ -57,7 +57,7 @@ def neighborhood(g: Graphs) -> DataFrame:
     select min(depth) as hops from walk where node = 'c2'""",
 )
 def shortest_path(g: Graphs) -> DataFrame:
-    return gr.shortest_path(g.edges("trade"), "c1", "c2").agg(F.max("step").alias("hops"))
+    return gr.shortest_path(g.adjacency("trade"), "c1", "c2").agg(F.max("step").alias("hops"))
 
 
 @register(
@@ -68,7 +68,7 @@ def shortest_path(g: Graphs) -> DataFrame:
 )
 def common_neighbor_counts(g: Graphs) -> DataFrame:
     held = temporal_split(g.edges("handoff"), 0.1, 0.1).filter(F.col("set") == "test")
-    return gr.common_neighbor_counts(g.edges("handoff"), held.select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct())
+    return gr.common_neighbor_counts(g.adjacency("handoff"), held.select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct())
 
 
 @register(

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import skew
 from ..functions.ordering import first_rows, global_index
+from ..functions.pairs import mirror, undirected_pairs
 from ..functions.scratch import cut, cut_with, drop_cut, scratch_path
 from ..functions.skew import find_hot, salted_join
-
-
-def mirror(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge, in one pass over the input."""
-    ends = F.array(
-        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
-        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
-    )
-    rest = [c for c in edges.columns if c not in ("src", "dst")]
-    return edges.select(F.explode(ends).alias("e"), *rest).select("e.src", "e.dst", *rest)
-
-
-def undirected_pairs(edges: DataFrame) -> DataFrame:
-    """Distinct pairs of edges that are already canonical (see ``canonical``)."""
-    return edges.select("src", "dst").distinct()
+from ..sources.adjacency import Adjacency, adjacency
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -104,40 +89,58 @@ def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, target=None) -> DataFrame:
+def bfs(edges: DataFrame | Adjacency, sources: DataFrame, max_depth: int | None = None, target=None) -> DataFrame:
     """``(node, parent, depth)`` from all ``sources`` (one column) level by level, to the end or to ``max_depth``.
 
     The parent is the smallest neighbour one level up.  A neighbour of level d is in level
     d-1, d or d+1, so new nodes are checked against two levels only.  Each level is one
-    table in a shared folder, so the plan stays flat however deep the search goes.
+    table in a shared folder, so the plan stays flat however deep the search goes; the
+    adjacency is dealt by node once, so a level moves only the frontier and what it finds.
     """
-    spark = edges.sparkSession
     (name,) = sources.columns
-    if dict(edges.dtypes)["src"] == "string":
+    if not isinstance(edges, Adjacency) and dict(edges.dtypes)["src"] == "string":
         return _bfs_by_number(edges, sources.withColumnRenamed(name, "node"), max_depth, target)
-    steps = cut(mirror(undirected_pairs(edges)), "adj")
-    hubs = find_hot(steps, "src")
-    root = scratch_path(spark, "bfs")
-    node_type = dict(steps.dtypes)["src"]
-    schema = f"node {node_type}, parent {node_type}"
-
-    def level(depth: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{root}/depth={depth}")
-
-    start = sources.select(F.col(name).cast(node_type).alias("node"), F.lit(None).cast(node_type).alias("parent"))
-    start.distinct().write.parquet(f"{root}/depth=0")
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        frontier = level(depth - 1)
-        near = frontier.select("node") if depth == 1 else frontier.select("node").union(level(depth - 2).select("node"))
-        reach = salted_join(steps, frontier.select(F.col("node").alias("src")), ["src"], hubs)
-        found = reach.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        found.join(near, "node", "left_anti").write.parquet(f"{root}/depth={depth}")
-        done = level(depth).agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("node") == F.lit(target)).alias("hit")
-        ).first()
-        if not done["n"] or done["hit"]:
+    search = Levels(adjacency(edges), sources.select(F.col(name).alias("node")).distinct(), "bfs")
+    while max_depth is None or search.depth < max_depth:
+        found = search.grow(target)
+        if not found["n"] or found["hit"]:
             break
-    return spark.read.schema(f"{schema}, depth int").parquet(root)
+    return search.rows()
+
+
+class Levels:
+    """A breadth-first search that grows level by level; level d is a stored table ``(node, parent)``."""
+
+    def __init__(self, adj: Adjacency, start: DataFrame, label: str):
+        self.adj, self.spark, self.depth = adj, start.sparkSession, 0
+        self.root = scratch_path(self.spark, label)
+        self.schema = f"node {adj.id_type}, parent {adj.id_type}"
+        start.select(F.col("node").cast(adj.id_type).alias("node"), F.lit(None).cast(adj.id_type).alias("parent")).write.parquet(f"{self.root}/depth=0")
+
+    def level(self, depth: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/depth={depth}")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, depth int").parquet(self.root)
+
+    def grow(self, target=None) -> dict:
+        """Add a level; its number of nodes ``n``, and ``hit``, how many of them are ``target``."""
+        near = self.level(self.depth).select("node")
+        reach = self.adj.reach(near.withColumnRenamed("node", "src"))
+        found = reach.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        if self.depth:
+            near = near.union(self.level(self.depth - 1).select("node"))
+        found.join(near, "node", "left_anti").write.parquet(f"{self.root}/depth={self.depth + 1}")
+        self.depth += 1
+        counts = self.level(self.depth).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("node") == F.lit(target)).alias("hit"))
+        return counts.first().asDict()
+
+    def way_back(self, node) -> list:
+        """``node`` of the last level and its parents up to a source."""
+        out = [node]
+        for depth in range(self.depth, 0, -1):
+            out.append(self.level(depth).filter(F.col("node") == F.lit(out[-1])).first()["parent"])
+        return out
 
 
 def _bfs_by_number(edges: DataFrame, sources: DataFrame, max_depth: int | None, target) -> DataFrame:
@@ -165,34 +168,40 @@ def neighborhood(edges: DataFrame, node, limit: int | None = None) -> DataFrame:
     return first_rows(out, [F.col("node").asc()], limit) if limit is not None else out
 
 
-def shortest_path(edges: DataFrame, src, dst, max_hops: int = 10) -> DataFrame:
+def shortest_path(edges: DataFrame | Adjacency, src, dst, max_hops: int = 10) -> DataFrame:
     """``(step, node)`` rows of one undirected shortest path of at most ``max_hops`` edges.
 
-    Parents are followed back from the target; the path has at most ``max_hops + 1`` nodes.
+    Two searches grow towards each other, each time the one with the smaller last level, until a new level meets the
+    last level of the other: were there a shorter path, an earlier pair of levels would have met.  Of several meeting
+    nodes the smallest is taken.  Parents are followed back on both sides, one row a level.
     """
-    spark = edges.sparkSession
-    node_type = dict(edges.dtypes)["src"]
-    origin = spark.createDataFrame([(src,)], f"node {node_type}")
-    tree = bfs(edges, origin, max_hops, target=dst)
-    path, node = [], dst
-    hit = tree.filter(F.col("node") == F.lit(dst)).first()
-    while hit is not None:
-        path.append((int(hit["depth"]), node))
-        node = hit["parent"]
-        hit = tree.filter(F.col("node") == F.lit(node)).first() if node is not None else None
-    return spark.createDataFrame(sorted(path), f"step int, node {node_type}")
-
-
-def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    adj = adjacency(edges)
+    spark = adj.steps.sparkSession
+    schema = f"step int, node {adj.id_type}"
+    if src == dst:
+        return spark.createDataFrame([(0, src)], schema)
+    sides = [Levels(adj, spark.createDataFrame([(end,)], f"node {adj.id_type}"), "path") for end in (src, dst)]
+    sizes = [1, 1]
+    while sides[0].depth + sides[1].depth < max_hops and min(sizes):
+        one = 0 if sizes[0] <= sizes[1] else 1
+        sizes[one] = sides[one].grow()["n"]
+        last = [side.level(side.depth).select("node") for side in sides]
+        met = last[0].join(last[1], "node", "left_semi").agg(F.min("node").alias("node")).first()["node"]
+        if met is not None:
+            path = sides[0].way_back(met)[::-1] + sides[1].way_back(met)[1:]
+            return spark.createDataFrame(list(enumerate(path)), schema)
+    return spark.createDataFrame([], schema)
+
+
+def common_neighbors(edges: DataFrame | Adjacency, pairs: DataFrame) -> DataFrame:
     """Shared neighbours per given pair ``(s, t)`` as ``(s, t, node)`` rows.
 
     Wedges are opened only from the candidate pairs, and from the end with the smaller
     degree; the second step joins on (other end, middle), a unique key.
     """
-    steps = cut(mirror(undirected_pairs(edges)), "adj")
-    size = steps.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    adj = adjacency(edges)
+    size = cut(adj.degrees(), "degree")
     pairs = cut(pairs.select("s", "t"), "pairs")
-    size = cut(size, "degree")
     sized = salted_join(pairs, size.select(F.col("src").alias("s"), F.col("n").alias("n_s")), ["s"], find_hot(pairs, "s"))
     sized = cut(salted_join(sized, size.select(F.col("src").alias("t"), F.col("n").alias("n_t")), ["t"], find_hot(pairs, "t")), "sized")
     small_first = F.col("n_s") <= F.col("n_t")
@@ -201,12 +210,12 @@ def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         F.when(small_first, F.col("t")).otherwise(F.col("s")).alias("far"),
         "s", "t",
     )
-    wedges = salted_join(open_from, steps, ["src"], find_hot(open_from, "src")).select("s", "t", "far", F.col("dst").alias("node"))
-    closing = steps.select(F.col("src").alias("far"), F.col("dst").alias("node"))
+    wedges = adj.reach(open_from).select("s", "t", "far", F.col("dst").alias("node"))
+    closing = adj.pairs.select(F.col("src").alias("far"), F.col("dst").alias("node"))
     return wedges.join(closing, ["far", "node"], "left_semi").select("s", "t", "node")
 
 
-def common_neighbor_counts(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def common_neighbor_counts(edges: DataFrame | Adjacency, pairs: DataFrame) -> DataFrame:
     """Pairs with at least one shared neighbour and their number."""
     return common_neighbors(edges, pairs).groupBy("s", "t").agg(F.count(F.lit(1)).alias("common"))
 
