@@ -3,13 +3,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import skew
+from linkloom.functions.pairs import mirror, undirected_pairs
 from linkloom.operators import clean
 from linkloom.operators.embeddings import graphsage as sage
 from linkloom.operators.embeddings import node2vec as n2v
 from linkloom.operators.embeddings import temporal
 from linkloom.operators.embeddings.fastrp import fastrp
 from linkloom.operators.embeddings.hashgnn import hashgnn
-from linkloom.streaming import collapse, memory
+from linkloom.streaming import collapse, keyed, memory
 
 
 @pytest.fixture(scope="module")
@@ -131,6 +132,29 @@ def test_streamed_memory_takes_late_and_repeated_events(spark, graph, want_memor
     assert all(np.allclose(got[n], want_memory[n], atol=1e-8) for n in want_memory)
 
 
+def test_keyed_memory_equals_the_batch(spark, graph, want_memory, tmp_path):
+    nodes, edges = graph
+    # memories do not depend on where time begins; a stream's watermark begins at 0, behind which nothing may come
+    rows = edges.select("src", "dst", F.explode("timestamps").alias("ts")).withColumn("ts", F.col("ts") + 30)
+    folder, draw = str(tmp_path / "in"), F.pmod(F.xxhash64("src", "dst", "ts"), F.lit(3))
+    part = F.floor((F.col("ts") - 30) / 3)  # later files hold late events and, turned round, repeated ones
+    late = rows.withColumn("p", F.when(draw == 0, part + 1).otherwise(part))
+    again = rows.filter(draw == 1).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ts").withColumn("p", part + 1)
+    parts = late.unionByName(again).persist()
+    last = int(parts.agg(F.max("p")).first()[0])
+    for p in range(last + 1):
+        parts.filter(F.col("p") == p).drop("p").coalesce(1).write.mode("append").parquet(folder)
+    spark.createDataFrame([(None, None, 1000.0)], "src string, dst string, ts double").write.mode("append").parquet(folder)
+    events = spark.readStream.schema("src string, dst string, ts double").option("maxFilesPerTrigger", 1).parquet(folder)
+    query = keyed.stream_keyed_memory(events, str(tmp_path / "out"), str(tmp_path / "check"), "6 days", dim=6, time_dim=4, tau=5.0, k=3)
+    query.awaitTermination()
+    got = {r["node"]: np.array(r["vec"]) for r in memory.current_memory(spark, str(tmp_path / "out"), nodes, 6, 4).collect()}
+    assert all(np.allclose(got[n], want_memory[n], atol=1e-8) for n in want_memory)
+    assert query.lastProgress["stateOperators"][0]["numRowsDroppedByWatermark"] == 0
+    written = [spark.read.parquet(f"{tmp_path}/out/state/batch={b['batchId']}").count() for b in query.recentProgress]
+    assert len(written) > 3 and all(n <= nodes.count() for n in written)
+
+
 def test_streamed_edges_equal_the_batch_and_compact(spark, graph, tmp_path):
     _, edges = graph
     keep = lambda df: sorted((r["src"], r["dst"], tuple(r["timestamps"])) for r in df.collect())
@@ -159,7 +183,7 @@ def test_sage_gradient_is_the_derivative():
 def test_neighbour_samples_are_bounded_and_real(spark, graph):
     _, edges = graph
     near = neighbours(edges)
-    steps = sage.mirror(sage.undirected_pairs(edges))
+    steps = mirror(undirected_pairs(edges))
     got = {}
     for r in sage.sampled_neighbors(steps, 3, "x").collect():
         got.setdefault(r["src"], set()).add(r["dst"])
