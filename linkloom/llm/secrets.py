@@ -58,17 +58,17 @@ def entropy_spans(candidate: Column, alphabet: str, threshold: float, window: in
     start = F.struct(
         F.array_repeat(F.lit(0), size).alias("n"), F.lit(0).alias("inside"), F.lit(0.0).cast("double").alias("sum"), none.alias("out")
     )
-    place = lambda i: F.when(i >= 0, F.instr(F.lit(alphabet), candidate.substr(i + 1, F.lit(1)))).otherwise(F.lit(0))
 
-    def step(acc: Column, i: Column) -> Column:
-        def move(x: Column) -> Column:
-            came, went = x["came"], x["went"]
-            n = acc["n"]
-            less = F.transform(n, lambda v, j: v - (j + 1 == went).cast("int"))
+    def slide(places: Column) -> Column:
+        """The windows over the characters' places in the alphabet (from 1; 0: none), each looked up by its index."""
+        place = lambda i: F.coalesce(F.get(places, i), F.lit(0))
 
-            def count(m: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            def move(x: Column) -> Column:
+                came, went = x["came"], x["went"]
+                n = acc["n"]
                 before = F.coalesce(F.get(n, went - 1), F.lit(0))
-                after = F.coalesce(F.get(m, came - 1), F.lit(0))
+                after = F.coalesce(F.get(n, came - 1), F.lit(0)) - (came == went).cast("int")
                 out = F.when(went > 0, _spread(before - 1) - _spread(before)).otherwise(F.lit(0.0))
                 inn = F.when(came > 0, _spread(after + 1) - _spread(after)).otherwise(F.lit(0.0))
                 total = acc["sum"] + out + inn
@@ -80,16 +80,18 @@ def entropy_spans(candidate: Column, alphabet: str, threshold: float, window: in
                 joined = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last["s"].alias("s"), e.alias("e"))))
                 added = F.concat(spans, F.array(F.struct(s.alias("s"), e.alias("e"))))
                 touches = (F.size(spans) > 0) & (F.try_element_at(spans, F.lit(-1))["e"] >= s)
+                moved = F.transform(n, lambda v, j: v + (j + 1 == came).cast("int") - (j + 1 == went).cast("int"))
                 return F.struct(
-                    F.transform(m, lambda v, j: v + (j + 1 == came).cast("int")).alias("n"), inside.alias("inside"), total.alias("sum"),
+                    F.when(came == went, n).otherwise(moved).alias("n"), inside.alias("inside"), total.alias("sum"),
                     F.when(hit & touches, joined).when(hit, added).otherwise(spans).alias("out"),
                 )
 
-            return let(less, count)
+            return let(F.struct(place(i).alias("came"), F.when(i >= window, place(i - window)).otherwise(F.lit(0)).alias("went")), move)
 
-        return let(F.struct(place(i).alias("came"), place(i - window).alias("went")), move)
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda acc: acc["out"])
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, step, lambda acc: acc["out"])
+    # one pass over the string: a character by its index in a string would be looked for from the start each time
+    return let(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c)), slide)
 
 
 def added_spans(body: Column, base: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from math import log2
 
@@ -91,3 +92,12 @@ def test_recall_of_hex_in_any_case(spark):
         docs = spark.createDataFrame(list(enumerate(keys)), "doc_id bigint, text string")
         rows = s.find_secrets(docs).collect()
         assert sum(any(s.KINDS[x.k] == "hex_entropy" for x in r.added) for r in rows) >= 0.95 * len(keys), n
+
+
+def test_long_candidates_take_linear_time(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+    docs = spark.createDataFrame([(1, long)], "doc_id bigint, text string")
+    start = time.time()
+    (row,) = s.find_secrets(docs).collect()
+    assert row.added[-1].e > 190_000 and time.time() - start < 60
