@@ -1,6 +1,10 @@
 """From raw documents to packed training sequences: five stages, each stored and reread as the next one's input.
 
 Counted as part of ``linkloom.llm``.
+
+Rows with a null id or text, repeated rows and empty tables go through every stage as its operator defines: a null
+text has no words and no values and is packed as one end token if the rules keep it, of repeated rows one stays in the
+second stage, an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with pseudonyms for personal values."""
-    return pii.pseudonymize(docs)
+    """The same documents with pseudonyms for personal values, under the session's key or one of this run alone."""
+    return pii.pseudonymize(docs, pii.run_key(spark))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.found_values(documents(spark, folder)).select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"), "spans")
+    return pii.found_values(documents(spark, folder), pii.run_key(spark)).select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"), "spans")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:

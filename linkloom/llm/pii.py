@@ -15,7 +15,9 @@ Null texts stay null, null ids and other columns are carried along, an empty tab
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from secrets import token_hex
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
@@ -279,8 +281,11 @@ def _grouped_cards(row: Column) -> Column:
     return let(match_spans(row["m"], NUMBER), of_numbers)
 
 
-def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with ``__pii``: the replaced values of the text as ``SPANS``, in order."""
+def _with_spans(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with a further column, and its name: the replaced values of the text as ``SPANS``, in order."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    left, own, all_ = (_unused(docs, name) for name in ("left", "own", "pii"))
     card, phone = (lambda m: F.lit("card")), (lambda m: F.lit("phone"))
     passes = (
         lambda t: _valid(match_spans(t, MARKED, GATE), _kind, lambda m: pseudonym(m, key)),
@@ -289,25 +294,42 @@ def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
         lambda t: _valid(match_spans(t, CARD, ROW_GATE), card, lambda m: _card(m, key)),
     )
     # one projection a pass: as one expression they nest deeper than the analyzer goes
-    rows = docs.withColumns({"__left": F.coalesce(F.col(f"`{text}`"), F.lit("")), "__pii": F.array().cast(SPANS)})
+    rows = docs.withColumns({left: F.coalesce(F.col(f"`{text}`"), F.lit("")), all_: F.array().cast(SPANS)})
     for find in passes:
         # found values are covered by as many characters that no format holds
-        covered = _weave(F.col("__left"), F.col("__own"), lambda v: F.repeat(F.lit("|"), v["e"] - v["s"]))
-        rows = rows.withColumn("__own", find(F.col("__left"))).withColumns({"__left": covered, "__pii": F.concat("__pii", "__own")})
-    by_place = F.sort_array(F.transform("__pii", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym"))))
-    return rows.withColumn("__pii", F.transform(by_place, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["pseudonym"].alias("pseudonym"))))
+        covered = _weave(F.col(left), F.col(own), lambda v: F.repeat(F.lit("|"), v["e"] - v["s"]))
+        rows = rows.withColumn(own, find(F.col(left))).withColumns({left: covered, all_: F.concat(all_, own)})
+    by_place = F.sort_array(F.transform(all_, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["pseudonym"].alias("pseudonym"))))
+    return rows.withColumn(all_, F.transform(by_place, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["pseudonym"].alias("pseudonym")))), all_
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Setting that holds the secret key; runs with the same key give equal values equal pseudonyms.
+KEY_SETTING = "spark.linkloom.pii.key"
 
 
-DEFAULT_KEY = "linkloom"
+def run_key(spark: SparkSession) -> str:
+    """The key of the session, or, where none is set, a new one that nobody keeps: it links the values of this run only."""
+    return spark.conf.get(KEY_SETTING, None) or token_hex(32)
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the text's personal values replaced; columns and their order as they were."""
-    new = _weave(F.col(f"`{text}`"), F.col("__pii"), lambda v: v["pseudonym"])
-    return _with_spans(docs, key, text).select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    rows, spans = _with_spans(docs, key, text)
+    new = _weave(F.col(f"`{text}`"), F.col(spans), lambda v: v["pseudonym"])
+    return rows.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
-def found_values(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
+def found_values(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Per document ``doc_id``, the new ``text`` and the replaced spans ``kind, s, e, pseudonym``."""
-    new = _weave(F.col(f"`{text}`"), F.col("__pii"), lambda v: v["pseudonym"])
-    return _with_spans(docs, key, text).select("doc_id", new.alias("text"), F.col("__pii").alias("spans"))
+    rows, spans = _with_spans(docs, key, text)
+    new = _weave(F.col(f"`{text}`"), F.col(spans), lambda v: v["pseudonym"])
+    return rows.select("doc_id", new.alias("text"), F.col(spans).alias("spans"))

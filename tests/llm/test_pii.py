@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import pytest
 from pyspark.sql import functions as F
 from rows import awkward, empty
 
@@ -76,7 +77,7 @@ TEXT = "Call +1 (017) 555-7713 or a.b@mail.example.com, card 4111111111111111!!
 
 def test_texts(spark):
     docs = awkward(spark, [TEXT, TEXT + TEXT, "é" + TEXT])
-    new = pii.pseudonymize(docs)
+    new = pii.pseudonymize(docs, "k")
     assert new.columns == docs.columns and new.schema == docs.schema
     before, after = ({(r.doc_id, r.n_chars): r.text for r in x.collect()} for x in (docs, new))
     assert all(after[k] == v for k, v in before.items() if (k[0] or 0) < 100)
@@ -86,14 +87,14 @@ def test_texts(spark):
         assert secret not in one
     for kept in ("paid 12.50, not 4111111111111112 nor v1.2.3.4.5.", "Call +1 (", "@mail.example.com, card "):
         assert kept in one
-    told = {r.doc_id: r for r in pii.found_values(docs).where("doc_id >= 100").collect()}
+    told = {r.doc_id: r for r in pii.found_values(docs, "k").where("doc_id >= 100").collect()}
     assert [told[i].text for i in (100, 101, 102)] == [one, 2 * one, "é" + one]
     assert [s.kind for s in told[100].spans] == ["phone", "email", "card", "ipv4", "date"]
     assert all(one[s.s : s.e] == s.pseudonym or len(one[: s.s]) for s in told[100].spans)
 
 
 def test_empty(spark):
-    assert pii.pseudonymize(empty(spark)).count() == 0 and pii.found_values(empty(spark)).count() == 0
+    assert pii.pseudonymize(empty(spark), "k").count() == 0 and pii.found_values(empty(spark), "k").count() == 0
 
 
 def test_values_beside_numbers(spark):
@@ -107,8 +108,23 @@ def test_values_beside_numbers(spark):
     }
     texts = list(cases)
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id bigint, text string")
-    new = {r.doc_id: r.text for r in pii.pseudonymize(docs).collect()}
-    rows = pii.found_values(docs).collect()
+    new = {r.doc_id: r.text for r in pii.pseudonymize(docs, "k").collect()}
+    rows = pii.found_values(docs, "k").collect()
     got = {texts[r.doc_id][-60:]: [texts[r.doc_id][x.s : x.e] for x in r.spans] for r in rows}
     assert got == {x[-60:]: v for x, v in cases.items()}
     assert all(new[r.doc_id] == r.text and re.sub("9+", "9", shape(r.text)) == re.sub("9+", "9", shape(texts[r.doc_id])) for r in rows)
+
+
+def test_keys(spark):
+    docs = spark.createDataFrame([(1, "card 4111111111111111", "a", "b", "c")], "doc_id bigint, text string, __left string, __own string, __pii string")
+    one = pii.pseudonymize(docs, "one").first()
+    assert one == pii.pseudonymize(docs, "one").first() and one.text != pii.pseudonymize(docs, "two").first().text
+    assert (one["__left"], one["__own"], one["__pii"]) == ("a", "b", "c")
+    with pytest.raises(ValueError):
+        pii.pseudonymize(docs, "")
+    assert pii.run_key(spark) != pii.run_key(spark)
+    spark.conf.set(pii.KEY_SETTING, "kept")
+    try:
+        assert pii.run_key(spark) == "kept"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
