@@ -180,9 +180,10 @@ def predicted_snapshots(g: Graphs) -> DataFrame:
 
 @register(
     CATALOG, "s12_append_run_log",
-    """select 'trade' as base_db, 'FastRP' as embedding_family, 100.0::DOUBLE as predict_k, 0.5::DOUBLE as prob_threshold, round(auc, 5) as test_auc,
-    round(ap, 5) as test_ap, round(accuracy, 5) as test_accuracy, round(precision, 5) as test_precision, round(recall, 5) as test_recall,
-    round(f1, 5) as test_f1 from (""" + METRICS_SQL + ")",
+    # the record holds six places: both sides round once, from the whole value
+    """select 'trade' as base_db, 'FastRP' as embedding_family, 100.0::DOUBLE as predict_k, 0.5::DOUBLE as prob_threshold, round(auc, 6) as test_auc,
+    round(ap, 6) as test_ap, round(accuracy, 6) as test_accuracy, round(precision, 6) as test_precision, round(recall, 6) as test_recall,
+    round(f1, 6) as test_f1 from (""" + METRICS_SQL.replace(", 8)", ", 15)") + ")",
 )
 def run_log(g: Graphs) -> DataFrame:
     from ..operators.linkpred import binary_metrics
@@ -193,7 +194,7 @@ def run_log(g: Graphs) -> DataFrame:
         {"base_db": "trade", "embedding_family": "FastRP", "predict_k": 100, "prob_threshold": 0.5,
          **{f"test_{c}": m[c] for c in ("auc", "ap", "accuracy", "precision", "recall", "f1")}}
     )
-    measures = [F.round(f"test_{c}", 5).alias(f"test_{c}") for c in ("auc", "ap", "accuracy", "precision", "recall", "f1")]
+    measures = [f"test_{c}" for c in ("auc", "ap", "accuracy", "precision", "recall", "f1")]
     return s.run_log().select("base_db", "embedding_family", "predict_k", "prob_threshold", *measures)
 
 
