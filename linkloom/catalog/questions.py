@@ -86,6 +86,30 @@ def as_of(g: Graphs) -> DataFrame:
     )
 
 
+_WALKS = """, {n}_step as (select src, dst, type || '|' || src || '|' || dst as id from {n}),
+    {n}_walk as (select id as node, id as nodes, [''] as ids, 0 as hops from (select src as id from {n} union select dst from {n})
+    union all select s.dst, w.nodes || ' ' || s.dst, list_append(w.ids, s.id), w.hops + 1 from {n}_walk w join {n}_step s on s.src = w.node
+    where w.hops < 3 and not list_contains(w.ids, s.id))"""
+
+
+@register(
+    CATALOG, "q3_variable_paths",
+    with_graph("reorder", recursive=True) + ", early as (select * from reorder where first_ts <= 23970)" + _WALKS.format(n="reorder") + _WALKS.format(n="early") + """
+    select 'present' as side, nodes, hops from early_walk where hops >= 2 union all select 'future', nodes, hops from reorder_walk where hops >= 2""",
+)
+def variable_paths(g: Graphs) -> DataFrame:
+    """Chains of two and three orders that follow each other, before a month and over all months."""
+    from ..operators.clean import nodes_from_edges
+
+    late = g.edges("reorder")
+    out = None
+    for side, edges in (("present", late.filter("first_ts <= 23970")), ("future", late)):
+        paths = qu.ask_paths((nodes_from_edges(edges), edges), 2, 3, undirected=False)
+        part = paths.select(F.lit(side).alias("side"), F.array_join(F.transform("nodes", lambda x: x["id"]), " ").alias("nodes"), "hops")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _order_paths(g: Graphs) -> DataFrame:
     """Paths of three consecutive orders of a customer; every order has one successor at most."""
     e = g.reorder_raw().filter(F.col("rel_type") == "next")

@@ -178,6 +178,22 @@ def predicted_snapshots(g: Graphs) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@register(
+    CATALOG, "s8_projected_adjacency",
+    with_graph("handoff") + """, bw as (select src as a, dst as b from handoff union select dst, src from handoff)
+    select x.a as node, count(*) as walks, count(distinct y.b) as reached from bw x join bw y on y.a = x.b group by x.a""",
+)
+def projected_adjacency(g: Graphs) -> DataFrame:
+    """Ways of two hops per node, read twice from one projection of a snapshot."""
+    s = store(g)
+    s.write_edges("handoff", g.edges("handoff"))
+    s.project_adjacency("handoff")
+    adj = s.adjacency("handoff")
+    one = adj.pairs.select(F.col("src").alias("node"), F.col("dst").alias("src"))
+    two = adj.reach(one)
+    return two.groupBy("node").agg(F.count(F.lit(1)).alias("walks"), F.count_distinct("dst").alias("reached"))
+
+
 @register(
     CATALOG, "s12_append_run_log",
     # the record holds six places: both sides round once, from the whole value

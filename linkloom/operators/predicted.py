@@ -106,12 +106,17 @@ def remember_predicted(known: DataFrame, new: DataFrame, family: str) -> DataFra
     return known.unionByName(fresh.join(known, ["family", "s", "t"], "left_anti"))
 
 
-def append_round(edges: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Snapshot rows plus the pairs of the next round; pairs that have a predicted row keep it."""
+def round_rows(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows that the next round adds to a snapshot; pairs that have a predicted row are left out."""
     now = round_counters(edges).first()
     new = predicted_rows(chosen, now["max_ts"] + 1, now["max_round"] + 1)
     known = edges.filter(F.col("type") == PREDICTED).select("src", "dst")
-    return edges.select(*EDGE_COLUMNS).unionByName(new.join(known, ["src", "dst"], "left_anti").select(*EDGE_COLUMNS))
+    return new.join(known, ["src", "dst"], "left_anti").select(*EDGE_COLUMNS)
+
+
+def append_round(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Snapshot rows plus the pairs of the next round."""
+    return edges.select(*EDGE_COLUMNS).unionByName(round_rows(edges, chosen))
 
 
 def confusion(predicted: DataFrame, test: DataFrame, train: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -25,6 +25,33 @@ def ask(graph: Graph, question: Question, params: dict | None = None) -> DataFra
     return nodes.sparkSession.sql(question, args=used or None, nodes=nodes, edges=edges)
 
 
+def path_question(least: int, most: int, start: str = "true", end: str = "true", undirected: bool = True) -> str:
+    """Question for paths of ``least`` to ``most`` edges, as recursive SQL over ``{nodes}`` and ``{edges}``.
+
+    ``start`` and ``end`` are SQL conditions on ``id``, the first and last node.  A path uses an edge once, so it ends on
+    every cycle; ``most`` bounds it (Spark stops recursion at 100 steps).  Answer: ``nodes`` and ``edges`` (lists of structs,
+    for :func:`path_to_graph`) and ``hops``.
+    """
+    if not 0 <= least <= most <= 99:
+        raise ValueError("path lengths must be from 0 to 99, the least first")
+    edge = "named_struct('id', concat_ws('|', type, src, dst), 'source', src, 'target', dst, 'type', type)"
+    turned = f" union all select dst, src, {edge} from {{edges}} where src <> dst" if undirected else ""
+    return f"""with recursive steps(a, b, edge) as (select src, dst, {edge} from {{edges}}{turned}),
+        walk(node, nodes, edges, hops) as (
+            select id, array(named_struct('id', id)), cast(array() as array<struct<id: string, source: string, target: string, type: string>>), 0
+            from {{nodes}} where {start}
+            union all
+            select s.b, concat(w.nodes, array(named_struct('id', s.b))), concat(w.edges, array(s.edge)), w.hops + 1
+            from walk w join steps s on s.a = w.node where w.hops < {most} and not exists(w.edges, x -> x.id = s.edge.id))
+        select nodes, edges, hops from (select node as id, nodes, edges, hops from walk) where hops >= {least} and {end}"""
+
+
+def ask_paths(graph: Graph, least: int, most: int, params: dict | None = None, **options) -> DataFrame:
+    """The paths of :func:`path_question`; Spark's limit on the rows of a recursion is lifted, as none may be missing."""
+    graph[0].sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return ask(graph, path_question(least, most, **options), params)
+
+
 def query_present(graph: Graph, question: Question, params: dict | None = None) -> DataFrame:
     return ask(graph, question, params)
 

@@ -226,7 +226,7 @@ def next_round(
 def iterate(
     store: SnapshotStore, base: str, family: str, rounds: int = 1, k: int = 100, threshold: float = 0.5, **options
 ) -> list[dict]:
-    """Extend the predicted snapshot round by round; every round starts from the stored table."""
+    """Extend the predicted snapshot round by round; every round starts from the stored table and rewrites the parts its new edges fall into."""
     if family not in FAMILIES:
         raise ValueError(f"unknown embedding family '{family}'")
     name = store.predicted_name(base, family)
@@ -239,7 +239,7 @@ def iterate(
         edges, nodes = store.edges(name), store.nodes(name)
         before = pr.round_counters(edges).first()
         chosen, report = next_round(nodes, edges, family, k, threshold, seed=f"{base}|{before['max_round']}", **options)
-        store.write(name, "edges", pr.append_round(edges, chosen), partition_by="predicted")
+        store.append_edges(name, cut(pr.round_rows(edges, chosen), "round"))
         after = pr.round_counters(store.edges(name)).first()
         reports.append({"round": after["max_round"], "ts": after["max_ts"], **report})
     return reports

@@ -91,3 +91,22 @@ def adjacency(edges: DataFrame | Adjacency, path: str | None = None) -> Adjacenc
     marked = steps.join(hot.withColumn("__hot", F.lit(True)), "src", "left")
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64("dst"), F.lit(skew.SALTS))).otherwise(F.lit(0)).cast("int")
     return Adjacency(bucketed(marked.select("src", salt.alias("salt"), "dst"), ["src", "salt"], path, "adj"), hot)
+
+
+def save_adjacency(edges: DataFrame | Adjacency, folder: str) -> Adjacency:
+    """Write an adjacency below ``folder`` (new, shared), with what another session needs to read it."""
+    spark = (edges.steps if isinstance(edges, Adjacency) else edges).sparkSession
+    made = adjacency(edges.pairs if isinstance(edges, Adjacency) else edges, f"{folder}/steps")
+    if made.hot is not None:
+        made.hot.write.parquet(f"{folder}/hot")
+    columns = ", ".join(f"{n} {t}" for n, t in made.steps.dtypes)
+    spark.createDataFrame([(columns, buckets_for(spark), made.hot is not None)], "columns string, buckets int, hot boolean").write.parquet(f"{folder}/about")
+    return made
+
+
+def load_adjacency(spark: SparkSession, folder: str) -> Adjacency:
+    """An adjacency that :func:`save_adjacency` has written, in whatever session."""
+    about = spark.read.parquet(f"{folder}/about").first()
+    hot = spark.read.parquet(f"{folder}/hot") if about["hot"] else None
+    keys = ["src", "salt"] if about["hot"] else ["src"]
+    return Adjacency(attach(spark, f"{folder}/steps", about["columns"], keys, about["buckets"]), hot)

@@ -2,6 +2,8 @@
 
 A write makes a new version folder and readers take the newest finished one, so a job
 may read and replace the same table, and a failed write leaves the old version alone.
+Tables that are upserted lie in parts by a hash of their key (:mod:`.parted`); an upsert
+rewrites the parts that it touches.  The two kinds of versions are numbered together.
 """
 
 from __future__ import annotations
@@ -13,7 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import list_dirs, path_exists, remove_path
 from ..functions.skew import keep_ends
+from .adjacency import Adjacency, load_adjacency, save_adjacency
+from .parted import Merge, PartedTable
 
+# What makes an edge row unique.
+EDGE_KEYS = ["src", "dst", "type"]
 # The five embedding families, in display order.
 FAMILIES = ["FastRP", "Node2Vec", "GraphSAGE", "HashGNN", "TGN"]
 # Names that cannot be dropped.
@@ -79,25 +85,43 @@ class SnapshotStore:
     # -- tables --------------------------------------------------------------
     def _versions(self, name: str, table: str) -> list[str]:
         where = f"{self.root}/{name}/{table}"
-        done = [v for v in list_dirs(self.spark, where) if path_exists(self.spark, f"{where}/{v}/_SUCCESS")]
+        done = [v for v in list_dirs(self.spark, where) if v.startswith("v=") and path_exists(self.spark, f"{where}/{v}/_SUCCESS")]
         return [f"{where}/{v}" for v in done]
 
     def write(self, name: str, table: str, df: DataFrame, partition_by: str | None = None) -> str:
         versions = list_dirs(self.spark, f"{self.root}/{name}/{table}")
-        number = max((int(v[2:]) for v in versions if re.fullmatch(r"v=\d+", v)), default=0) + 1
+        plain = max((int(v[2:]) for v in versions if re.fullmatch(r"v=\d+", v)), default=0)
+        number = max(plain, self.parted(name, table).last_number()) + 1
         path = f"{self.root}/{name}/{table}/v={number:06d}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return path
 
+    def parted(self, name: str, table: str) -> PartedTable:
+        return PartedTable(self.spark, f"{self.root}/{name}/{table}")
+
+    def _newest(self, name: str, table: str) -> tuple[int, int]:
+        """Numbers of the newest whole version and of the newest one in parts, 0 without any."""
+        plain, parts = self._versions(name, table), self.parted(name, table).versions()
+        return int(plain[-1].rsplit("=", 1)[1]) if plain else 0, parts[-1] if parts else 0
+
     def read(self, name: str, table: str) -> DataFrame:
-        versions = self._versions(name, table)
-        if not versions:
+        plain, parts = self._newest(name, table)
+        if not plain and not parts:
             raise ValueError(f"snapshot '{name}' has no {table}")
-        return self.spark.read.parquet(versions[-1])
+        if parts > plain:
+            return self.parted(name, table).read(parts)
+        return self.spark.read.parquet(f"{self.root}/{name}/{table}/v={plain:06d}")
 
     def has(self, name: str, table: str) -> bool:
-        return bool(self._versions(name, table))
+        return any(self._newest(name, table))
+
+    def upsert(self, name: str, table: str, new: DataFrame, keys: list[str], merge: Merge) -> None:
+        """Merge rows with unique ``keys``; a table that does not lie in parts yet is dealt into them once."""
+        plain, parts = self._newest(name, table)
+        if not parts or plain > parts:
+            self.parted(name, table).create(self.read(name, table), keys, above=plain)
+        self.parted(name, table).upsert(new, merge)
 
     def nodes(self, name: str) -> DataFrame:
         return self.read(name, "nodes")
@@ -107,13 +131,21 @@ class SnapshotStore:
 
     def write_nodes(self, name: str, new: DataFrame) -> None:
         """Upsert on ``id``."""
-        merged = merge_props(self.nodes(name), new) if self.has(name, "nodes") else new
-        self.write(name, "nodes", merged)
+        if self.has(name, "nodes"):
+            self.upsert(name, "nodes", new, ["id"], merge_props)
+        else:
+            self.parted(name, "nodes").create(new, ["id"])
 
     def write_edges(self, name: str, new: DataFrame) -> None:
         """Upsert per (src, dst, type), stamping observed rows with ``predicted = 0``."""
-        merged = upsert_edges(self.edges(name), new) if self.has(name, "edges") else stamp_observed(new)
-        self.write(name, "edges", merged, partition_by="predicted")
+        if self.has(name, "edges"):
+            self.upsert(name, "edges", new, EDGE_KEYS, upsert_edges)
+        else:
+            self.parted(name, "edges").create(stamp_observed(new), EDGE_KEYS)
+
+    def append_edges(self, name: str, new: DataFrame) -> None:
+        """Add rows whose keys are new."""
+        self.upsert(name, "edges", new, EDGE_KEYS, lambda old, rows: old.unionByName(rows, allowMissingColumns=True))
 
     # -- projections and records ----------------------------------------------
     def record_projection(self, name: str, projection: str, nodes: DataFrame, edges: DataFrame) -> None:
@@ -131,6 +163,21 @@ class SnapshotStore:
         newest = F.max_by(F.struct(*rows.columns), "created_at").alias("r")
         return rows.groupBy(F.col("projection").alias("p")).agg(newest).select("r.*")
 
+    def project_adjacency(self, name: str, types: list[str] | None = None) -> Adjacency:
+        """Write both directions of a snapshot's edges, dealt by node, once for all loops and sessions that read them."""
+        edges = self.edges(name)
+        edges = edges.filter(F.col("type").isin(types)) if types else edges
+        number = len(list_dirs(self.spark, f"{self.root}/{name}/_adjacency")) + 1
+        return save_adjacency(edges, f"{self.root}/{name}/_adjacency/{number:06d}")
+
+    def adjacency(self, name: str) -> Adjacency:
+        """The newest whole projection of :meth:`project_adjacency`."""
+        folder = f"{self.root}/{name}/_adjacency"
+        done = [d for d in list_dirs(self.spark, folder) if path_exists(self.spark, f"{folder}/{d}/about/_SUCCESS")]
+        if not done:
+            raise ValueError(f"snapshot '{name}' has no adjacency")
+        return load_adjacency(self.spark, f"{folder}/{done[-1]}")
+
     def append_run_log(self, row: dict) -> None:
         self.spark.createDataFrame([run_log_row(row)], RUN_LOG_SCHEMA).write.mode("append").parquet(
             f"{self.root}/_run_log"

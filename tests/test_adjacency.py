@@ -8,6 +8,7 @@ from linkloom.functions import skew
 from linkloom.operators import contraction, graph, splits
 from linkloom.operators.embeddings.fastrp import fastrp
 from linkloom.sources.adjacency import Adjacency, adjacency, attach, bucketed, table_name
+from linkloom.sources.snapshots import SnapshotStore
 
 
 def random_pairs(n, share, seed=0):
@@ -70,6 +71,22 @@ def test_attach_reads_the_files_of_another_session(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("hot", [10**6, 4])
+def test_projection_of_a_snapshot(spark, monkeypatch, tmp_path, hot):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    pairs = random_pairs(15, 0.3)
+    store.write("g", "edges", spark.createDataFrame([(a, b, "REL" if a < "008" else "NEW") for a, b in pairs], "src string, dst string, type string"))
+    made = store.project_adjacency("g", ["REL"])
+    spark.sql(f"drop table {table_name(f'{tmp_path}/store/g/_adjacency/000001/steps')}")
+    read = store.adjacency("g")
+    kept = [(a, b) for a, b in pairs if a < "008"]
+    assert sorted(map(tuple, read.pairs.collect())) == sorted([*kept, *[(b, a) for a, b in kept]])
+    assert (read.hot is None) == (made.hot is None) == (hot > 4)
+    ends = spark.createDataFrame([(x,) for x in {y for p in kept for y in p}], "src string")
+    assert read.reach(ends).count() == 2 * len(kept)
+
+
 def distances(pairs):
     near = {}
     for a, b in pairs:
