@@ -165,19 +165,39 @@ def test_streamed_edges_equal_the_batch_and_compact(spark, graph, tmp_path):
     assert keep(collapse.current_edges(spark, str(tmp_path / "folded"))) == keep(edges)
 
 
-def test_sage_gradient_is_the_derivative():
+@pytest.mark.parametrize("aggregator", ["mean", "max"])
+def test_sage_gradient_is_the_derivative(aggregator):
     rng = np.random.default_rng(0)
     own, near, mask = rng.normal(size=(5, 4)), rng.normal(size=(5, 3, 4)), (rng.random((5, 3)) > 0.3).astype(float)
     near *= mask[:, :, None]
+    mask[4] = 0.0
     w1, w2, g = rng.normal(size=(6, 4)), rng.normal(size=(6, 12)), rng.normal(size=(5, 6))
-    loss = lambda a, b: float((sage._forward(own, near, mask, a, b)[0] * g).sum())
-    g1, g2 = sage._backward(g, own, near, mask, w1, w2, sage._forward(own, near, mask, w1, w2)[1])
+    loss = lambda a, b: float((sage._forward(own, near, mask, a, b, aggregator)[0] * g).sum())
+    g1, g2 = sage._backward(g, own, near, mask, w1, w2, sage._forward(own, near, mask, w1, w2, aggregator)[1])
     for w, grad, pick in ((w1, g1, 0), (w2, g2, 1)):
         for i, j in [(0, 0), (2, 3), (5, 1)]:
             step = np.zeros_like(w)
             step[i, j] = 1e-6
             up, down = ((w1 + step, w2), (w1 - step, w2)) if pick == 0 else ((w1, w2 + step), (w1, w2 - step))
             assert abs((loss(*up) - loss(*down)) / 2e-6 - grad[i, j]) < 1e-4
+    h1 = np.maximum(near @ w1.T, 0.0)
+    plain = np.array([(np.max if aggregator == "max" else np.mean)(h[m > 0], axis=0) if m.any() else np.zeros(6) for h, m in zip(h1, mask)])
+    assert np.allclose(sage._forward(own, near, mask, w1, w2, aggregator)[1][3][:, 6:], plain)
+
+
+def test_sage_model_is_kept_and_embeds_new_nodes(spark, graph, tmp_path):
+    nodes, edges = graph
+    known = nodes.withColumn("f", F.pmod(F.xxhash64("id"), F.lit(7)).cast("double"))
+    model, ctx = sage.fit_graphsage(known, edges, ["f"], 6, (4, 3), epochs=1, steps_per_epoch=1, aggregator="max")
+    model.save(spark, str(tmp_path / "model"))
+    again = sage.SageModel.load(spark.newSession(), str(tmp_path / "model"))
+    vectors = lambda df: {r["node"]: r["vec"] for r in df.collect()}
+    first = vectors(model.embed_contexts(ctx))
+    assert vectors(again.embed(known, edges)) == first
+    far = spark.createDataFrame([("new", "newer")], "src string, dst string")  # a part of the graph that training has not seen
+    more = known.select("id", "f").unionByName(spark.createDataFrame([("new", 3.0), ("newer", 1.0)], "id string, f double"))
+    got = vectors(again.embed(more, edges.select("src", "dst").unionByName(far)))
+    assert {n: got[n] for n in first} == first and len(got) == len(first) + 2 and np.isclose(np.linalg.norm(got["new"]), 1)
 
 
 def test_neighbour_samples_are_bounded_and_real(spark, graph):
