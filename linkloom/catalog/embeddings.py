@@ -9,8 +9,10 @@ from ..functions.scratch import scratch_path
 from ..operators.embeddings import store, temporal
 from ..operators.embeddings.families import embed
 from ..operators.embeddings.fastrp import fastrp
+from ..operators.embeddings.graphsage import SageModel, fit_graphsage
 from ..operators.embeddings.hashgnn import hashgnn
 from ..operators.embeddings.node2vec import random_walks
+from ..operators.splits import temporal_split
 from .base import Graphs, h60, register, with_graph
 
 CATALOG: dict = {}
@@ -99,6 +101,23 @@ def graphsage(g: Graphs) -> DataFrame:
     return _spread(embed("GraphSAGE", _user_features(g), g.edges("handoff"), 8, epochs=2, steps_per_epoch=2), 3)
 
 
+@register(
+    CATALOG, "m3_graphsage_saved_model",
+    with_graph("handoff") + " select id as node, 8::BIGINT as entries, 1.0::DOUBLE as length from handoff_nodes",
+)
+def graphsage_saved_model(g: Graphs) -> DataFrame:
+    """A model of the largest-value kind, trained before the last tenth of the times, saved, loaded and used on the whole graph."""
+    early = temporal_split(g.edges("handoff"), 0.1, 0.0).filter("set = 'train'")
+    nodes = _user_features(g).na.fill(0)
+    known = nodes.join(early.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi")
+    model, _ = fit_graphsage(known, early, ["mean_value", "purchases"], 8, epochs=2, steps_per_epoch=1, aggregator="max")
+    path = scratch_path(g.spark, "model")
+    model.save(g.spark, path)
+    vectors = SageModel.load(g.spark, path).embed(nodes, g.adjacency("handoff"))
+    length = F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6)
+    return vectors.select("node", F.size("vec").cast("bigint").alias("entries"), length.alias("length"))
+
+
 def _hash_round(r: int, prev: str) -> str:
     """One min-hash round over rows ``(node, bit)`` with two slots."""
     value = lambda kind: f"({h60(chr(39) + '42' + chr(39), str(r), 'k', chr(39) + kind + chr(39), 'bit')} % 1099511627776) * 1048576 + bit"

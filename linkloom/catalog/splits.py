@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import chunks as ch
 from ..operators import splits as sp
 from ..operators.graph import mirror, undirected_pairs
 from .base import Graphs, h60, list_text, register, times_sql, with_graph
@@ -120,6 +121,36 @@ def temporal_split_types(g: Graphs) -> DataFrame:
     return _out(sp.temporal_split(g.edges("handoff"), 0.2, 0.15))
 
 
+@register(
+    CATALOG, "p6_temporal_chunk_split",
+    with_graph("handoff") + bands_sql("handoff", 0.2, 0.15) + """ select src, dst, set, floor(ts / 7)::BIGINT as chunk,
+    array_to_string([x::BIGINT::VARCHAR for x in list_sort(list(ts))], ',') as times, min(ts) as first_ts, max(ts) as last_ts, count(*) as n
+    from pt join bands using (ts) group by src, dst, set, floor(ts / 7)""",
+)
+def temporal_chunk_split(g: Graphs) -> DataFrame:
+    made = ch.temporal_chunk_split(ch.joined_types(_weeks(g)), 0.2, 0.15)
+    return made.select("src", "dst", "set", "chunk", list_text("timestamps").alias("times"), "first_ts", "last_ts", "n")
+
+
+def _weeks(g: Graphs) -> DataFrame:
+    """Times of ``handoff`` in chunks of a week."""
+    return ch.time_chunks(g.edges("handoff").select("src", "dst", "type", F.explode("timestamps").alias("ts")), 7)
+
+
+_SLICE = "(select min(ts) + 20 from (select unnest(timestamps) as ts from handoff)) and (select min(ts) + 61 from (select unnest(timestamps) as ts from handoff))"
+
+
+@register(
+    CATALOG, "e7_time_slice_of_chunks",
+    with_graph("handoff") + f""", t as (select src, dst, type, unnest(timestamps) as ts from handoff)
+    select src, dst, type, min(ts) as first_ts, max(ts) as last_ts, count(*) as interaction_count from t where ts between {_SLICE} group by 1, 2, 3""",
+)
+def time_slice_of_chunks(g: Graphs) -> DataFrame:
+    weeks = _weeks(g)
+    low = g.edges("handoff").agg(F.min("first_ts").alias("low")).first()["low"]
+    return ch.rollup(ch.time_slice(weeks, low + 20, low + 61))
+
+
 @register(
     CATALOG, "p7_temporal_split_explicit",
     with_graph("trade") + """, pt as (select distinct src, dst, unnest(timestamps) as ts from trade),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .splits import band_label
+from .splits import SETS, band_label
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def events_of(chunks: DataFrame, as_of: float | None = None) -> DataFrame:
 
 def time_slice(chunks: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     """Chunks cut to ``low <= time <= high``; only those across a border are opened."""
-    inside, whole, keep = F.lit(True), F.lit(True), lambda x: F.lit(True)
+    inside, whole = F.lit(True), F.lit(True)
     if low is not None:
         inside, whole = inside & (F.col("last_ts") >= F.lit(float(low))), whole & (F.col("first_ts") >= F.lit(float(low)))
     if high is not None:
@@ -73,7 +73,11 @@ def temporal_chunk_split(chunks: DataFrame, test: float = 0.1, val: float | None
     Bands are ranges of time, so a chunk whose bounds have one label is passed on unopened.
     """
     label = band_label(chunks, test, val)
-    parts = F.array(*[F.struct(F.lit(s).alias("set"), F.filter("timestamps", lambda x, s=s: label(x) == F.lit(s)).alias("timestamps")) for s in ("train", "val", "test")])
+
+    def part(name: str):
+        return F.struct(F.lit(name).alias("set"), F.filter("timestamps", lambda x: label(x) == F.lit(name)).alias("timestamps"))
+
+    parts = F.array(*[part(name) for name in SETS])
     one = F.array(F.struct(label(F.col("first_ts")).alias("set"), F.col("timestamps").alias("timestamps")))
     opened = F.when(label(F.col("first_ts")) == label(F.col("last_ts")), one).otherwise(F.filter(parts, lambda p: F.size(p["timestamps"]) > 0))
     rows = chunks.select("src", "dst", "chunk", F.explode(opened).alias("p"))
