@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
+from ..operators.contraction import components_by_contraction
 from ..operators.splits import temporal_split
 from ..plans.flagship import held_out_support
 from .base import Graphs, register, with_graph
@@ -27,7 +28,7 @@ def degree(g: Graphs) -> DataFrame:
     with_graph("reorder", recursive=True) + COMPONENTS_SQL.format(g="reorder") + " select node, component from components",
 )
 def connected_components(g: Graphs) -> DataFrame:
-    return gr.connected_components(g.edges("reorder"))
+    return components_by_contraction(g.edges("reorder"))
 
 
 @register(

@@ -97,7 +97,8 @@ def open_pairs(nodes: DataFrame, edges: DataFrame) -> OpenPairs:
     if n > MOST_NODES:
         raise OverflowError(f"places of pairs of {n} nodes are beyond 63 bits")
     of = lambda end, name: numbers.select(F.col("id").alias(end), F.col("nid").alias(name))
-    ends = edges.select("src", "dst").distinct().join(of("src", "x"), "src").join(of("dst", "y"), "dst")
+    # the same pair may come in several rows and either way round: one distinct step over numbers is enough
+    ends = edges.select("src", "dst").join(of("src", "x"), "src").join(of("dst", "y"), "dst")
     place = pair_place(F.least("x", "y"), F.greatest("x", "y"), max(n, 2))
     places = ends.filter("x <> y").select(place.alias("place")).distinct()
     ranked = global_index(places, [F.col("place").asc()], "rank")
