@@ -29,7 +29,7 @@ def _open_sql(nodes: str, edges: str, k: int | str, seed: str) -> str:
     op_p as (select {place} as place from op_e, op_n),
     op_k as (select place - (row_number() over (order by place) - 1) as key from op_p),
     op_m as (select {size} - (select count(*) from op_e) as m, n from op_n),
-    op_r as (select m, n, list_transform(generate_series(0, 15), lambda r: ({h60(f"'{seed}'", "'key'", "r")} % m) * 16 + r) as keys from op_m),
+    op_r as (select greatest(m, 1) as m, n, list_transform(generate_series(0, 15), lambda r: ({h60(f"'{seed}'", "'key'", "r")} % greatest(m, 1)) * 16 + r) as keys from op_m),
     op_d as (select i as draw, m, n, {swapped} as key from op_r, (select unnest(generate_series(0, least(({k})::BIGINT, (select m from op_m)) - 1)) as i)),
     op_c as (select draw, n, key + before as place from (select draw, n, key, sum(case when draw is null then 1 else 0 end) over (order by key, draw nulls first
     rows unbounded preceding)::BIGINT as before from (select draw, n, key from op_d union all select null, null, key from op_k)) where draw is not null),
