@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.functions import ordering
 from linkloom.functions.hashing import shuffled_index
 from linkloom.functions.ordering import first_rows, previous_row, running_sums
-from linkloom.operators import clean, compare, features, linkpred, predicted, query
+from linkloom.operators import clean, compare, features, linkpred, nonedges, predicted, query
 from linkloom.operators.embeddings import store
 from linkloom.operators.embeddings.families import embed
 from linkloom.operators.nonedges import open_pairs, pair_at, pair_place
@@ -336,3 +337,20 @@ def test_embedding_names_and_store(spark, tmp_path):
     assert store.infer_dim(df) == 2 and store.infer_dim(df.limit(0)) == 128
     with pytest.raises(ValueError):
         store.load_embeddings(spark, str(tmp_path), "FastRP")
+
+
+def test_all_open_pairs_without_a_sort(spark, monkeypatch):
+    """If every open pair is wanted, the pairs are neither drawn nor sorted and stored; ids of all kinds stand in their order."""
+    ids = ["7", "10", "9", "10a", "9a", "b", "1.0", "1e3", "-4", " 8", "99999999999999999999", "99999999999999999998"]
+    nodes = spark.createDataFrame([(x,) for x in ids], "id string")
+    edges = spark.createDataFrame([("9", "10"), ("b", "7"), ("10a", "9a"), ("10a", "b")], "src string, dst string")
+    found = open_pairs(nodes, edges)
+    drawn = {(r.s, r.t, r.draw) for r in found.first(found.missing - 1, "z").collect()}
+    calls = []
+    monkeypatch.setattr(ordering, "cut", lambda df, label="t": calls.append(label) or df)
+    every = found.first(found.missing, "z").collect()
+    assert not calls and len(every) == found.missing == len(ids) * (len(ids) - 1) // 2 - 4
+    assert {(r.s, r.t, r.draw) for r in every if r.draw < found.missing - 1} == drawn
+    monkeypatch.setattr(nonedges, "GAP_PAIRS", 2)
+    monkeypatch.setattr(nonedges, "SENT_NODES", 3)
+    assert set(found.first(found.missing, "z").collect()) == set(every)
