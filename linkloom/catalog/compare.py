@@ -23,10 +23,6 @@ def _truth(g: Graphs) -> DataFrame:
     return late.select(F.col("dst").alias("s"), F.col("src").alias("t"))
 
 
-def _family(g: Graphs, name: str) -> DataFrame:
-    return g.series().filter(F.col("family") == name)
-
-
 @register(
     CATALOG, "c1_pair_key",
     with_graph("handoff") + " select type, least(src, dst) || '|' || greatest(src, dst) as key from handoff",
@@ -42,7 +38,7 @@ def keys(g: Graphs) -> DataFrame:
     select *, round(common / least(size_a, size_b)::DOUBLE * 100, 8) as overlap_pct from n""",
 )
 def overlap(g: Graphs) -> DataFrame:
-    out = cm.overlap_pct(_family(g, "FastRP"), _family(g, "TGN"))
+    out = cm.overlap_pct(g.family_series("FastRP", 0.4), g.family_series("TGN", 0.4))
     return out.withColumn("overlap_pct", F.round("overlap_pct", 8))
 
 
@@ -53,7 +49,8 @@ def overlap(g: Graphs) -> DataFrame:
     select *, round(common / size_b::DOUBLE * 100, 8) as coverage_pct from n""",
 )
 def coverage(g: Graphs) -> DataFrame:
-    out = cm.gt_coverage_pct(_family(g, "FastRP"), _truth(g))
+    truth = _truth(g)
+    out = cm.gt_coverage_pct(g.family_series("FastRP", 0.4), truth)
     return out.withColumn("coverage_pct", F.round("coverage_pct", 8))
 
 
@@ -67,7 +64,8 @@ def coverage(g: Graphs) -> DataFrame:
     from n a cross join n b left join j on j.row = a.family and j.col = b.family""",
 )
 def matrix(g: Graphs) -> DataFrame:
-    return cm.comparison_matrix(g.series(), _truth(g), FAMILIES).withColumn("pct", F.round("pct", 8))
+    truth = _truth(g)  # the graph comes first: its pairs are those of the series
+    return cm.comparison_matrix(g.series(), truth, FAMILIES).withColumn("pct", F.round("pct", 8))
 
 
 @register(
