@@ -46,13 +46,12 @@ def gt_coverage_pct(a: DataFrame, truth: DataFrame) -> DataFrame:
 def comparison_matrix(pairs: DataFrame, truth: DataFrame, families: list[str]) -> DataFrame:
     """Matrix over families and ground truth as ``(row, col, pct)`` rows.
 
-    Pairs are grouped by key into the list of families that hold them; a list has at most
-    one entry per family, so the counts per family pair need no join of the pair sets.
+    Pairs are grouped by key into one mark per family that holds them, so the counts per family
+    pair need no join of the pair sets, and repeated pairs need no step of their own.
     """
     names = [*families, GROUND_TRUTH]
-    tagged = pair_sets(pairs.filter(F.col("family").isin(families))).unionByName(
-        pair_sets(truth.select(F.lit(GROUND_TRUTH).alias("family"), "s", "t"))
-    )
+    keyed = lambda rows: rows.select("family", pair_key(F.col("s"), F.col("t")).alias("key"))
+    tagged = keyed(pairs.filter(F.col("family").isin(families))).unionByName(keyed(truth.select(F.lit(GROUND_TRUTH).alias("family"), "s", "t")))
     flags = tagged.groupBy("key").agg(*[F.max(F.when(F.col("family") == n, 1).otherwise(0)).alias(f"f{i}") for i, n in enumerate(names)])
     counts = flags.agg(
         *[
