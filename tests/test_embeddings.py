@@ -236,3 +236,24 @@ def test_fastrp_matches_numpy(spark, graph):
     want = unit(walk @ n0) + unit(walk @ walk @ n0)
     got = {r["node"]: r["vec"] for r in fastrp(nodes, edges, 8).collect()}
     assert np.allclose(np.array([got[i] for i in ids]), want, atol=1e-9)
+
+
+def test_padding_takes_no_step_per_row():
+    """Lists of any length, also none and longer than the sample, from a slice of a batch; time for many rows."""
+    import time
+
+    import pyarrow as pa
+
+    own = pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
+    near = pa.array([[[9.0, 9.0]], [], [[1.0, 1.0], [2.0, 2.0], [3.0, 3.0]], [[7.0, 8.0]]])
+    first, block, mask = sage._padded(own.slice(1), near.slice(1), 2)
+    assert first.tolist() == [[1, 2], [3, 4], [5, 6]] and mask.tolist() == [[0, 0], [1, 1], [1, 0]]
+    assert block.tolist() == [[[0, 0], [0, 0]], [[1, 1], [2, 2]], [[7, 8], [0, 0]]]
+    assert sage._padded(own.slice(1, 1), near.slice(1, 1), 2)[1].shape == (1, 2, 2)
+    rows = 20_000
+    values = pa.array(np.ones(rows * 25 * 6))
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * 25 * 6 + 1, 6), pa.int32()), values)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * 25 + 1, 25), pa.int32()), inner)
+    begun = time.process_time()
+    assert sage._padded(inner.slice(0, rows), lists, 25)[1].sum() == rows * 25 * 6
+    assert time.process_time() - begun < 1.0
