@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
 from ..operators import clean
+from ..operators.blocks import two_hop_counts
 from ..sources import files, snapshots
 from .base import FEATURES_SQL, Graphs, future_sql, register, with_graph
 from .prediction import METRICS_SQL
@@ -184,14 +185,11 @@ def predicted_snapshots(g: Graphs) -> DataFrame:
     select x.a as node, count(*) as walks, count(distinct y.b) as reached from bw x join bw y on y.a = x.b group by x.a""",
 )
 def projected_adjacency(g: Graphs) -> DataFrame:
-    """Ways of two hops per node, read twice from one projection of a snapshot."""
+    """Ways of two hops per node, from one projection of a snapshot."""
     s = store(g)
     s.write_edges("handoff", g.edges("handoff"))
     s.project_adjacency("handoff")
-    adj = s.adjacency("handoff")
-    one = adj.pairs.select(F.col("src").alias("node"), F.col("dst").alias("src"))
-    two = adj.reach(one)
-    return two.groupBy("node").agg(F.count(F.lit(1)).alias("walks"), F.count_distinct("dst").alias("reached"))
+    return two_hop_counts(s.adjacency("handoff"))
 
 
 @register(
