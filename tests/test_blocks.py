@@ -75,3 +75,21 @@ def test_no_pairs_and_no_edges(spark):
     assert blocks.shared_counts(edges, none).count() == 0
     assert blocks.shared_counts(edges.limit(0), edges.selectExpr("src s", "dst t")).count() == 0
     assert blocks.two_hop_counts(edges.limit(0)).count() == 0
+
+
+def test_the_forest_of_a_connected_split_tells_its_components(spark, monkeypatch):
+    from linkloom.operators import splits
+
+    both = [*PAIRS, *((f"x{a}", f"x{b}") for a, b in PAIRS[:40]), ("y1", "y2")]
+    df = spark.createDataFrame([(a, b, "REL", [1.0], 1.0, 1.0) for a, b in both], "src string, dst string, type string, timestamps array<double>, first_ts double, last_ts double")
+    nodes = df.selectExpr("explode(array(src, dst)) as id").distinct()
+    made = splits.execute_split(df, nodes, "connected", 0.2, 0.1, 5)
+    slow = splits.split_report(made.edges)
+    assert sorted(map(str, made.report.collect())) == sorted(map(str, slow.collect()))
+
+    def never(_):
+        raise AssertionError("contracted twice")
+
+    # the report is read from the forest, the train pairs are not contracted again
+    monkeypatch.setattr(splits, "components_by_contraction", never)
+    splits.execute_split(df, nodes, "connected", 0.2, 0.1, 5)
