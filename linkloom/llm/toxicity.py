@@ -237,13 +237,51 @@ def _top(scores: np.ndarray, text: np.ndarray, wanted: np.ndarray, most: int) ->
     return order[(rank < most) & wanted[of]]
 
 
-def window_scores(p: Parameters, vectors: np.ndarray, windows: np.ndarray, at_once: int = 4096) -> np.ndarray:
-    out = np.empty(len(windows), np.float32)
+#: Per way through the windows: projected inputs of the words (word, gate); weights of the next gates, of attention and of the score on a state.
+Ways = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _ways(p: Parameters, vectors: np.ndarray) -> Ways:
+    out = []
+    for name, own in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+        on_state = np.concatenate([p["U" + name], p["A"][own], p["o"][own, None]], axis=1)
+        out.append((vectors @ p["W" + name] + p["c" + name], np.ascontiguousarray(on_state.T)))
+    return out
+
+
+def logits(p: Parameters, ways: Ways, windows: np.ndarray) -> np.ndarray:
+    """:func:`forward` without a way back: windows stand last in every array, so that a step runs over long rows, and
+    a state leaves only its attention and its share of the score."""
+    n, gates = len(windows), 3 * HIDDEN
+    steps = np.ascontiguousarray(windows.T)
+    there = steps != len(ways[0][0]) - 1
+    mask = None if there.all() else there
+    parts = np.zeros((STEPS, ATTENTION + 1, n), ways[0][0].dtype)
+    for (table, on_state), order in zip(ways, (1, -1), strict=True):
+        h, part = np.zeros((HIDDEN, n), table.dtype), np.zeros((len(on_state), n), table.dtype)
+        for t in range(STEPS)[::order]:
+            x = np.ascontiguousarray(table.take(steps[t], axis=0).T)
+            x[: 2 * HIDDEN] += part[: 2 * HIDDEN]
+            both = _sigmoid(x[: 2 * HIDDEN])
+            new = np.tanh(x[2 * HIDDEN :] + both[HIDDEN:] * part[2 * HIDDEN : gates])
+            after = new + both[:HIDDEN] * (h - new)
+            h = after if mask is None else np.where(mask[t], after, h)
+            part = on_state @ h
+            parts[t] += part[gates:]
+    energy = np.tensordot(np.tanh(parts[:, :ATTENTION]), p["a"], axes=([1], [0]))
+    if mask is not None:
+        energy = np.where(mask, energy, -1e9)
+    weight = np.exp(energy - energy.max(axis=0))
+    return (weight * parts[:, ATTENTION]).sum(axis=0) / weight.sum(axis=0) + p["bias"][0]
+
+
+def window_scores(p: Parameters, vectors: np.ndarray, windows: np.ndarray, at_once: int = 1024) -> np.ndarray:
+    out, ways = np.empty(len(windows), np.float32), _ways(p, vectors)
     short = (windows[:, -1] == len(vectors) - 1) if len(windows) else np.zeros(0, bool)
     for group in (np.flatnonzero(~short), np.flatnonzero(short)):  # full windows need no mask
         for i in range(0, len(group), at_once):
             rows = group[i : i + at_once]
-            out[rows] = _sigmoid(forward(p, vectors, windows[rows]))
+            out[rows] = _sigmoid(logits(p, ways, windows[rows]))
     return out
 
 

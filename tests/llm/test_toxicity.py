@@ -136,3 +136,19 @@ def test_passages_at_every_offset(model):
     for size in (10, 17, 24):
         scores = t.text_scores(model, [" ".join(long[:at] + passage[:size] + long[at:]) for at in range(len(long) + 1)])
         assert scores.min() >= t.THRESHOLD, size
+
+
+def test_scores_without_a_way_back_are_those_of_the_training_pass():
+    rng = np.random.default_rng(3)
+    p = t.fresh(5)
+    vectors = np.concatenate([rng.normal(size=(40, t.INPUT)), np.zeros((1, t.INPUT))]).astype(np.float32)
+    windows = rng.integers(0, 40, size=(50, t.STEPS))
+    windows[::5, -1] = 40
+    for i in range(0, 50, 10):  # texts shorter than a window
+        windows[i, 1 + i // 2 :] = 40
+    expected = t.forward(p, vectors, windows)
+    assert np.abs(t.logits(p, t._ways(p, vectors), windows) - expected).max() < 1e-5
+    full = windows[(windows != 40).all(axis=1)]
+    assert np.abs(t.logits(p, t._ways(p, vectors), full) - t.forward(p, vectors, full)).max() < 1e-5
+    scores = t.window_scores(p, vectors, windows, at_once=7)
+    assert scores.dtype == np.float32 and np.abs(scores - 1 / (1 + np.exp(-expected))).max() < 1e-5
