@@ -16,7 +16,12 @@ Each document is the set of its shingles' 64-bit hashes.  Equal sets are one cla
    groups are opened, and within them only members that overlap enough themselves are compared, set
    against set.
 
-All comparisons are exact, so every link between different groups is found.
+4. Every class has a sketch of 256 bits, each the parity of the tokens that fall to it.  Two sketches differ in no
+   more bits than their sets differ in tokens, so pairs (and groups, by the sketch of one member and the distance of
+   the farthest from it) whose sketches differ in more than a link allows are left out before a set is read, and in
+   lists of more than ``WIDE`` groups before they are paired.
+
+All comparisons are exact and a sketch only leaves out what cannot be linked, so every link between different groups is found.
 
 Null and empty texts have no shingles and are linked with nothing.  Rows that repeat an id and a text
 are one class; a null id is never the smallest; with no ids at all in a component its id is null.
@@ -40,6 +45,8 @@ HOT = 16
 PROBE_EVERY = 25
 #: Tokens stored per set, in prefixes.
 SPARE = 1.5
+#: Words of 64 bits in a sketch; groups in a list from which on its rows carry sketches.
+SKETCH, WIDE = 4, 32
 
 
 def shingle_words(text: Column) -> Column:
@@ -84,15 +91,40 @@ class Threshold:
     def sizes_fit(self, a_low, a_high, b_low, b_high) -> Column:
         return (a_low * self.num <= b_high * self.den) & (b_low * self.num <= a_high * self.den)
 
+    def apart(self, far: Column, a: Column, b: Column) -> Column:
+        """Linked sets of at most these sizes differ in no more than ``far`` tokens."""
+        return far * (self.num + self.den) <= (a + b) * (self.den - self.num)
+
     def holds(self, both: Column, a: Column, b: Column) -> Column:
         return self.den * both >= self.num * (a + b - both)
 
 
+def sketch(tokens: Column) -> Column:
+    """Per bit the parity of the tokens that fall to it."""
+    words = [f"w{i}" for i in range(SKETCH)]
+    empty = F.struct(*[F.lit(0).cast("long").alias(w) for w in words])
+
+    def put(into: Column, token: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+        place = F.shiftright(token, 6).bitwiseAND(F.lit(SKETCH - 1))
+        return F.struct(*[F.when(place == i, into[w].bitwiseXOR(bit)).otherwise(into[w]).alias(w) for i, w in enumerate(words)])
+
+    return F.aggregate(tokens, empty, put)
+
+
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ."""
+    out = F.bit_count(x["w0"].bitwiseXOR(y["w0"]))
+    for i in range(1, SKETCH):
+        out = out + F.bit_count(x[f"w{i}"].bitwiseXOR(y[f"w{i}"]))
+    return out
+
+
 def signatures(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """Stored per row: ``row`` (a number), ``__id, __th, n, s1, s2`` and the first tokens by hash order, ``SPARE`` prefixes."""
+    """Stored per row: ``row`` (a number), ``__id, __th, n, s1, s2``, the sketch ``sk`` and the first tokens by hash order, ``SPARE`` prefixes."""
     sets = keyed(docs).select("__id", "__th", tokens(F.col("__text"), k).alias("t"))
     sized = sets.select("__id", "__th", "t", F.size("t").alias("n"))
-    marks = [F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2")]
+    marks = [F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2"), sketch(F.col("t")).alias("sk")]
     return cut(sized.select(F.monotonically_increasing_id().alias("row"), "__id", "__th", "n", *marks, F.slice("t", 1, F.ceil(t.prefix(F.col("n")) * F.lit(SPARE)).cast("int")).alias("head")), "sets")
 
 
@@ -146,6 +178,13 @@ def reordered(lists: DataFrame, wanted: DataFrame, docs: DataFrame, k: int, t: T
     return cut(moved(heads.where(enough)).unionByName(moved(rest)).unionByName(same), "postings")
 
 
+def near(pairs: DataFrame, searched: DataFrame, t: Threshold) -> DataFrame:
+    """Stored pairs ``a, b`` of ``pairs`` whose sketches leave a link possible."""
+    for end in ("a", "b"):
+        pairs = pairs.join(searched.select(F.col("c").alias(end), F.col("n").alias(f"{end}_n"), F.col("sk").alias(f"{end}_sk")), end)
+    return cut(pairs.where(t.apart(differing(F.col("a_sk"), F.col("b_sk")), F.col("a_n"), F.col("b_n"))).select("a", "b"), "near")
+
+
 def compare(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     """Stored ``src, dst`` of the pairs ``a, b`` whose sets are similar enough."""
     left = sets.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
@@ -167,54 +206,81 @@ def star_pairs(postings: DataFrame, t: Threshold) -> DataFrame:
 
 def group_matrix(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """Stored token-group matrix: per group and token of its union ``g, t, rest, cold`` (the longest rest of a
-    member), and the group's sizes ``low, high``, members ``k`` and whether all prefixes are ``full``."""
+    member), and the group's sizes ``low, high`` and whether all prefixes are ``full``."""
     named = postings.join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
     union = named.groupBy("g", "t").agg(F.max("rest").alias("rest"), F.max("cold").alias("cold"))
-    about = named.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("full").alias("full"), F.count_distinct("c").alias("k"))
+    about = named.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("full").alias("full"))
     return cut(union.join(about, "g"), "matrix")
 
 
-def _overlapping(left: DataFrame, right: DataFrame, on: list[str], t: Threshold) -> DataFrame:
-    """Pairs ``a, b`` of groups (or members) that may be linked, from their tokens in ``left`` and ``right``.
+def group_sketches(searched: DataFrame, groups: DataFrame) -> DataFrame:
+    """Stored per group: ``g``, sizes ``low, high``, members ``k``, the sketch ``sk`` of a member and the distance ``wide`` of the farthest from it."""
+    members = searched.select("c", "n", "sk").join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
+    centre = members.where("c = g").select("g", F.col("sk").alias("centre"))
+    far = differing(F.col("sk"), F.col("centre"))
+    about = [F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("k"), F.first("centre").alias("sk"), F.max(far).cast("int").alias("wide")]
+    return cut(members.join(centre, "g").groupBy("g").agg(*about), "sketches")
+
+
+def _may_link(t: Threshold) -> Column:
+    """Whether the sketches of the groups ``a`` and ``b`` leave a link between members possible."""
+    far = differing(F.col("a_sk"), F.col("b_sk")) - F.col("a_wide") - F.col("b_wide")
+    return t.apart(far, F.col("a_high"), F.col("b_high"))
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], t: Threshold, sketched: bool) -> DataFrame:
+    """Tokens at which pairs ``a, b`` of groups (or members) meet and may be linked; with ``sketched`` the rows carry sketches.
 
     The first token that a linked pair shares leaves as many tokens in both as the pair must share; the
-    others leave as many less one each.  Hot tokens only count if they can be that first one, and if
-    neither prefix holds a hot token, as many as ``probe`` says must be shared.
+    others leave as many less one each.  Hot tokens only count if they can be that first one.
     """
-    a = left.select(*on, F.col("g").alias("a"), "cold", *[F.col(c).alias(f"a_{c}") for c in ("low", "high", "rest", "full")])
-    b = right.select(*on, F.col("g").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("low", "high", "rest", "full")])
+    bits = ("sk", "wide") if sketched else ()
+    a = left.select(*on, F.col("g").alias("a"), "cold", *[F.col(c).alias(f"a_{c}") for c in ("low", "high", "rest", "full", *bits)])
+    b = right.select(*on, F.col("g").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("low", "high", "rest", "full", *bits)])
     least = t.overlap(F.col("a_low"), F.col("b_low"))
     spare = t.probe(F.least("a_high", "b_high")) - 1
     first = (F.col("a_rest") >= least) & (F.col("b_rest") >= least)
     later = F.col("cold") & (F.col("a_rest") >= least - spare) & (F.col("b_rest") >= least - spare)
     fit = t.sizes_fit(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high"))
-    met = a.join(b, on).where((F.col("a") < F.col("b")) & fit & (first | later))
-    told = met.groupBy("a", "b").agg(
-        F.max(first).alias("first"), F.count_if("cold").alias("m"), F.min(F.col("a_full") & F.col("b_full")).alias("full"), F.first(t.probe(F.least("a_low", "b_low"))).alias("need")
-    )
+    possible = (F.col("a") < F.col("b")) & fit & (first | later)
+    met = a.join(b, on).where(possible & _may_link(t) if sketched else possible)
+    return met.select("a", "b", "cold", first.alias("first"), (F.col("a_full") & F.col("b_full")).alias("full"), t.probe(F.least("a_low", "b_low")).alias("need"))
+
+
+def _overlapping(met: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that share a possible first token and, if neither prefix holds a hot token, as many as ``probe`` says."""
+    told = met.groupBy("a", "b").agg(F.max("first").alias("first"), F.count_if("cold").alias("m"), F.min("full").alias("full"), F.first("need").alias("need"))
     return told.where(F.col("first") & (~F.col("full") | (F.col("m") >= F.col("need")))).select("a", "b")
 
 
-def qualifying(matrix: DataFrame, t: Threshold) -> DataFrame:
-    """Stored pairs of groups ``a, b`` that may hold a link: sizes fit and the unions overlap enough."""
-    counts = matrix.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = matrix.join(counts.select("t"), "t", "left_semi")
-    return cut(_overlapping(lists, lists, ["t"], t), "qualifying")
+def qualifying(matrix: DataFrame, sketches: DataFrame, t: Threshold) -> DataFrame:
+    """Stored pairs of groups ``a, b`` that may hold a link, and their members ``ka, kb``: sizes fit, the unions overlap
+    enough and the sketches are near enough."""
+    counts = cut(matrix.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+    lists = matrix.join(counts.where(F.col("df") <= WIDE).select("t"), "t", "left_semi")
+    met = _met(lists, lists, ["t"], t, False)
+    wide = counts.where(F.col("df") > WIDE).select("t")
+    if not wide.isEmpty():
+        rows = matrix.join(wide, "t", "left_semi").join(sketches.select("g", "sk", "wide"), "g")
+        met = met.unionByName(_met(rows, rows, ["t"], t, True))
+    pairs = _overlapping(met)
+    for end in ("a", "b"):
+        pairs = pairs.join(sketches.select(*[F.col(c).alias(end if c == "g" else f"{end}_{c}") for c in ("g", "high", "k", "sk", "wide")]), end)
+    return cut(pairs.where(_may_link(t)).select("a", "b", F.col("a_k").alias("ka"), F.col("b_k").alias("kb")), "qualifying")
 
 
-def opened(postings: DataFrame, groups: DataFrame, matrix: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+def opened(postings: DataFrame, groups: DataFrame, searched: DataFrame, sketches: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
     """Members ``a, b`` of qualifying groups that overlap enough themselves; groups of one are their member."""
-    size = matrix.select("g", "k").distinct()
-    sized_pairs = pairs.join(size.toDF("a", "ka"), "a").join(size.toDF("b", "kb"), "b")
-    single = sized_pairs.where("ka = 1 and kb = 1").select("a", "b")
-    wide = sized_pairs.where("ka > 1 or kb > 1").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
-    named = postings.join(groups.withColumnRenamed("g", "of"), "c", "left").select(
-        F.coalesce("of", "c").alias("of"), F.col("c").alias("g"), "t", "rest", "cold", "full", F.col("n").alias("low"), F.col("n").alias("high")
-    )
+    single = pairs.where("ka = 1 and kb = 1").select("a", "b")
+    wide = pairs.where("ka > 1 or kb > 1").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
     both_ways = wide.unionByName(wide.select(F.col("gb").alias("ga"), F.col("ga").alias("gb")))
-    left = named.withColumnRenamed("of", "ga").join(both_ways, "ga")
-    right = named.withColumnRenamed("of", "gb")
-    return single.unionByName(_overlapping(left, right, ["gb", "t"], t))
+    members = searched.join(groups, "c", "left").select(F.coalesce("g", "c").alias("ga"), "c", F.col("n").alias("a_high"), F.col("sk").alias("a_sk"), F.lit(0).alias("a_wide"))
+    other = sketches.select(F.col("g").alias("gb"), F.col("high").alias("b_high"), F.col("sk").alias("b_sk"), F.col("wide").alias("b_wide"))
+    # members that are near enough to a group of the other side
+    facing = cut(both_ways.join(members, "ga").join(other, "gb").where(_may_link(t)).select("ga", "gb", "c", F.col("a_sk").alias("sk")), "facing")
+    named = lambda rows: rows.join(postings, "c").select("gb", F.col("c").alias("g"), "t", "rest", "cold", "full", F.col("n").alias("low"), F.col("n").alias("high"), "sk", F.lit(0).alias("wide"))
+    right = facing.select(F.col("ga").alias("gb"), "c", "sk").dropDuplicates(["c"])
+    return single.unionByName(_overlapping(_met(named(facing), named(right), ["gb", "t"], t, True)))
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -229,14 +295,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     """Per row ``doc_id, __th, n_shingles, component_id`` and ``group_id``, a number of the component (null without shingles)."""
     t = Threshold(num, den)
     heads = signatures(docs, k, t)
-    rows = cut(heads.drop("head"), "rows")
+    rows = cut(heads.drop("head", "sk"), "rows")
     classes = cut(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("c"), F.min("__id").alias("first_id")), "classes")
     repeats = not _repeated(rows).isEmpty()
     own = heads.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
     lists = cut(_shared_lists(own.select(F.col("row").alias("c"), "n", F.explode(F.slice("head", 1, t.prefix(F.col("n")))).alias("t"))), "lists")
-    wanted = cut(heads.join(_sharing(lists, t), F.col("row") == F.col("c")).select("c", "n", "__id", "__th", "head"), "wanted")
+    wanted = cut(heads.join(_sharing(lists, t), F.col("row") == F.col("c")).select("c", "n", "__id", "__th", "sk", "head"), "wanted")
     drop_cut(heads)
-    ordered = reordered(lists.join(wanted.select("c"), "c", "left_semi"), wanted, docs, k, t, repeats)
+    ordered = reordered(lists.join(wanted.select("c"), "c", "left_semi"), wanted.drop("sk"), docs, k, t, repeats)
     drop_cut(lists)
     # the same test once more: passages that many share no longer count
     searched = cut(wanted.drop("head").join(_sharing(_shared_lists(ordered), t), "c"), "searched")
@@ -248,13 +314,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         return class_tokens(docs, cut(searched.join(_ends(pairs), "c", "left_semi"), "asked"), k, repeats)
 
     stars = cut(star_pairs(postings, t), "stars")
-    sets = sets_of(stars)
-    first = compare(stars, sets, t)
+    asked = near(stars, searched, t)
+    sets = sets_of(asked)
+    first = compare(asked, sets, t)
     drop_cut(sets)
     groups = cut(connected_components(first).toDF("c", "g"), "groups")
-    matrix = group_matrix(postings, groups)
-    # pairs that were compared already are not links
-    pairs = cut(opened(postings, groups, matrix, qualifying(matrix, t), t).join(stars, ["a", "b"], "left_anti").join(stars.toDF("b", "a"), ["a", "b"], "left_anti"), "opened")
+    matrix, sketches = group_matrix(postings, groups), group_sketches(searched, groups)
+    # pairs that were compared already, or lay too far apart, are not links
+    found = opened(postings, groups, searched, sketches, qualifying(matrix, sketches, t), t)
+    pairs = cut(found.join(stars, ["a", "b"], "left_anti").join(stars.toDF("b", "a"), ["a", "b"], "left_anti"), "opened")
     sets = sets_of(pairs)
     more = compare(pairs, sets, t)
     for stored in (sets, postings, matrix):

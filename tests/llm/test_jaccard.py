@@ -80,3 +80,23 @@ def test_components(spark, k, num, den, monkeypatch):
 def test_empty(spark):
     assert j.jaccard_components(empty(spark), 3, 9, 10).count() == 0
     assert j.keep_one(empty(spark)).count() == 0
+
+
+def test_sketches_leave_out_far_pairs_and_no_link(spark):
+    rng = random.Random(11)
+    rows, sets = [], []
+    for c in range(60):  # sets that differ from one of three in few or many tokens
+        base = random.Random(c % 3)
+        near = [base.getrandbits(64) - 2**63 for _ in range(150)]
+        sets.append({*near[: 150 - rng.choice([0, 3, 8, 60])], *[rng.getrandbits(63) for _ in range(rng.choice([0, 2, 5, 40]))]})
+        rows.append((c, len(sets[c]), sorted(sets[c])))
+    searched = spark.createDataFrame(rows, "c long, n int, tokens array<long>").withColumn("sk", j.sketch(j.F.col("tokens")))
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a long, b long")
+    sk = {r["c"]: r["sk"] for r in searched.select("c", "sk").collect()}
+    for num, den in ((9, 10), (4, 5)):
+        left = {(r["a"], r["b"]) for r in j.near(pairs, searched, j.Threshold(num, den)).collect()}
+        linked = {(a, b) for a in range(60) for b in range(a + 1, 60) if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+        assert linked and linked <= left and len(left) < 60 * 59 // 4
+    for a in range(0, 60, 7):
+        for b in range(60):
+            assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(sk[a], sk[b])) <= len(sets[a] ^ sets[b])
