@@ -200,6 +200,53 @@ def test_sage_model_is_kept_and_embeds_new_nodes(spark, graph, tmp_path):
     assert {n: got[n] for n in first} == first and len(got) == len(first) + 2 and np.isclose(np.linalg.norm(got["new"]), 1)
 
 
+def _step_by_pairs(pairs, contexts, w1, w2, size):
+    """Gradients of a step with both contexts of a pair side by side."""
+    total, loss = [np.zeros_like(w1), np.zeros_like(w2)], 0.0
+    for s, t, y in pairs:
+        sides = []
+        for own, near in (contexts[s], contexts[t]):
+            block, mask = np.zeros((1, size, len(own))), np.zeros((1, size))
+            for j, x in enumerate(near[:size]):
+                block[0, j], mask[0, j] = x, 1.0
+            sides.append((np.array([own]), block, mask))
+        (zs, save_s), (zt, save_t) = (sage._forward(*x, w1, w2) for x in sides)
+        p = 1 / (1 + np.exp(-4.0 * (zs * zt).sum()))
+        loss -= y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)
+        for grad, side, save in ((4 * (p - y) * zt, sides[0], save_s), (4 * (p - y) * zs, sides[1], save_t)):
+            for out, g in zip(total, sage._backward(grad, *side, w1, w2, save)):
+                out += g
+    return total, loss
+
+
+def test_sage_steps_move_vectors_and_not_contexts(spark, graph, monkeypatch):
+    """Gradients over cells are those over pairs with both contexts; no stored pair holds a context; ends without one are left out."""
+    nodes, edges = graph
+    known = nodes.withColumn("f", F.pmod(F.xxhash64("id"), F.lit(7)).cast("double"))
+    stored, steps = [], []
+    bucketed, gradients = sage.bucketed, sage._gradients
+    monkeypatch.setattr(sage, "bucketed", lambda df, *a, **k: stored.append(set(df.columns)) or bucketed(df, *a, **k))
+    monkeypatch.setattr(sage, "_gradients", lambda *a: steps.append((a, gradients(*a))) or steps[-1][1])
+    monkeypatch.setattr(sage, "BLOCKS", 3)
+    monkeypatch.setattr(sage, "PAIRS", 5)
+    # weights change in place, so only the first step is looked at
+    sage.fit_graphsage(known, edges, ["f"], 6, (4, 3), epochs=1, steps_per_epoch=1)
+    assert stored == [{"node", "own", "near"}, {"part", "s", "t", "label", "cell"}]
+    (pairs, ctx, blocks, w1, w2, size, _), _ = steps[0]
+    contexts = {r["node"]: (r["own"], r["near"]) for r in ctx.collect()}
+    rows = [(r["s"], r["t"], r["label"]) for r in pairs.collect()]
+    assert blocks == 3 and pairs.select("cell").distinct().count() > 3
+    g1, g2, loss, seen = gradients(pairs, ctx, blocks, w1, w2, size)
+    (want1, want2), want_loss = _step_by_pairs(rows, contexts, w1, w2, size)
+    assert seen == len(rows) and np.allclose(g1, want1) and np.allclose(g2, want2) and np.isclose(loss, want_loss)
+    gone = sorted(contexts)[0]
+    left = [r for r in rows if gone not in r[:2]]
+    g1, _, loss, seen = gradients(pairs, ctx.filter(F.col("node") != gone), blocks, w1, w2, size)
+    (want1, _), want_loss = _step_by_pairs(left, contexts, w1, w2, size)
+    assert seen == len(left) < len(rows) and np.allclose(g1, want1) and np.isclose(loss, want_loss)
+    assert sage.blocks_for(10**9) > 3 and sage._gradients(pairs.limit(0), ctx, blocks, w1, w2, size)[3] == 0
+
+
 def test_neighbour_samples_are_bounded_and_real(spark, graph):
     _, edges = graph
     near = neighbours(edges)
