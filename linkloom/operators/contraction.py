@@ -50,6 +50,18 @@ class Contraction:
             found = names.join(later, "name", "left").select("node", F.coalesce("last", "name").alias("name"))
         return cut(found, "groups")
 
+    def smallest(self) -> DataFrame | None:
+        """``(name, least)``: the smallest node of each component, carried up from round to round; None without any."""
+        found = None
+        for names in self.names:
+            if found is None:
+                rows = names.select("name", F.col("node").alias("least"))
+            else:
+                later = names.select(F.col("node").alias("name"), F.col("name").alias("next"))
+                rows = found.join(later, "name", "left").select(F.coalesce("next", "name").alias("name"), "least")
+            found = rows.groupBy("name").agg(F.min("least").alias("least"))
+        return found
+
 
 def _roots(parents: DataFrame) -> DataFrame:
     """Stored ``(name, root)`` of pointers ``(name, parent)`` that end in names pointing to themselves."""
@@ -69,13 +81,20 @@ def _followed(steps: DataFrame, pointers: DataFrame) -> DataFrame:
     return steps.join(pointers.select(F.col("name").alias("parent"), F.col("parent").alias("next")), "parent")
 
 
-def contract(edges: DataFrame) -> Contraction:
-    """Contract stored edges ``(a, b, e)`` with distinct numbers ``e`` until none is left; loops are left out."""
+def contract(edges: DataFrame, steps: DataFrame | None = None) -> Contraction:
+    """Contract stored edges ``(a, b, e)`` with distinct numbers ``e`` until none is left; loops are left out.
+
+    ``steps``: both directions ``(a, b, e)`` of the same edges, dealt by ``a``, from which the first round is read.
+    """
     chosen, names = [], []
     edges = edges.filter("a <> b")
     while True:
         ends = F.explode(F.array(F.struct(F.col("a").alias("node"), "e"), F.struct(F.col("b").alias("node"), "e")))
         at_node = edges.select(ends.alias("x")).select("x.*").groupBy("node")
+        if steps is not None:
+            # no row has to be dealt for the picks, and none for the first end of an edge
+            at_node, edges = steps.filter("a <> b").select(F.col("a").alias("node"), "e").groupBy("node"), steps.filter("a < b")
+            steps = None
         picks, seen = cut_with(at_node.agg(F.min("e").alias("pick"), F.count(F.lit(1)).alias("rows")), "picks", most=F.max("rows"))
         if seen["most"] is None:
             break
@@ -98,13 +117,17 @@ def contract(edges: DataFrame) -> Contraction:
     return Contraction(chosen, names)
 
 
+def numbered_pairs(edges: DataFrame) -> DataFrame:
+    """Stored distinct ``(a, b, e)`` with ``a <= b`` and numbers as :func:`contract` needs them."""
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    # numbers from the places in the stored rows: the order does not matter for components
+    return cut(pairs.withColumn("e", F.monotonically_increasing_id()), "numbered")
+
+
 def components_by_contraction(edges: DataFrame) -> DataFrame:
     """``(node, component)`` with the smallest node of each component, nodes of loops included."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    # numbers from the places in the stored rows: the order does not matter for components
-    numbered = cut(pairs.withColumn("e", F.monotonically_increasing_id()), "numbered")
-    groups = contract(numbered).groups()
+    groups = contract(numbered_pairs(edges)).groups()
     if groups is None:
         return nodes.select("node", F.col("node").alias("component"))
     least, seen = cut_with(groups.groupBy("name").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("rows")), "least", most=F.max("rows"))

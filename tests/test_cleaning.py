@@ -110,3 +110,22 @@ def test_last_value_follows_the_files(spark, tmp_path):
     (tmp_path / "in" / "part-1.csv").write_text("src,dst,ts,note\n" + "c,d,1,x\n" * 5000 + "a,b,2,new\n")
     got = clean.clean_edges(read_edges(spark, str(tmp_path / "in")), "ts").filter("src = 'a'").collect()
     assert [r["note"] for r in got] == ["new"]
+
+
+def test_stored_edges_make_the_raw_rows_once(spark):
+    """Same rows as the chain that looks at the times first, a bad time is refused, and the raw rows are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [("2", "1", "5", "x"), ("1", "2", "4", "x"), ("1", "2", "4", "x"), ("3", "3", "1", "x"), (None, "1", "2", "x"), ("10", "9", "7", None)]
+    schema = "src string, dst string, ts string, rel_type string"
+    raw = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    got = sorted(map(tuple, clean.stored_edges(raw, "ts").collect()))
+    assert made.value == len(rows)
+    assert got == sorted(map(tuple, clean.clean_edges(raw, "ts").collect())) and len(got) == 2
+    with pytest.raises(ValueError, match="has 2 non-numeric"):
+        clean.stored_edges(spark.createDataFrame([*rows, ("1", "5", "soon", "x"), (None, "5", None, "x")], schema), "ts")

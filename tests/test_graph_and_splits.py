@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linkloom.functions import skew
+from linkloom.functions.pairs import canonical
 from linkloom.operators import graph, splits
 
 EDGE = "src string, dst string, type string, timestamps array<double>, first_ts double, last_ts double, ts double, interaction_count long"
@@ -130,3 +131,66 @@ def test_partitioning_does_not_change_results(spark, edges, partitions):
         assert sorted(map(tuple, splits.random_split(edges, 0.4, 0.2, 5).collect())) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _ids(spark, pairs):
+    return spark.createDataFrame(pairs, "src string, dst string")
+
+
+@pytest.mark.parametrize("ids", [["7", "10", "9", "100", "70", "1"], ["07", "7", "a", "10", "b1", ""], ["1" * 18, "2", "10" * 9, "0", "00", "9"]])
+@pytest.mark.parametrize("turned", [False, True])
+def test_forest_of_texts_in_text_order(spark, monkeypatch, ids, turned):
+    """Levels from the smallest text, whatever the way of numbering; texts of digits need no table of numbers."""
+    chain = list(zip(ids, ids[1:])) + [(ids[0], ids[3]), ("zz" if "a" in ids else "55", "56")]
+    df = canonical(_ids(spark, chain))
+    df = df.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else df
+    pairs = {(r["src"], r["dst"]) for r in df.collect()}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, seen = set(), set()
+    for root in sorted(near):
+        if root in seen:
+            continue
+        level, _ = {root}, seen.add(root)
+        while level:
+            found = {n: min(level & near[n]) for m in level for n in near[m] - seen}
+            want |= {(n, p) if (n, p) in pairs else (p, n) for n, p in found.items()}
+            seen |= set(found)
+            level = set(found)
+    if all(x.isdigit() for p in pairs for x in p):
+        monkeypatch.setattr(splits, "numbered", lambda *_: pytest.fail("a table of numbers was made"))
+    assert {(r["src"], r["dst"]) for r in splits.spanning_forest(df).collect()} == want
+
+
+def test_smallest_nodes_are_carried_up(spark):
+    from linkloom.operators import contraction
+
+    pairs = [(i, i + 1) for i in range(40)] + [(90, 95), (95, 91), (7, 7), (60, 60)]
+    edges = contraction.numbered_pairs(spark.createDataFrame(pairs, "src long, dst long"))
+    steps = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
+    for found in (contraction.contract(edges), contraction.contract(edges, steps)):
+        assert sorted(r["least"] for r in found.smallest().collect()) == [0, 90]
+    assert contraction.contract(edges.filter("a = b")).smallest() is None
+
+
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_previous_row_crosses_partitions(spark, partitions):
+    from linkloom.functions.ordering import previous_row
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(None if i % 3 == 2 else i % 3, i * 7 % 50, f"v{i}" if i % 5 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "g int, o int, v string").repartition(4)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        for group in ([], ["g"]):
+            got = {(r["g"], r["o"]): r["b"] for r in previous_row(df, group, [F.col("o").asc()], {"b": "v"}).collect()}
+            want = {}
+            for g in {r[0] for r in rows} if group else {"all"}:
+                inside = sorted((r for r in rows if not group or r[0] == g), key=lambda r: r[1])
+                want |= {(r[0], r[1]): p[2] if p else None for p, r in zip([None, *inside], inside)}
+            assert got == want
+        assert previous_row(df.limit(0), ["g"], [F.col("o").asc()], {"b": "v"}).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
