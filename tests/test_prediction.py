@@ -354,3 +354,30 @@ def test_all_open_pairs_without_a_sort(spark, monkeypatch):
     monkeypatch.setattr(nonedges, "GAP_PAIRS", 2)
     monkeypatch.setattr(nonedges, "SENT_NODES", 3)
     assert set(found.first(found.missing, "z").collect()) == set(every)
+
+
+def test_fitted_model_goes_to_tasks(spark, community):
+    """A fitted model has no summary of its training, which holds the session, and a plan with it runs and is written."""
+    nodes, edges = community
+    emb = embed("FastRP", nodes, edges, 8)
+    rows = linkpred.training_set(edges.select(F.col("src").alias("s"), F.col("dst").alias("t")), emb, nodes, edges)
+    model = linkpred.fit_logistic(rows)
+    assert not model.hasSummary and model.numFeatures == 8
+    scored = linkpred.score(rows.filter("label = 1"), model).select("s", "t", "probability").collect()
+    w, b = model.coefficients.toArray(), model.intercept
+    want = {(r.s, r.t): 1 / (1 + np.exp(-np.dot(w, r.features) - b)) for r in rows.filter("label = 1").collect()}
+    assert {(r.s, r.t) for r in scored} == set(want) == known(edges)
+    assert all(abs(r.probability - want[r.s, r.t]) < 1e-12 for r in scored)
+
+
+def test_rounds_on_a_stored_snapshot(spark, community, tmp_path):
+    """Both kinds of rounds fit, score and write their rows."""
+    nodes, edges = community
+    for mode in ("latest", "connected"):
+        s = SnapshotStore(spark, str(tmp_path / mode))
+        name = s.predicted_name("base", "FastRP")
+        s.write(name, "nodes", nodes)
+        s.write(name, "edges", predicted.observed_rows(edges), partition_by="predicted")
+        plan.iterate(s, "base", "FastRP", 1, k=3, dim=4, mode=mode)
+        added = s.edges(name).filter("predicted = 1").collect()
+        assert len(added) == 3 and not {(r.src, r.dst) for r in added} & known(edges)
