@@ -381,3 +381,20 @@ def test_rounds_on_a_stored_snapshot(spark, community, tmp_path):
         plan.iterate(s, "base", "FastRP", 1, k=3, dim=4, mode=mode)
         added = s.edges(name).filter("predicted = 1").collect()
         assert len(added) == 3 and not {(r.src, r.dst) for r in added} & known(edges)
+
+
+@pytest.mark.parametrize("pairs_of_cell", [50_000_000, 7])
+def test_all_open_pairs_of_many_nodes_move_no_pair(spark, monkeypatch, pairs_of_cell):
+    """With more nodes than go to all tasks, names go to cells in blocks: nothing is shuffled after pairs are written out."""
+    nodes = spark.range(37).select(F.concat(F.lit("n"), "id").alias("id"))
+    edges = spark.range(300).select(F.concat(F.lit("n"), F.col("id") * 5 % 37).alias("src"), F.concat(F.lit("n"), F.col("id") * 3 % 29).alias("dst"))
+    found = open_pairs(nodes, edges)
+    want = set(found.first(10**9, "z").collect())
+    for name, value in (("SENT_NODES", 3), ("GAP_PAIRS", 10), ("CELL_PAIRS", pairs_of_cell)):
+        monkeypatch.setattr(nonedges, name, value)
+    every = found.first(10**9, "z")
+    lines = every._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    opened = next(i for i, line in enumerate(lines) if "posexplode" in line)
+    assert not any("Join" in line or "Repartition" in line or "sequence(low" in line for line in lines[:opened])
+    rows = every.collect()
+    assert set(rows) == want and len(rows) == found.missing == len(want)
