@@ -398,3 +398,13 @@ def test_all_open_pairs_of_many_nodes_move_no_pair(spark, monkeypatch, pairs_of_
     assert not any("Join" in line or "Repartition" in line or "sequence(low" in line for line in lines[:opened])
     rows = every.collect()
     assert set(rows) == want and len(rows) == found.missing == len(want)
+
+
+def test_keys_of_draws_are_made_once(spark, community, monkeypatch):
+    """A key takes many hashes; the order that is cut into ranges reads stored ones, also for its bounds."""
+    nodes, edges = community
+    want = set(linkpred.sample_negatives(nodes, edges, 50, seed=3).collect())
+    plans, real = [], ordering.cut
+    monkeypatch.setattr(ordering, "cut", lambda df, label="t": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label))
+    assert set(linkpred.sample_negatives(nodes, edges, 50, seed=3).collect()) == want
+    assert plans and not any("md5" in p for p in plans)
